@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bars"]
+MODULES = ["bars", "filters", "features"]
 
 
 def load_all() -> None:
