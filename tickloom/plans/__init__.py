@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bars", "filters", "features"]
+MODULES = ["bars", "filters", "features", "books"]
 
 
 def load_all() -> None:
