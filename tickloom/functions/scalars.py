@@ -280,28 +280,39 @@ def geometric_index(start, end, step, reverse: bool = True) -> Column:
     Rounding is half to even.  Worked out in double precision.
     """
     start, end, step = (x if isinstance(x, Column) else F.lit(x) for x in (start, end, step))
-    low, high = F.log2(start.cast("double")), F.log2(end.cast("double"))
 
-    def position(j: Column) -> Column:
-        i = step - 1 - j if reverse else j
-        x = F.pow(F.lit(2.0), low + i * (high - low) / (step - 1))
-        x = end - (x - start) if reverse else x
-        return F.when(j == step - 1, end.cast("int")).when(j == 0, start.cast("int")).otherwise(F.rint(x).cast("int"))
+    def spaced(bounds: Column) -> Column:
+        first, last, n, low, high = (bounds[c] for c in ("first", "last", "n", "low", "high"))
 
-    return F.transform(F.sequence(F.lit(0), step - 1), position)
+        def position(j: Column) -> Column:
+            i = n - 1 - j if reverse else j
+            x = F.pow(F.lit(2.0), low + i * (high - low) / (n - 1))
+            x = last - (x - first) if reverse else x
+            return F.when(j == n - 1, last).when(j == 0, first).otherwise(F.rint(x).cast("int"))
+
+        return F.transform(F.sequence(F.lit(0), n - 1), position)
+
+    bounds = F.struct(
+        start.cast("int").alias("first"), end.cast("int").alias("last"), step.cast("int").alias("n"),
+        F.log2(start.cast("double")).alias("low"), F.log2(end.cast("double")).alias("high"),
+    )
+    return let(bounds, spaced)
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def fix_index(positions) -> Column:
     """Positions made strictly increasing: lowered from the right (not below 0), then raised from the left."""
-    p = _col(positions)
-    last = F.size(p) - 1
-    span = lambda a, b: F.sequence(a, b)
-    lowered = F.transform(
-        p,
-        lambda _, i: F.greatest(
-            F.lit(0), F.array_min(F.transform(span(i, last), lambda j: F.get(p, j) - (j - i)))
-        ),
-    )
-    return F.transform(
-        lowered, lambda _, i: F.array_max(F.transform(span(F.lit(0), i), lambda j: F.get(lowered, j) + (i - j)))
-    )
+
+    def lower(p: Column) -> Column:
+        gaps = lambda i: F.transform(F.sequence(i, F.size(p) - 1), lambda j: F.get(p, j) - (j - i))
+        return F.transform(p, lambda _, i: F.greatest(F.lit(0), F.array_min(gaps(i))))
+
+    def lift(p: Column) -> Column:
+        gaps = lambda i: F.transform(F.sequence(F.lit(0), i), lambda j: F.get(p, j) + (i - j))
+        return F.transform(p, lambda _, i: F.array_max(gaps(i)))
+
+    return let(let(_col(positions), lower), lift)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.functions.scalars import fix_index, geometric_index, price_key
+from tickloom.functions.scalars import fix_index, geometric_index, let, price_key
 from tickloom.operators.latest import top_k_per_group
 from tickloom.operators.prefix import running
 
@@ -346,34 +346,42 @@ def extrapolate_levels(levels: Column, n: int, reverse: bool = False) -> Column:
     With ``reverse`` the padding continues below the lowest price.  A lone level is followed
     by prices that fall by a fixed step, an empty side by zeros.
     """
-    size = F.size(levels)
-    line = F.reverse(levels) if reverse else levels
-    steps = F.filter(
-        F.transform(
-            F.sequence(F.lit(1), size - 1),
-            lambda i: F.try_divide(F.get(line, i)["price"], F.get(line, i - 1)["price"]) - 1,
-        ),
-        lambda x: x.isNotNull(),
-    )
-    total = F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x)
-    mean = F.coalesce(F.try_divide(total, F.size(steps)), F.lit(0.0))
     pair = lambda price: F.struct(price.alias("price"), F.lit(0.0).alias("size"))
-    missing = F.sequence(F.lit(1), n - size)
-    tail = F.transform(missing, lambda j: pair(F.get(line, size - 1)["price"] * F.pow(1 + mean, j.cast("double"))))
-    grown = F.concat(line, tail)
-    lone = F.concat(
-        levels,
-        F.transform(
-            F.sequence(F.lit(1), F.lit(n - 1)),
-            lambda i: pair(F.get(levels, F.lit(0))["price"] / F.pow(F.lit(LONE_LEVEL_STEP), i.cast("double"))),
-        ),
-    )
-    return (
-        F.when(size >= n, levels)
-        .when(size == 0, F.array_repeat(pair(F.lit(0.0)), n))
-        .when(size == 1, lone)
-        .otherwise(F.reverse(grown) if reverse else grown)
-    )
+
+    def mean_step(line: Column) -> Column:
+        steps = F.zip_with(
+            F.slice(line, F.lit(2), F.size(line) - 1), F.slice(line, F.lit(1), F.size(line) - 1),
+            lambda x, before: F.try_divide(x["price"], before["price"]) - 1,
+        )
+        return let(
+            F.filter(steps, lambda x: x.isNotNull()),
+            lambda known: F.coalesce(
+                F.try_divide(F.aggregate(known, F.lit(0.0), lambda acc, x: acc + x), F.size(known)), F.lit(0.0)
+            ),
+        )
+
+    def grow(line: Column) -> Column:
+        more = F.sequence(F.lit(1), n - F.size(line))
+        tail = let(
+            F.struct(mean_step(line).alias("step"), F.element_at(line, -1)["price"].alias("price")),
+            lambda end: F.transform(more, lambda j: pair(end["price"] * F.pow(1 + end["step"], j.cast("double")))),
+        )
+        return F.concat(line, tail)
+
+    def lone(line: Column) -> Column:
+        falling = lambda i: pair(F.get(line, F.lit(0))["price"] / F.pow(F.lit(LONE_LEVEL_STEP), i.cast("double")))
+        return F.concat(line, F.transform(F.sequence(F.lit(1), F.lit(n - 1)), falling))
+
+    def extended(side: Column) -> Column:
+        grown = F.reverse(let(F.reverse(side), grow)) if reverse else grow(side)
+        return (
+            F.when(F.size(side) >= n, side)
+            .when(F.size(side) == 0, F.array_repeat(pair(F.lit(0.0)), n))
+            .when(F.size(side) == 1, lone(side))
+            .otherwise(grown)
+        )
+
+    return let(levels, extended)
 
 
 def regroup_positions(length: Column, cut: Column, n: int, side: str) -> Column:
@@ -384,17 +392,16 @@ def regroup_positions(length: Column, cut: Column, n: int, side: str) -> Column:
     extra = F.when(cut, 1).otherwise(0)
     if side == "bid":
         spaced = geometric_index(F.lit(1), length - 1, F.lit(n + 1) + extra, reverse=True)
-        kept = fix_index(F.slice(spaced, F.lit(2) + extra, F.lit(n)))
-        start = F.when(cut, F.get(spaced, F.lit(1))).otherwise(0)
+        start, first = (lambda p: F.when(cut, F.get(p, F.lit(1))).otherwise(0)), F.lit(2) + extra
     else:
         spaced = F.transform(geometric_index(F.lit(1), length, F.lit(n) + extra, reverse=False), lambda x: x - 1)
-        kept = fix_index(F.slice(spaced, 1, F.lit(n)))
-        start = F.lit(0)
-    short = F.transform(F.sequence(F.lit(0), length - 1), lambda x: x.cast("int"))
-    return F.struct(
-        F.when(length <= n, F.lit(0)).otherwise(start).cast("int").alias("start"),
-        F.when(length <= n, short).otherwise(kept).alias("kept"),
+        start, first = (lambda p: F.lit(0)), F.lit(1)
+    chosen = let(
+        spaced,
+        lambda p: F.struct(start(p).cast("int").alias("start"), fix_index(F.slice(p, first, F.lit(n))).alias("kept")),
     )
+    every = F.transform(F.sequence(F.lit(0), length - 1), lambda x: x.cast("int"))
+    return F.when(length <= n, F.struct(F.lit(0).cast("int").alias("start"), every.alias("kept"))).otherwise(chosen)
 
 
 def regroup_sides(levels: DataFrame, n: int = REGROUPED_LEVELS, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -428,10 +435,16 @@ def regroup_sides(levels: DataFrame, n: int = REGROUPED_LEVELS, keys: Sequence[s
     upto = F.size(F.filter(kept, lambda x: x <= pos)) - 1
     group = F.when(F.col("side") == "bid", below).otherwise(upto)
     return (
-        placed.filter(pos >= F.col("_places")["start"])
-        .withColumns({"level": group, "_own": F.get(kept, group) == pos})
+        placed.withColumns(
+            {
+                "level": group,
+                "_own": F.get(kept, group) == pos,
+                "_counts": F.when(pos >= F.col("_places")["start"], F.col("size")).otherwise(0.0),
+            }
+        )
+        .filter(F.col("level") < F.size(kept))
         .groupBy(*book, "level")
-        .agg(F.max(F.when(F.col("_own"), F.col("price"))).alias("price"), F.sum("size").alias("size"))
+        .agg(F.max(F.when(F.col("_own"), F.col("price"))).alias("price"), F.sum("_counts").alias("size"))
     )
 
 

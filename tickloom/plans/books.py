@@ -153,9 +153,9 @@ def book_at_ticks(spark, sf_dir):
 
 def _regroup_sql(n: int) -> str:
     geo = lambda lo, hi, step, i: f"pow(2, log2({lo}) + {i} * (log2({hi}) - log2({lo})) / ({step} - 1))"
-    bid = f"""list_transform(range(0, {n + 1} + cut), j -> CASE WHEN j = {n} + cut THEN len - 1 WHEN j = 0 THEN 1
+    bid = f"""list_transform(range(0, {n + 1} + cut), lambda j: CASE WHEN j = {n} + cut THEN len - 1 WHEN j = 0 THEN 1
        ELSE CAST(round_even((len - 1) - ({geo(1, '(len - 1)', f'({n + 1} + cut)', f'({n} + cut - j)')} - 1), 0) AS BIGINT) END)"""
-    ask = f"""list_transform(range(0, {n} + cut), j -> CASE WHEN j = {n - 1} + cut THEN len WHEN j = 0 THEN 1
+    ask = f"""list_transform(range(0, {n} + cut), lambda j: CASE WHEN j = {n - 1} + cut THEN len WHEN j = 0 THEN 1
        ELSE CAST(round_even({geo(1, 'len', f'({n} + cut)', 'j')}, 0) AS BIGINT) END - 1)"""
     return f"""bounds AS (SELECT symbol, side, min(price) FILTER (size > 0 AND price > 0) AS lo, max(price) FILTER (size > 0) AS hi FROM lv GROUP BY ALL),
       ins AS (SELECT lv.*, row_number() OVER (PARTITION BY symbol, side ORDER BY price) - 1 AS pos, count(*) OVER (PARTITION BY symbol, side) AS len, lo, hi
@@ -168,8 +168,8 @@ def _regroup_sql(n: int) -> str:
       lw AS (SELECT *, greatest(0, min(x - i) OVER (PARTITION BY symbol, side ORDER BY i DESC) + i) AS y FROM un),
       fx AS (SELECT *, max(y - i) OVER (PARTITION BY symbol, side ORDER BY i) + i AS kept FROM lw),
       rg AS (SELECT symbol, side, start, i, kept, lag(kept) OVER w AS before, lead(kept) OVER w AS after FROM fx WINDOW w AS (PARTITION BY symbol, side ORDER BY i)),
-      big AS (SELECT r.symbol, r.side, r.i AS level, max(CASE WHEN pos = kept THEN price END) AS price, sum(size) AS size FROM ins JOIN rg r ON ins.symbol = r.symbol AND ins.side = r.side
-        AND CASE WHEN ins.side = 'bid' THEN pos > coalesce(before, start - 1) AND pos <= kept ELSE pos >= kept AND pos < coalesce(after, len) END GROUP BY ALL),
+      big AS (SELECT r.symbol, r.side, r.i AS level, max(CASE WHEN pos = kept THEN price END) AS price, sum(CASE WHEN pos >= start THEN size ELSE 0 END) AS size FROM ins JOIN rg r ON ins.symbol = r.symbol AND ins.side = r.side
+        AND CASE WHEN ins.side = 'bid' THEN pos > coalesce(before, -1) AND pos <= kept ELSE pos >= kept AND pos < coalesce(after, len) END GROUP BY ALL),
       small AS (SELECT symbol, side, pos AS level, price, size FROM ins WHERE len <= {n}),
       groups AS (SELECT symbol, side, CAST(level AS INTEGER) AS level, price, size FROM big UNION ALL SELECT symbol, side, CAST(level AS INTEGER), price, size FROM small)"""
 
@@ -187,8 +187,8 @@ def regroup_sides(spark, sf_dir):
 # books of varied depth, one per order: levels are made row by row from the order itself
 BOOK_SQL = """ob AS (SELECT o_orderkey AS book, concat(CASE WHEN o_orderkey % 11 = 0 THEN 'é' ELSE 'B' END, CAST(o_orderkey % 7 AS VARCHAR)) AS market,
     CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE epoch_us(o_orderdate) // 1000 END AS time_ms, (o_orderkey % 5) * 0.5E0 AS grouping,
-    list_transform(range(0, o_orderkey % 60), i -> struct_pack(price := o_totalprice / 100 - 20 * ((o_orderkey % 60) - i), size := CAST((o_orderkey * (i + 1)) % 11 AS DOUBLE) - CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END)) AS bids,
-    list_transform(range(0, o_custkey % 40), i -> struct_pack(price := o_totalprice / 100 + 3 * i + 1 + i * i, size := CAST((o_custkey * (i + 1)) % 7 AS DOUBLE))) AS asks FROM orders)"""
+    list_transform(range(0, o_orderkey % 60), lambda i: struct_pack(price := o_totalprice / 100 - 20 * ((o_orderkey % 60) - i), size := CAST((o_orderkey * (i + 1)) % 11 AS DOUBLE) - CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END)) AS bids,
+    list_transform(range(0, o_custkey % 40), lambda i: struct_pack(price := o_totalprice / 100 + 3 * i + 1 + i * i, size := CAST((o_custkey * (i + 1)) % 7 AS DOUBLE))) AS asks FROM orders)"""
 
 
 def _books(spark, sf_dir):
@@ -217,8 +217,8 @@ NOW_MS = 900_000_000_000
     f"""WITH {BOOK_SQL} SELECT book, concat_ws(',', CASE WHEN NOT grouping > 0 THEN 'grouping' END,
         CASE WHEN NOT regexp_full_match(market, '[\\x00-\\x7F]*') THEN 'market_non_ascii' END, CASE WHEN time_ms + 300000000000 <= 1199145600000 THEN 'time_too_old' END,
         CASE WHEN time_ms + 300000000000 > 1250000000000 + 86400000 THEN 'time_in_future' END,
-        CASE WHEN len(list_filter(asks, x -> x.price <= 0)) > 0 THEN 'ask_price' END, CASE WHEN len(list_filter(asks, x -> x.size < 0)) > 0 THEN 'ask_size' END,
-        CASE WHEN len(list_filter(bids, x -> x.price < 0)) > 0 THEN 'bid_price' END, CASE WHEN len(list_filter(bids, x -> x.size < 0)) > 0 THEN 'bid_size' END) AS failed,
+        CASE WHEN len(list_filter(asks, lambda x: x.price <= 0)) > 0 THEN 'ask_price' END, CASE WHEN len(list_filter(asks, lambda x: x.size < 0)) > 0 THEN 'ask_size' END,
+        CASE WHEN len(list_filter(bids, lambda x: x.price < 0)) > 0 THEN 'bid_price' END, CASE WHEN len(list_filter(bids, lambda x: x.size < 0)) > 0 THEN 'bid_size' END) AS failed,
         len(asks) = 0 AND len(bids) = 0 AS empty FROM ob""",
 )
 def validate_book(spark, sf_dir):
@@ -261,7 +261,7 @@ def split_and_concat(spark, sf_dir):
 def _extrapolated_sql(column: str, n: int, reverse: bool) -> str:
     line = f"list_reverse({column})" if reverse else column
     return f"""e AS (SELECT book, {column} AS l, {line} AS r, len({column}) AS k FROM ob),
-      m AS (SELECT *, coalesce(list_avg(list_filter(list_transform(range(2, k + 1), i -> CASE WHEN r[i - 1].price <> 0 THEN r[i].price / r[i - 1].price - 1 END), x -> x IS NOT NULL)), 0) AS step FROM e),
+      m AS (SELECT *, coalesce(list_avg(list_filter(list_transform(range(2, k + 1), lambda i: CASE WHEN r[i - 1].price <> 0 THEN r[i].price / r[i - 1].price - 1 END), lambda x: x IS NOT NULL)), 0) AS step FROM e),
       g AS (SELECT *, unnest(range(1, greatest(k, {n}) + 1)) AS i FROM m)
       SELECT book, CAST(CASE WHEN k > 1 AND {'TRUE' if reverse else 'FALSE'} THEN greatest(k, {n}) - i ELSE i - 1 END AS INTEGER) AS level,
         CASE WHEN k = 0 THEN 0 WHEN k = 1 THEN r[1].price / pow(1.0005E0, i - 1) WHEN i <= k THEN r[i].price ELSE r[k].price * pow(1 + step, i - k) END AS price,
@@ -299,7 +299,7 @@ def pad_levels(spark, sf_dir):
         have AS (SELECT DISTINCT symbol FROM lv), sides AS (SELECT symbol, s AS side FROM have, (VALUES ('bid'), ('ask')) v(s)),
         k AS (SELECT symbol, side, count(level) AS k, list(struct_pack(price := price, size := size) ORDER BY level) AS l FROM sides LEFT JOIN groups USING (symbol, side) GROUP BY ALL),
         e AS (SELECT symbol, side, k, CASE WHEN side = 'bid' THEN list_reverse(l) ELSE l END AS r FROM k),
-        m AS (SELECT *, coalesce(list_avg(list_transform(range(2, k + 1), i -> r[i].price / r[i - 1].price - 1)), 0) AS step FROM e),
+        m AS (SELECT *, coalesce(list_avg(list_transform(range(2, k + 1), lambda i: r[i].price / r[i - 1].price - 1)), 0) AS step FROM e),
         g AS (SELECT *, unnest(range(1, 11)) AS i FROM m)
         SELECT symbol AS book, side, CAST(CASE WHEN k > 1 AND side = 'bid' THEN 10 - i ELSE i - 1 END AS INTEGER) AS level,
           CASE WHEN k = 0 THEN 0 WHEN k = 1 THEN r[1].price / pow(1.0005E0, i - 1) WHEN i <= k THEN r[i].price ELSE r[k].price * pow(1 + step, i - k) END AS price,
@@ -318,7 +318,7 @@ def regroup_book(spark, sf_dir):
 @query(
     "geometric_index",
     """WITH g AS (SELECT DISTINCT l_partkey + 30 AS len FROM lineitem),
-       s AS (SELECT len, list_transform(range(0, 26), j -> CASE WHEN j = 25 THEN len WHEN j = 0 THEN 1 ELSE CAST(round_even(len - (pow(2, (25 - j) * log2(len) / 25) - 1), 0) AS BIGINT) END) AS raw FROM g),
+       s AS (SELECT len, list_transform(range(0, 26), lambda j: CASE WHEN j = 25 THEN len WHEN j = 0 THEN 1 ELSE CAST(round_even(len - (pow(2, (25 - j) * log2(len) / 25) - 1), 0) AS BIGINT) END) AS raw FROM g),
        u AS (SELECT len, unnest(range(0, 26)) AS i, unnest(raw) AS x FROM s),
        l AS (SELECT *, greatest(0, min(x - i) OVER (PARTITION BY len ORDER BY i DESC) + i) AS y FROM u)
        SELECT len, CAST(i AS INTEGER) AS i, CAST(x AS INTEGER) AS x, CAST(max(y - i) OVER (PARTITION BY len ORDER BY i) + i AS INTEGER) AS fixed FROM l""",
