@@ -528,6 +528,13 @@ def trade_bars(
     """
     clean = trade_dedupe(trades) if dedupe else trades
     rows = closed_only(bucketed(valid_trades(clean), periods_ms, offsets_ms), as_of_ms)
+    return bars_of_rows(rows, periods_ms, standard_log_regression, rows_per_chunk)
+
+
+def bars_of_rows(
+    rows: DataFrame, periods_ms: Sequence[int], standard_log_regression: bool = False, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """Bars of trades that are already unique, valid and bucketed."""
     summary = scratch_table(with_ema_span(bucket_summary(rows)))
     largest = summary.agg(F.max("num_trades")).first()[0] or 0
     joined = with_summary(rows, summary)
@@ -553,6 +560,42 @@ def simple_bars(
     return rows.groupBy(*GROUP).agg(*(c.alias(n) for n, c in columns.items()))
 
 
+def stale_from(
+    bars: DataFrame, trades: DataFrame, periods_ms: Sequence[int], offsets_ms: Sequence[int] | None = None
+) -> DataFrame:
+    """First stale bucket per market, period and offset: ``stale_ms``.
+
+    A bucket with trades is stale when no bar is stored for it, or one whose ``trade_id`` is not
+    that of its newest trade.  Buckets without trades are skipped.
+    """
+    rows = bucketed(trades, periods_ms, offsets_ms).withColumn("_ord", trade_order())
+    newest = rows.groupBy(*GROUP).agg(F.max_by("id", "_ord").alias("_newest"))
+    stored = bars.select("market", "period_ms", "offset_ms", F.col("time_ms").alias("bucket_ms"), F.col("trade_id").alias("_stored"))
+    checked = newest.join(stored, GROUP, "left")
+    stale = ~F.col("_newest").eqNullSafe(F.col("_stored"))
+    return checked.filter(stale).groupBy("market", "period_ms", "offset_ms").agg(F.min("bucket_ms").alias("stale_ms"))
+
+
+def refresh_stale_bars(
+    bars: DataFrame, trades: DataFrame, periods_ms: Sequence[int], offsets_ms: Sequence[int] | None = None,
+    *, as_of_ms: int | None = None, dedupe: bool = True, rows_per_chunk: int = ROWS_PER_CHUNK,
+) -> DataFrame:
+    """Recomputed bars from the first stale bucket of each series on; nothing for series in order.
+
+    The last good bar before it is recomputed as well, for its trade count, and left out.
+    """
+    series = ["market", "period_ms", "offset_ms"]
+    valid = valid_trades(trade_dedupe(trades) if dedupe else trades)
+    first = stale_from(bars, valid, periods_ms, offsets_ms)
+    before = bars.select(*series, "time_ms").join(first, series).filter(F.col("time_ms") < F.col("stale_ms"))
+    before = before.groupBy(*series).agg(F.max("time_ms").alias("_from"))
+    first = scratch_table(first.join(before, series, "left").withColumn("_from", F.coalesce("_from", "stale_ms")))
+    rows = closed_only(bucketed(valid, periods_ms, offsets_ms), as_of_ms).join(first, series)
+    again = rows.filter(F.col("bucket_ms") >= F.col("_from")).drop("stale_ms", "_from")
+    fresh = bars_of_rows(again, periods_ms, rows_per_chunk=rows_per_chunk).join(first, series)
+    return fresh.filter(F.col("time_ms") >= F.col("stale_ms")).drop("stale_ms", "_from")
+
+
 def series_bounds(df: DataFrame, keys: Sequence[str], time_col: str = "time_ms") -> DataFrame:
     """First and last time per key, 0 where there is none."""
     zero = F.lit(0).cast("bigint")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bars", "filters", "features", "books"]
+MODULES = ["bars", "filters", "features", "books", "ingest", "streams"]
 
 
 def load_all() -> None:
