@@ -172,3 +172,32 @@ def write_futures_stats(spark, sf_dir):
     )
     T.write_futures_stats(stats, path)
     return spark.read.parquet(path).select("time_ms", "id")
+
+
+@query(
+    "book_state",
+    with_views("depth_updates", """SELECT symbol, side, price, qty, change_count, qty_var FROM (SELECT symbol, side, price, max_by(qty, (final_id, event_ms, qty)) AS qty,
+      count(*) AS change_count, var_pop(qty) AS qty_var FROM depth_updates GROUP BY ALL) WHERE qty > 0"""),
+    "price qty qty_var",
+)
+def book_state(spark, sf_dir):
+    """Books from the whole stream of updates, in state that never expires."""
+    from tickloom.streaming import book_state as S
+
+    messages = S.update_messages(_stream(spark, sf_dir, "depth_updates"))
+    return _written(spark, S.book_state(messages, expiry_ms=0)).select("symbol", "side", "price", "qty", "change_count", "qty_var")
+
+
+@query("fan_out", with_views("trades", "SELECT market, count(*) AS n FROM trades GROUP BY market"))
+def fan_out(spark, sf_dir):
+    """Two handlers, of which one fails on every batch."""
+    folder = _folder(spark)
+
+    def broken(batch, batch_id):
+        raise RuntimeError("this handler always fails")
+
+    def counts(batch, batch_id):
+        batch.groupBy("market").agg(F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{folder}/out")
+
+    Z.run_available(_stream(spark, sf_dir, "trades"), Z.fan_out({"broken": broken, "counts": counts}, []), f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out").groupBy("market").agg(F.sum("n").alias("n"))
