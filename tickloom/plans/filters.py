@@ -270,3 +270,21 @@ def book_grouping(spark, sf_dir):
 def price_key(spark, sf_dir):
     key = S.price_key("l_extendedprice")
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", key.alias("k"), (S.price_of_key(key) / F.col("l_extendedprice")).alias("back"))
+
+
+@query(
+    "sql_functions",
+    with_views("trades_big", """SELECT id, time_ms - (time_ms - 60000) % 300000 AS bucket_ms, CASE WHEN flag & 1 <> 0 THEN 'buy' ELSE 'sell' END AS side,
+       lower(translate(market, '/', '_')) AS escaped, floor(log2(price) * 1e8) / 1e8 AS k FROM trades_big"""),
+    "k",
+)
+def sql_functions(spark, sf_dir):
+    """The registered SQL functions called from SQL."""
+    from tickloom.functions.registry import register_functions
+
+    trades = view(spark, sf_dir, "trades_big")
+    register_functions(spark)
+    return spark.sql(
+        "SELECT id, tl_bucket_start(time_ms, 300000, 60000) AS bucket_ms, tl_trade_side(flag) AS side, tl_escape_market(market) AS escaped,"
+        " tl_price_key(price) AS k FROM {trades}", trades=trades,
+    )

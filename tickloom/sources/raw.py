@@ -28,6 +28,15 @@ def _rest(raw: DataFrame) -> list[str]:
     return [c for c in raw.columns if c != "value"]
 
 
+def _exploded(df: DataFrame, array: Column, name: str, keep: list[str]) -> DataFrame:
+    """One row per element.
+
+    The outer form with a filter behind it: for the plain form the optimizer puts checks of
+    the array in front, and the message would be parsed once for each.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def _parsed(raw: DataFrame, schema: str) -> DataFrame:
     return raw.withColumn("m", F.from_json("value", schema))
 
@@ -56,12 +65,6 @@ def read_trades(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- books ----------------------------------------------------------------------
 
-DEPTH_SCHEMA = (
-    "stream string, data struct<e string, E bigint, T bigint, s string, U bigint, u bigint, pu bigint,"
-    " b array<array<string>>, a array<array<string>>>"
-)
-
-
 def _pairs(levels: Column) -> Column:
     return F.transform(
         levels, lambda x: F.struct(F.get(x, F.lit(0)).try_cast("double").alias("price"), F.get(x, F.lit(1)).try_cast("double").alias("qty"))
@@ -71,22 +74,23 @@ def _pairs(levels: Column) -> Column:
 def read_depth_updates(raw: DataFrame) -> DataFrame:
     """Depth deltas exploded to one row per level; ids of 0 count as absent.
 
-    The message names differ only by case (``u``/``U``, ``e``/``E``), so fields are taken by
-    case-sensitive paths.
+    The message's names differ only by case (``u``/``U``, ``e``/``E``), so its fields are read
+    as a map: map keys keep their case.
     """
-    path = lambda p: F.get_json_object("value", f"$.data.{p}")
+    field = lambda n: F.col("m")["data"][n]
     absent = lambda c: F.when(c != 0, c)
-    sides = lambda p: _pairs(F.from_json(path(p), "array<array<string>>"))
-    tagged = lambda p, side: F.transform(
-        F.coalesce(sides(p), F.array()), lambda x: F.struct(F.lit(side).alias("side"), x["price"].alias("price"), x["qty"].alias("qty"))
+    sides = lambda n: _pairs(F.from_json(field(n), "array<array<string>>"))
+    tagged = lambda n, side: F.transform(
+        F.coalesce(sides(n), F.array()), lambda x: F.struct(F.lit(side).alias("side"), x["price"].alias("price"), x["qty"].alias("qty"))
     )
-    rows = raw.select(
-        *_rest(raw), path("s").alias("symbol"), path("U").cast("bigint").alias("first_id"), path("u").cast("bigint").alias("final_id"),
-        absent(path("pu").cast("bigint")).alias("prev_id"), path("E").cast("bigint").alias("event_ms"),
-        absent(path("T").cast("bigint")).alias("transaction_ms"), F.concat(tagged("b", "bid"), tagged("a", "ask")).alias("_levels"),
+    rows = _parsed(raw, "stream string, data map<string, string>").select(
+        *_rest(raw), field("s").alias("symbol"), field("U").try_cast("bigint").alias("first_id"), field("u").try_cast("bigint").alias("final_id"),
+        absent(field("pu").try_cast("bigint")).alias("prev_id"), field("E").try_cast("bigint").alias("event_ms"),
+        absent(field("T").try_cast("bigint")).alias("transaction_ms"), F.concat(tagged("b", "bid"), tagged("a", "ask")).alias("_levels"),
     )
     keep = [c for c in rows.columns if c != "_levels"]
-    return rows.select(*keep, F.inline("_levels"))
+    levels = _exploded(rows, F.col("_levels"), "_x", keep)
+    return levels.select(*keep, "_x.side", "_x.price", "_x.qty")
 
 
 def read_book_snapshot_rest(raw: DataFrame, date_ms: Column | None = None) -> DataFrame:
@@ -159,7 +163,7 @@ def read_klines(raw: DataFrame) -> DataFrame:
         F.from_json(F.when(F.col("value").startswith("[["), F.col("value")), "array<array<string>>"),
         F.array(F.from_json("value", "array<string>")),
     )
-    rows = raw.select(*_rest(raw), F.explode(page).alias("k"))
+    rows = _exploded(raw, page, "k", _rest(raw))
     return rows.select(*_rest(raw), *(F.get("k", F.lit(i)).try_cast(t).alias(n) for i, (n, t) in enumerate(KLINE_FIELDS.items())))
 
 
@@ -202,7 +206,7 @@ def read_swap_feeds(raw: DataFrame, kind: str) -> DataFrame:
     """Records of an envelope ``{code, msg, data: [...]}``; numbers are texts with a default per field."""
     fields = SWAP_FEEDS[kind]
     schema = ", ".join(f"`{f}`: string" for f in ("instType", "instId", *fields))
-    rows = _parsed(raw, f"code string, msg string, data array<struct<{schema}>>").select(*_rest(raw), F.explode("m.data").alias("d"))
+    rows = _exploded(_parsed(raw, f"code string, msg string, data array<struct<{schema}>>"), F.col("m.data"), "d", _rest(raw))
 
     def value(name: str, default) -> Column:
         text = F.col("d")[name]
@@ -227,7 +231,7 @@ SENTIMENT_FEEDS = {
 
 def read_sentiment(raw: DataFrame, kind: str) -> DataFrame:
     """Positional records ``[ts, a, b?]`` of an envelope; the coin comes along as a column of ``raw``."""
-    rows = _parsed(raw, "code string, data array<array<string>>").select(*_rest(raw), F.explode("m.data").alias("d"))
+    rows = _exploded(_parsed(raw, "code string, data array<array<string>>"), F.col("m.data"), "d", _rest(raw))
     return rows.select(
         *_rest(raw), safe_long(F.get("d", F.lit(0))).alias("ts"),
         *(safe_double(F.get("d", F.lit(i + 1))).alias(n) for i, n in enumerate(SENTIMENT_FEEDS[kind])),
@@ -279,7 +283,7 @@ FUTURE_FIELDS = (
 def _listing(raw: DataFrame, fields: str) -> DataFrame:
     parts = [f.split() for f in fields.split(",")]
     schema = ", ".join(f"`{a}`: {t}" for a, _, t in parts)
-    rows = _parsed(raw, f"success boolean, result array<struct<{schema}>>").select(*_rest(raw), F.explode("m.result").alias("d"))
+    rows = _exploded(_parsed(raw, f"success boolean, result array<struct<{schema}>>"), F.col("m.result"), "d", _rest(raw))
     return rows.select(*_rest(raw), *(F.col("d")[a].alias(n) for a, n, _ in parts))
 
 
