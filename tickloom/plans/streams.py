@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
 from tickloom.plans.bars import DOUBLES, bars_ctes
+from tickloom.plans.books import BOOK_SQL, _books
 from tickloom.plans.ingest import _CANDLES, _candles
 from tickloom.plans.registry import query
 from tickloom.plans.views import _MS, VIEWS, view, with_views
@@ -201,3 +202,39 @@ def fan_out(spark, sf_dir):
 
     Z.run_available(_stream(spark, sf_dir, "trades"), Z.fan_out({"broken": broken, "counts": counts}, []), f"{folder}/state")
     return spark.read.parquet(f"{folder}/out").groupBy("market").agg(F.sum("n").alias("n"))
+
+
+@query(
+    "write_book_nested",
+    f"WITH {BOOK_SQL} SELECT book, CAST(len(bids) AS INTEGER) AS bids, CAST(len(asks) AS INTEGER) AS asks, coalesce(asks[1].price, 0) AS first_ask FROM ob",
+    "first_ask",
+)
+def write_book_nested(spark, sf_dir):
+    path = f"{_folder(spark)}/nested"
+    T.write_book_nested(_books(spark, sf_dir), path, "gzip")
+    first = F.coalesce(F.get("asks", F.lit(0))["price"], F.lit(0.0)).alias("first_ask")
+    return spark.read.parquet(path).select("book", F.size("bids").alias("bids"), F.size("asks").alias("asks"), first)
+
+
+@query(
+    "write_book_wide",
+    f"WITH {BOOK_SQL} SELECT book, bids[2].price AS bid_price_2, bids[25].size AS bid_size_25, asks[3].size AS ask_size_3 FROM ob",
+    "bid_price_2 bid_size_25 ask_size_3",
+)
+def write_book_wide(spark, sf_dir):
+    path = f"{_folder(spark)}/wide"
+    T.write_book_wide(_books(spark, sf_dir), path)
+    return spark.read.parquet(path).select("book", "bid_price_2", "bid_size_25", "ask_size_3")
+
+
+@query(
+    "write_book_table",
+    f"WITH {BOOK_SQL} SELECT count(*) AS n, CAST(coalesce(sum(bids[25].price), 0) AS DOUBLE) AS s FROM ob WHERE len(bids) = 25",
+    "s", digits=2,
+)
+def write_book_table(spark, sf_dir):
+    """The rows a book table takes: books of exactly 25 levels a side (here the bids serve as both)."""
+    books = _books(spark, sf_dir)
+    counted = F.transform("bids", lambda x: F.struct(x["price"], F.lit(1).alias("count"), x["size"]))
+    rows = T.table_books(books.select("book", counted.alias("bids"), counted.alias("asks")))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("ask_price_25"), F.lit(0.0)).alias("s"))
