@@ -209,9 +209,6 @@ def _books(spark, sf_dir):
     )
 
 
-NOW_MS = 900_000_000_000
-
-
 @query(
     "validate_book",
     f"""WITH {BOOK_SQL} SELECT book, concat_ws(',', CASE WHEN NOT grouping > 0 THEN 'grouping' END,

@@ -116,11 +116,6 @@ def enrich_open_interest(spark, sf_dir):
 
 
 STEP_MS = 60 * DAY_MS
-_CARRY = ", ".join(
-    f"last_value({c} IGNORE NULLS) OVER w AS {c}"
-    for c in "oi oi_ccy ots fr tk mark_px".split()
-)
-
 
 @query(
     "swap_context_asof",
