@@ -35,11 +35,15 @@ def features(raw: bytes, bits: int = BITS, order: int = ORDER) -> np.ndarray:
     return np.unique(np.concatenate(out)).astype(np.int32) if out else np.zeros(0, np.int32)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """``(id, text, label)`` of the rows to learn from; a label is 0 or 1, repeated labels count once."""
-    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND id IS NOT NULL").distinct()
-    marks = marks.where(~held_out(F.col("id")))
-    if marks.count() <= BROADCAST_LABELS:
+def marks_of(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``(id, label)`` to learn from, neither null nor held out; a label is 0 or 1, repeated labels count once."""
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    return marks.where("label IN (0, 1) AND id IS NOT NULL").where(~held_out(F.col("id"))).distinct()
+
+
+def labelled(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """``(id, text, label)``; up to ``most`` labels are sent to the texts, so that these stay where they are."""
+    if marks.count() <= most:
         marks = F.broadcast(marks)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(marks, "id")
 
@@ -86,13 +90,14 @@ def log_count_ratios(rows: DataFrame, bits: int = BITS, order: int = ORDER, smoo
     return np.log(total[1] / total[1].sum()) - np.log(total[0] / total[0].sum())
 
 
-def fit(rows: DataFrame, ratios: np.ndarray, bits: int = BITS, order: int = ORDER, fit_rows: int = FIT_ROWS, cost: float = COST, passes: int = PASSES) -> np.ndarray:
+def fit(docs: DataFrame, marks: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, order: int = ORDER, fit_rows: int = FIT_ROWS, cost: float = COST, passes: int = PASSES) -> np.ndarray:
     """Weights of the features and, last, the bias, by dual coordinate descent in one task over ``fit_rows`` rows at most.
 
-    The rows are those of least hash of id and label, so the same input gives the same model. Rows of either class weigh
+    Labels are taken by the least hash of id and label, so the same input gives the same model. Rows of either class weigh
     the same in sum. Without rows of both classes the weights are zero, and the bias says which class there is.
     """
-    chosen = rows.orderBy(F.xxhash64("id", "label"), "id", "label", F.md5(F.coalesce("text", F.lit("")))).limit(fit_rows)
+    chosen = marks.orderBy(F.xxhash64("id", "label"), "id", "label").limit(fit_rows)
+    rows = labelled(docs, chosen, id_col, text_col, fit_rows).limit(fit_rows)  # an id may have several texts
     shared = rows.sparkSession.sparkContext.broadcast(ratios)
 
     def train(batches):
@@ -103,8 +108,9 @@ def fit(rows: DataFrame, ratios: np.ndarray, bits: int = BITS, order: int = ORDE
         weights = descend(found, np.array(labels), shared.value, cost, passes)
         yield pa.RecordBatch.from_arrays([pa.array([weights], pa.list_(pa.float64()))], names=["weights"])
 
-    made = byte_bounded(chosen).select("text", "label").coalesce(1).mapInArrow(train, "weights array<double>").first()
-    return np.array(made["weights"])
+    rows = byte_bounded(rows).repartition(1).sortWithinPartitions(F.xxhash64("id", "label"), "id", "label", "text").select("text", "label")
+    made = rows.mapInArrow(train, "weights array<double>").first()
+    return np.zeros(len(ratios) + 1) if made is None else np.array(made["weights"])
 
 
 def descend(found: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, cost: float, passes: int) -> np.ndarray:
@@ -143,9 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Ratios are counted over all of them; the hinge-loss model is fitted on at most ``fit_rows``. Nothing but the text is read.
     """
-    rows = labelled(docs, labels, id_col, text_col, label_col)
-    ratios = log_count_ratios(rows, bits, order)
-    return ratios, fit(rows, ratios, bits, order, fit_rows)
+    marks = marks_of(labels, id_col, label_col)
+    ratios = log_count_ratios(labelled(docs, marks, id_col, text_col, BROADCAST_LABELS), bits, order)
+    return ratios, fit(docs, marks, ratios, id_col, text_col, bits, order, fit_rows)
 
 
 def rated(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:

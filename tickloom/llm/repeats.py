@@ -151,7 +151,8 @@ def _removed(texts: DataFrame, window: int) -> DataFrame:
     Texts are put together in batches and written with the hashes of their candidate windows, one sorted blob for each
     batch and bucket of hashes. Buckets count, and answer with one bit a hash; the batch then knows its windows.
     """
-    total = texts.select(F.sum(F.expr("aggregate(sequence(0, size(runs) - 2, 2), 0L, (s, i) -> s + runs[i + 1] - runs[i])"))).first()[0] or 0
+    windows = "coalesce(aggregate(sequence(0, size(runs) - 2, 2), 0L, (s, i) -> s + runs[i + 1] - runs[i]), octet_length(text))"
+    total = texts.select(F.sum(F.expr(windows))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_WINDOWS))
 
     def ask(batches):
@@ -165,7 +166,7 @@ def _removed(texts: DataFrame, window: int) -> DataFrame:
                 name = part << 32 | number
                 number += 1
                 rows = rows.to_pylist()
-                hashes = [_asked(x["text"].encode(), np.array(x["runs"], np.int64), window) for x in rows]
+                hashes = [_asked(x["text"].encode(), np.array(x["runs"] or [], np.int64), window) for x in rows]
                 own, counts = np.unique(np.concatenate(hashes), return_counts=True)
                 sure = counts > 1
                 for x, mine in zip(rows, hashes):
@@ -201,7 +202,7 @@ def _removed(texts: DataFrame, window: int) -> DataFrame:
         for rows in _whole_batches(batches):
             bits = {x["bucket"]: np.frombuffer(x["bits"], np.uint8) for x in rows if x["bits"] is not None}
             texts_ = [x for x in rows if x["bits"] is None]
-            hashes = [_asked(x["text"].encode(), np.array(x["runs"], np.int64), window) for x in texts_]
+            hashes = [_asked(x["text"].encode(), np.array(x["runs"] or [], np.int64), window) for x in texts_]
             own = np.unique(np.concatenate(hashes))
             of = own["a"] % np.uint64(buckets)
             flags = np.zeros(len(own), bool)
@@ -211,7 +212,7 @@ def _removed(texts: DataFrame, window: int) -> DataFrame:
             out = []
             for x, mine in zip(texts_, hashes):
                 words = words_of(x["text"].encode())
-                starts = np.flatnonzero(of_runs(np.array(x["runs"], np.int64), len(words) - window + 1))
+                starts = np.flatnonzero(of_runs(np.array(x["runs"] or [], np.int64), len(words) - window + 1))
                 starts = starts[flags[np.searchsorted(own, mine)]]
                 edges = np.zeros(len(words) + 1, np.int32)
                 np.add.at(edges, starts, 1)
@@ -295,7 +296,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, shortest: int = SHORT
     classes = scratch_table(classes.withColumn("key", F.monotonically_increasing_id()))
     texts = rows.join(classes, ["name", "digest"])
     texts = texts.select("name", "digest", "key", "copies", "text", F.lit(None).cast("array<long>").alias("runs"))
-    for level in lengths(window, shortest)[:-1]:
+    for level in lengths(window, min(shortest, (window + 1) // 2))[:-1]:
         texts = scratch_table(_level(texts, classes, window, level))
     # a text that stands in several equal rows comes several times; its copies are removed whole in any case
     removed = scratch_table(_removed(texts, window)).join(classes.where("copies = 1").select("key", "digest"), "key").drop("key")
