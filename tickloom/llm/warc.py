@@ -73,15 +73,15 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.select("id", "url", "payload", F.sha1("payload").alias("sha"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name"), F.coalesce("url", F.lit("")).alias("place"))
     key = ["name", "place", "sha"]
-    groups = rows.groupBy(*key).agg(F.count("*").alias("copies"), F.max("id").alias("id"), F.max(F.octet_length("payload")).alias("size"))
+    groups = rows.groupBy(*key).agg(F.max("id").alias("id"), F.max(F.octet_length("payload")).alias("size"))
     best = groups.where(F.col("size") >= least_bytes).groupBy("sha").agg(F.max(F.struct("id", "name", "place")).alias("best"))
+    linked = F.col("best").isNotNull()
     facts = groups.join(best, "sha", "left").select(
-        *key, "copies", F.col("best.id").alias("refers_to"), (F.col("best").isNull() | (F.struct("name", "place") == F.struct("best.name", "best.place"))).alias("first"), F.col("best").isNotNull().alias("linked")
+        *key, linked.alias("linked"), F.col("best.id").alias("refers_to"), (~linked | (F.struct("name", "place") == F.struct("best.name", "best.place"))).alias("first")
     )
-    joined = rows.join(facts, key).select("id", "url", "payload", *key, "copies", "first", F.when(F.col("linked"), F.col("refers_to")).alias("refers_to"), "linked")
-    single = joined.where("copies = 1")
-    several = joined.where("copies > 1").dropDuplicates(key)
-    return single.unionByName(several).select("id", "url", "payload", "copies", "refers_to", "first", "linked")
+    # the one move of payloads; equal rows meet in the tasks that read them first
+    whole = rows.groupBy(*key).agg(F.first("id").alias("id"), F.first("url").alias("url"), F.first("payload").alias("payload"), F.count("*").alias("copies"))
+    return whole.join(facts, key).select("id", "url", "payload", "copies", "refers_to", "first", "linked")
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
