@@ -66,21 +66,32 @@ def _run(spark, folder, build, schema, mode="append"):
     return got
 
 
+def _keep(spark, folder, schema, **choices):
+    stream = S.update_messages(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+    books = {}
+    keeper = S.book_keeper(f"{folder}/books", lambda df, i: books.update({i: df.collect()}), **choices)
+    Z.run_available(stream, keeper, f"{folder}/state")
+    return books
+
+
 def test_book_state_removal_and_statistics(spark):
     schema = "symbol string, side string, price double, qty double, final_id bigint, event_ms bigint"
     folder = tempfile.mkdtemp(prefix="tickloom-")
     batches = [
-        [("s", "bid", 100.0, 1.0, 1, 10), ("s", "bid", 100.0, 3.0, 2, 11), ("s", "bid", 100.0, 9.0, 1, 9)],
+        [("s", "bid", 100.0, 1.0, 1, 10), ("s", "bid", 100.0, 3.0, 2, 11), ("s", "bid", 100.0, 9.0, 1, 9), ("s", "ask", 101.0, 5.0, 1, 10)],
         [("s", "bid", 100.0, 0.0, 3, 12)],
+        [("s", "bid", 100.0, 4.0, 4, 5000)],
     ]
-    seen = []
+    seen = {}
     for _ in _stream(spark, batches, schema, folder):
-        seen.append(_run(spark, folder, lambda d: S.book_state(S.update_messages(d)), schema))
-    first = seen[0][0]
+        seen.update(_keep(spark, folder, schema, expiry_ms=1000))
+    first = {r.side: r for r in seen[0]}
     # the update that came late is older than the level and does not apply
-    assert (first.qty, first.last_id) == (3.0, 2)
-    # unchanged since the emission and emptied: removed
-    assert seen[1] == []
+    assert (first["bid"].qty, first["bid"].last_id, first["ask"].change_count) == (3.0, 2, 1)
+    # unchanged since the emission and emptied: removed; the untouched ask is in the book, with its counts reset
+    assert [(r.side, r.qty, r.change_count, r.stat_count) for r in seen[1]] == [("ask", 5.0, 0, 0)]
+    # the ask, untouched, expires by the clock
+    assert [(r.side, r.qty) for r in seen[2]] == [("bid", 4.0)]
 
 
 def test_snapshot_replaces_older_levels(spark):

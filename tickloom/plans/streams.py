@@ -186,7 +186,72 @@ def book_state(spark, sf_dir):
     from tickloom.streaming import book_state as S
 
     messages = S.update_messages(_stream(spark, sf_dir, "depth_updates"))
-    return _written(spark, S.book_state(messages, expiry_ms=0)).select("symbol", "side", "price", "qty", "change_count", "qty_var")
+    return _emitted(spark, messages, expiry_ms=0).select("symbol", "side", "price", "qty", "change_count", "qty_var")
+
+
+def _emitted(spark, messages, **choices):
+    """All books that a stream of messages emits, with the number of the emission."""
+    from tickloom.streaming import book_state as S
+
+    folder = _folder(spark)
+    emit = lambda books, i: books.write.mode("overwrite").parquet(f"{folder}/out/emission={i}")
+    Z.run_available(messages, S.book_keeper(folder, emit, **choices), f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")
+
+
+_BATCHES, _EXPIRY = 4, 120 * 86_400_000
+_REPLAY = f"""msgs0 AS (SELECT symbol, side, price, qty, final_id AS id, event_ms, 2 AS rank,
+     CAST((event_ms - lo) * {_BATCHES} // (hi - lo + 1) AS INTEGER) AS b FROM depth_updates, (SELECT min(event_ms) AS lo, max(event_ms) AS hi FROM depth_updates)),
+   head AS (SELECT symbol, (min(id) + max(id)) // 2 AS id, max(event_ms) AS event_ms FROM msgs0 WHERE b = 2 GROUP BY symbol),
+   snap AS (SELECT symbol, side, price, max(qty) + 1 AS qty FROM msgs0 WHERE b = 2 AND id % 5 = 0 GROUP BY ALL),
+   clears AS (SELECT symbol, side, id, max(price) AS top FROM snap JOIN head USING (symbol) GROUP BY ALL),
+   msgs AS (SELECT * FROM msgs0 UNION ALL SELECT symbol, side, price, qty, id, event_ms, 1, 2 FROM snap JOIN head USING (symbol)),
+   s0 AS (SELECT symbol, side, price, qty, id AS last_id, event_ms AS last_ms FROM msgs WHERE FALSE)"""
+
+
+def _replay_step(k: int) -> str:
+    """One trigger: the state before is ``s<k>``, what it emits is ``t<k + 1>``."""
+    covers = lambda x, cond: f"NOT EXISTS (SELECT 1 FROM clears c WHERE {k} = 2 AND c.symbol = {x}.symbol AND c.side = {x}.side AND (c.side = 'bid' OR {x}.price <= c.top) AND {cond})"
+    return f"""o{k} AS (SELECT * FROM s{k} s WHERE {covers('s', 's.last_id <= c.id')}),
+      j{k} AS (SELECT m.*, o.last_id AS old, row_number() OVER (PARTITION BY m.symbol, m.side, m.price ORDER BY m.id, m.rank, m.event_ms, m.qty) AS rn
+        FROM msgs m LEFT JOIN o{k} o ON m.symbol = o.symbol AND m.side = o.side AND m.price = o.price WHERE b = {k} AND (o.last_id IS NULL OR m.id >= o.last_id) AND {covers('m', 'm.id < c.id')}),
+      u{k} AS (SELECT *, rn = 1 AND old IS NOT NULL AND rank = 2 AND qty <= 0 AND id <> coalesce(old, id) AS gone FROM j{k}),
+      a{k} AS (SELECT symbol, side, price, bool_or(gone) AS gone, count(*) FILTER (NOT gone) AS n, arg_max(qty, rn) FILTER (NOT gone) AS qty, arg_max(id, rn) FILTER (NOT gone) AS last_id,
+        arg_max(event_ms, rn) FILTER (NOT gone) AS last_ms, var_pop(qty) FILTER (NOT gone) AS v FROM u{k} GROUP BY ALL),
+      t{k + 1} AS (SELECT {k} AS emission, symbol, side, price, coalesce(n, 0) AS n, v, CASE WHEN n > 0 THEN a.qty ELSE o.qty END AS qty, CASE WHEN n > 0 THEN a.last_id ELSE o.last_id END AS last_id,
+        CASE WHEN n > 0 THEN a.last_ms ELSE o.last_ms END AS last_ms FROM a{k} a FULL JOIN o{k} o USING (symbol, side, price) WHERE n > 0 OR (o.last_id IS NOT NULL AND NOT coalesce(gone, FALSE))),
+      s{k + 1} AS (SELECT symbol, side, price, qty, last_id, last_ms FROM t{k + 1} WHERE last_ms >= (SELECT max(event_ms) FROM msgs WHERE b <= {k}) - {_EXPIRY})"""
+
+
+_EMITTED_SQL = " UNION ALL ".join(f"SELECT emission, symbol, side, price, qty, last_id, n AS change_count, v AS qty_var FROM t{k + 1} SEMI JOIN s{k + 1} USING (symbol, side, price) WHERE qty > 0" for k in range(_BATCHES))
+
+
+@query("book_state_batches", with_views("depth_updates", f"WITH {_REPLAY}, {', '.join(map(_replay_step, range(_BATCHES)))} {_EMITTED_SQL}"), "price qty qty_var")
+def book_state_batches(spark, sf_dir):
+    """Whole books after each of four triggers, with removals, expiry and, in the third, a snapshot of every symbol.
+
+    The bids are cleared whole, the asks up to the snapshot's highest.
+    """
+    from tickloom.streaming import book_state as S
+
+    folder = _folder(spark)
+    updates = view(spark, sf_dir, "depth_updates")
+    low, high = updates.agg(F.min("event_ms"), F.max("event_ms")).first()
+    updates = updates.withColumn("b", F.floor((F.col("event_ms") - low) * _BATCHES / (high - low + 1)))
+    third = updates.filter("b = 2")
+    head = third.groupBy("symbol").agg(F.expr("(min(final_id) + max(final_id)) div 2").alias("last_id"), F.max("event_ms").alias("time_ms"))
+    levels = third.filter("final_id % 5 = 0").groupBy("symbol", "side", "price").agg((F.max("qty") + 1).alias("qty"))
+    side = lambda s: F.collect_list(F.when(F.col("side") == s, F.struct("price", "qty"))).alias(f"{s}s")
+    snapshots = head.join(levels.groupBy("symbol").agg(side("bid"), side("ask")), "symbol")
+    bids = S.snapshot_messages(snapshots, True).filter("side = 'bid'")
+    asks = S.snapshot_messages(snapshots, False).filter("side = 'ask'")
+    for k in range(_BATCHES):
+        rows = S.update_messages(updates.filter(F.col("b") == k))
+        rows = rows.unionByName(bids).unionByName(asks) if k == 2 else rows
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    books = _emitted(spark, stream, expiry_ms=_EXPIRY)
+    return books.select("emission", "symbol", "side", "price", "qty", "last_id", "change_count", "qty_var")
 
 
 @query("fan_out", with_views("trades", "SELECT market, count(*) AS n FROM trades GROUP BY market"))
