@@ -229,22 +229,24 @@ def reject_epoch_books(spark, sf_dir):
     return good.select("book", "time_ms", F.lit(True).alias("kept")).unionByName(bad.select("book", "time_ms", F.lit(False).alias("kept")))
 
 
-_WIDE = [(f"{s[:-1]}_{f}_{i}", s, f, i) for s in ("bids", "asks") for i in range(1, 6) for f in ("price", "size")]
+_WIDE = [(f"{s[:-1]}_{f}_{i}", s, f, i) for s in ("bids", "asks") for i in range(1, 60) for f in ("price", "size")]
 
 
 @query("book_to_wide", f"WITH {BOOK_SQL} SELECT book, {', '.join(f'{s}[{i}].{f} AS {c}' for c, s, f, i in _WIDE)} FROM ob", " ".join(c for c, *_ in _WIDE))
 def book_to_wide(spark, sf_dir):
-    return K.book_to_wide(_books(spark, sf_dir).select("book", "bids", "asks"), 5)
+    return K.book_to_wide(_books(spark, sf_dir).select("book", "bids", "asks"), 59)
 
 
 def _flat(books, column: str = "levels"):
     return books.select("book", F.posexplode(column).alias("level", "x")).select("book", "level", "x.price", "x.size")
 
 
-@query("wide_to_book", f"WITH {BOOK_SQL} SELECT book, CAST(i - 1 AS INTEGER) AS level, bids[i].price AS price, bids[i].size AS size FROM (SELECT book, bids, unnest(range(1, least(len(bids), 25) + 1)) AS i FROM ob)", "price size")
+@query("wide_to_book", f"WITH {BOOK_SQL}, l AS (SELECT book, 'bid' AS side, bids AS x FROM ob UNION ALL SELECT book, 'ask', asks FROM ob)"
+       " SELECT book, side, CAST(i - 1 AS INTEGER) AS level, x[i].price AS price, x[i].size AS size FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM l)", "price size")
 def wide_to_book(spark, sf_dir):
-    wide = K.book_to_wide(_books(spark, sf_dir).select("book", "bids", "asks"), 25)
-    return _flat(K.wide_to_book(wide, 25), "bids")
+    wide = K.book_to_wide(_books(spark, sf_dir).select("book", "bids", "asks"), 59)
+    books = K.wide_to_book(wide, 59)
+    return _flat(books, "bids").withColumn("side", F.lit("bid")).unionByName(_flat(books, "asks").withColumn("side", F.lit("ask")))
 
 
 @query("split_and_concat", f"WITH {BOOK_SQL}, c AS (SELECT book, list_concat(bids, bids) AS l FROM ob) SELECT book, CAST(i - 1 AS INTEGER) AS level, l[i].price AS price, l[i].size AS size"

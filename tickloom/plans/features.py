@@ -248,9 +248,15 @@ def picked_option_rows(spark, sf_dir):
     return D.option_row(D.option_context(oi, ticker, summary, instruments, picked))
 
 
-@query("option_book_hash")
+@query("option_book_hash", with_views("option_chain", f"WITH {_CHAIN} SELECT underlying, bool_or(CAST(strike AS BIGINT) % 97 = 0 AND oi IS NOT NULL) AS changed FROM opt"
+       " WHERE seq % 10 <> 3 AND seq % 7 <> 2 GROUP BY underlying"))
 def option_book_hash(spark, sf_dir):
-    return D.option_book_hash(D.option_context(*_options(spark, sf_dir)))
+    """Whether an underlying's digest changes when the open interest of some strikes does, and when its rows come in another order."""
+    context = D.option_context(*_options(spark, sf_dir))
+    more = F.when(F.col("option.strike").cast("bigint") % 97 == 0, F.col("oi.oi") + 1).otherwise(F.col("oi.oi"))
+    after = context.withColumn("oi", F.col("oi").withField("oi", more)).repartition(5, "inst_id")
+    now = D.option_book_hash(after).withColumnRenamed("book_hash", "after")
+    return D.option_book_hash(context).join(now, "underlying").select("underlying", (F.col("book_hash") != F.col("after")).alias("changed"))
 
 
 # --- sentiment ------------------------------------------------------------------

@@ -107,14 +107,18 @@ def read_book_array(spark, sf_dir):
     )
 
 
-def _candles(spark, sf_dir):
+def _candle_messages(spark, sf_dir):
     """Candle arrays from order lines, one symbol per part; the last of some parts is cut short."""
     line = _table(spark, sf_dir, "lineitem")
     open_ms = F.unix_millis(F.col("l_shipdate").cast("timestamp")) + F.col("l_orderkey") * 8 + F.col("l_linenumber")
     length = F.when(F.col("l_quantity") > 25, 59_999).otherwise(30_000)
     fields = [_text(open_ms), *(_text(F.col("l_extendedprice") + i) for i in range(4)), _text("l_quantity"), _text(open_ms + length),
               _text("l_extendedprice"), _text("l_linenumber"), _text("l_tax"), _text("l_discount"), F.lit("0")]
-    return R.read_klines(line.select(F.col("l_partkey").alias("symbol"), F.to_json(F.array(*fields)).alias("value")))
+    return line.select(F.col("l_partkey").alias("symbol"), F.to_json(F.array(*fields)).alias("value"))
+
+
+def _candles(spark, sf_dir):
+    return R.read_klines(_candle_messages(spark, sf_dir))
 
 
 _CANDLES = """k AS (SELECT l_partkey AS symbol, epoch_us(l_shipdate) // 1000 + l_orderkey * 8 + l_linenumber AS open_time, l_extendedprice AS open, l_extendedprice + 1 AS high,
@@ -126,6 +130,17 @@ def read_klines(spark, sf_dir):
     return _candles(spark, sf_dir).select("symbol", "open_time", "open", "high", "volume", "close_time", "trades", "taker_quote_volume")
 
 
+@query("read_kline_pages", f"WITH {_CANDLES} SELECT symbol, open_time, open, high, volume, open_time + span AS close_time, trades, taker_quote_volume FROM k", "open high volume taker_quote_volume")
+def read_kline_pages(spark, sf_dir):
+    """Pages of a day's candles, with blanks before, between and behind, and empty pages that give nothing."""
+    one = _candle_messages(spark, sf_dir)
+    day = F.floor(F.get(F.from_json("value", "array<string>"), F.lit(0)).cast("bigint") / 86_400_000)
+    pages = one.groupBy("symbol", day).agg(F.concat(F.lit(" [ "), F.array_join(F.collect_list("value"), " ,\n "), F.lit(" ] ")).alias("value"))
+    empty = one.select("symbol", F.lit(" [ ] ").alias("value")).distinct()
+    pages = R.read_klines(pages.select("symbol", "value").unionByName(empty))
+    return pages.select("symbol", "open_time", "open", "high", "volume", "close_time", "trades", "taker_quote_volume")
+
+
 @query("close_candles", f"""WITH {_CANDLES}, n AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS c, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC, span DESC) AS r,
        first(span) OVER (PARTITION BY symbol ORDER BY open_time, span) AS fs, min(open_time) OVER (PARTITION BY symbol) AS fo FROM k)
        SELECT symbol, open_time, open_time + span AS close_time FROM n WHERE NOT (r = 1 AND CASE WHEN c = 1 THEN span < 59999 ELSE open_time = fo OR fs > span END)""")

@@ -281,15 +281,40 @@ def write_book_nested(spark, sf_dir):
     return spark.read.parquet(path).select("book", F.size("bids").alias("bids"), F.size("asks").alias("asks"), first)
 
 
-@query(
-    "write_book_wide",
-    f"WITH {BOOK_SQL} SELECT book, bids[2].price AS bid_price_2, bids[25].size AS bid_size_25, asks[3].size AS ask_size_3 FROM ob",
-    "bid_price_2 bid_size_25 ask_size_3",
-)
+def _mirrored(spark, sf_dir):
+    """Books whose asks are the bids, 1000 higher; every level counts one."""
+    side = lambda up: F.transform("bids", lambda x: F.struct((x["price"] + up).alias("price"), F.lit(1).alias("count"), x["size"].alias("size")))
+    return _books(spark, sf_dir).select("book", "market", "time_ms", side(0).alias("bids"), side(1000).alias("asks"))
+
+
+def _wide_sql(n: int, count: bool) -> tuple[str, str]:
+    """Query of all level columns of the mirrored books of one depth, and its double columns."""
+    fields = lambda s, up, i: [f"bids[{i}].price + {up} AS {s}_price_{i}", *([f"1 AS {s}_count_{i}"] if count else []), f"bids[{i}].size AS {s}_size_{i}"]
+    columns = [x for s, up in (("bid", 0), ("ask", 1000)) for i in range(1, n + 1) for x in fields(s, up, i)]
+    doubles = [x.split(" AS ")[1] for x in columns if not x.startswith("1 AS")]
+    return f"WITH {BOOK_SQL} SELECT book, {', '.join(columns)} FROM ob WHERE len(bids) = {n}", " ".join(doubles)
+
+
+@query("write_book_wide", *_wide_sql(25, False))
 def write_book_wide(spark, sf_dir):
+    """All columns of the books of 25 levels."""
     path = f"{_folder(spark)}/wide"
-    T.write_book_wide(_books(spark, sf_dir), path)
-    return spark.read.parquet(path).select("book", "bid_price_2", "bid_size_25", "ask_size_3")
+    T.write_book_wide(_mirrored(spark, sf_dir), path, 25)
+    return spark.read.parquet(path).drop("market_hash", "time_ms")
+
+
+@query("write_book_wide_50", *_wide_sql(50, True))
+def write_book_wide_50(spark, sf_dir):
+    """All columns of the books of 50 levels, with counts."""
+    path = f"{_folder(spark)}/wide"
+    T.write_book_wide(_mirrored(spark, sf_dir), path, 50, with_count=True)
+    return spark.read.parquet(path).drop("market_hash", "time_ms")
+
+
+@query("write_book_wide_rejects", f"WITH {BOOK_SQL} SELECT book, CAST(len(bids) AS INTEGER) AS depth FROM ob WHERE len(bids) <> 25")
+def write_book_wide_rejects(spark, sf_dir):
+    """Books of another depth come back instead of being cut or filled up."""
+    return T.write_book_wide(_mirrored(spark, sf_dir), f"{_folder(spark)}/wide", 25).select("book", F.size("asks").alias("depth"))
 
 
 @query(

@@ -75,20 +75,27 @@ def write_book_nested(books: DataFrame, path: str, compression: str = "snappy")
     ).parquet(path)
 
 
-def wide_books(books: DataFrame, levels: int = TABLE_LEVELS, with_count: bool = False) -> DataFrame:
-    """Wide form with the market as its hash."""
-    wide = book_to_wide(books, levels, with_count)
+def of_depth(books: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
+    """Books with exactly ``levels`` levels on each side, and the others."""
+    full = F.coalesce((F.size("bids") == levels) & (F.size("asks") == levels), F.lit(False))
+    return books.filter(full), books.filter(~full)
+
+
+def wide_books(books: DataFrame, levels: int, with_count: bool = False) -> DataFrame:
+    """Wide form with the market as its hash, of the books of that depth."""
+    wide = book_to_wide(of_depth(books, levels)[0], levels, with_count)
     return wide.withColumn("market_hash", pair_hash("market")).drop("market")
 
 
-def write_book_wide(books: DataFrame, path: str, levels: int = TABLE_LEVELS, with_count: bool = False, compression: str = "snappy") -> None:
+def write_book_wide(books: DataFrame, path: str, levels: int, with_count: bool = False, compression: str = "snappy") -> DataFrame:
+    """Append the books of that depth in the wide form; returned are the books of another depth, which are not written."""
     wide_books(books, levels, with_count).write.mode("append").option("compression", compression).parquet(path)
+    return of_depth(books, levels)[1]
 
 
 def table_books(books: DataFrame) -> DataFrame:
     """Wide rows of the books that have exactly 25 levels on each side."""
-    full = books.filter((F.size("bids") == TABLE_LEVELS) & (F.size("asks") == TABLE_LEVELS))
-    return book_to_wide(full, TABLE_LEVELS, with_count=True)
+    return book_to_wide(of_depth(books, TABLE_LEVELS)[0], TABLE_LEVELS, with_count=True)
 
 
 def write_book_table(books: DataFrame, table: str) -> None:

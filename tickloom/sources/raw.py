@@ -158,11 +158,13 @@ KLINE_FIELDS = {
 
 
 def read_klines(raw: DataFrame) -> DataFrame:
-    """The 11 used fields of candle arrays; one candle or a page of candles per message."""
-    page = F.coalesce(
-        F.from_json(F.when(F.col("value").startswith("[["), F.col("value")), "array<array<string>>"),
-        F.array(F.from_json("value", "array<string>")),
-    )
+    """The 11 used fields of candle arrays; one candle or a page of candles per message.
+
+    The first element tells a page from a candle, wherever the message has blanks; an empty page has no candles.
+    """
+    parts = F.from_json("value", "array<string>")
+    candles = F.transform(parts, lambda x: F.from_json(x, "array<string>"))
+    page = F.when(F.size(parts) == 0, F.array().cast("array<array<string>>")).when(F.get(parts, F.lit(0)).startswith("["), candles).otherwise(F.array(parts))
     rows = _exploded(raw, page, "k", _rest(raw))
     return rows.select(*_rest(raw), *(F.get("k", F.lit(i)).try_cast(t).alias(n) for i, (n, t) in enumerate(KLINE_FIELDS.items())))
 
