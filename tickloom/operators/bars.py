@@ -578,15 +578,18 @@ def stale_from(
 
 def refresh_stale_bars(
     bars: DataFrame, trades: DataFrame, periods_ms: Sequence[int], offsets_ms: Sequence[int] | None = None,
-    *, as_of_ms: int | None = None, dedupe: bool = True, rows_per_chunk: int = ROWS_PER_CHUNK,
+    *, as_of_ms: int | None = None, dedupe: bool = True, rows_per_chunk: int = ROWS_PER_CHUNK, stale: DataFrame | None = None,
 ) -> DataFrame:
     """Recomputed bars from the first stale bucket of each series on; nothing for series in order.
 
+    ``stale`` may name these buckets, ``(market, period_ms, offset_ms, stale_ms)``: newest trades alone do not show that a
+    trade has come late into the middle of a bucket.
+
     The last good bar before it is recomputed as well, for its trade count, and left out.
     """
     series = ["market", "period_ms", "offset_ms"]
     valid = valid_trades(trade_dedupe(trades) if dedupe else trades)
-    first = stale_from(bars, valid, periods_ms, offsets_ms)
+    first = stale_from(bars, valid, periods_ms, offsets_ms) if stale is None else stale
     before = bars.select(*series, "time_ms").join(first, series).filter(F.col("time_ms") < F.col("stale_ms"))
     before = before.groupBy(*series).agg(F.max("time_ms").alias("_from"))
     first = scratch_table(first.join(before, series, "left").withColumn("_from", F.coalesce("_from", "stale_ms")))

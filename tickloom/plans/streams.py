@@ -35,6 +35,24 @@ def _stream(spark, sf_dir: str, name: str):
     )
 
 
+def _in_batches(spark, sf_dir: str, name: str, number: str, copies: str = "FALSE", count: int = 4):
+    """A view as a stream of several triggers: ``number`` says which takes a row, rows of ``copies`` come again in the next."""
+    folder = _folder(spark)
+    rows = view(spark, sf_dir, name)
+    low, high = (rows.agg(F.min("time_ms"), F.max("time_ms")).first() if "time_ms" in rows.columns else (0, 0))
+    rows = rows.withColumn("_b", F.expr(number.format(low=low, span=high - low + 1, count=count)).cast("int"))
+    rows = rows.unionByName(rows.filter(copies).withColumn("_b", F.col("_b") + 1))
+    for k in range(count + 1):
+        rows.filter(F.col("_b") == k).drop("_b").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    schema = rows.drop("_b").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+#: Quarters of the time span; late: some rows come a quarter later.
+_QUARTER = "(time_ms - {low}) * {count} div {span}"
+_LATE = f"least({_QUARTER} + IF(id % 11 = 0, 1, 0), {{count}} - 1)"
+
+
 def _written(spark, stream, mode: str = "append"):
     """All output of a stream, run to its end."""
     folder = _folder(spark)
@@ -52,21 +70,27 @@ _SIMPLE = "open high low close volume buy_ratio buy_volume_ratio liquidation_vol
     _SIMPLE,
 )
 def stream_bars(spark, sf_dir):
-    return _written(spark, Z.stream_bars(_stream(spark, sf_dir, "trades"), 4 * HOUR_MS, HOUR_MS, "1 hour"))
+    """Four triggers in the order of time: bars whose trades come in two of them are put together in state."""
+    return _written(spark, Z.stream_bars(_in_batches(spark, sf_dir, "trades", _QUARTER), 4 * HOUR_MS, HOUR_MS, "1 hour"))
 
 
 @query("stream_dedupe", with_views("trades", "SELECT market, id, time_ms, price FROM trades"), "price")
 def stream_dedupe(spark, sf_dir):
-    once = _stream(spark, sf_dir, "trades").select("market", "id", "time_ms", "price")
-    return _written(spark, Z.stream_dedupe(once.unionByName(once), "40 days"))
+    """Late trades, and copies that come a trigger after their trade."""
+    rows = _in_batches(spark, sf_dir, "trades", _LATE, "id % 3 = 0").select("market", "id", "time_ms", "price")
+    return _written(spark, Z.stream_dedupe(rows, "4000 days"))
 
 
 @query("latest_state", with_views("ticker", "SELECT inst_id, max(ts) AS ts, max_by(last, (ts, arrival, last, vol24h)) AS last FROM ticker GROUP BY inst_id"), "last")
 def latest_state(spark, sf_dir):
-    feed = _stream(spark, sf_dir, "ticker").select("inst_id", "last", "vol24h", "ts", "arrival")
-    updates = _written(spark, Z.latest_state(feed), "update")
-    newest = updates.groupBy("inst_id").agg(F.max(F.struct("ts", "arrival", "last", "vol24h")).alias("r"))
-    return newest.select("inst_id", "r.ts", "r.last")
+    """Records out of order over four triggers; what the last report of each key says is the state."""
+    feed = _in_batches(spark, sf_dir, "ticker", "(arrival * 7) % {count}", "arrival % 5 = 0").select("inst_id", "last", "vol24h", "ts", "arrival")
+    folder = _folder(spark)
+    report = lambda batch, i: batch.withColumn("trigger", F.lit(i)).write.mode("append").parquet(f"{folder}/out")
+    Z.run_available(Z.latest_state(feed), report, f"{folder}/state", "update")
+    reports = spark.read.parquet(f"{folder}/out")
+    last = reports.groupBy("inst_id").agg(F.max("trigger").alias("trigger"))
+    return reports.join(last, ["inst_id", "trigger"]).select("inst_id", "ts", "last")
 
 
 _PERIODS, _OFFSETS = [4 * HOUR_MS, DAY_MS], [0, 0]
@@ -74,10 +98,10 @@ _PERIODS, _OFFSETS = [4 * HOUR_MS, DAY_MS], [0, 0]
 
 @query("stream_bars_refreshed", with_views("trades", f"WITH {bars_ctes('trades', _PERIODS, _OFFSETS).strip()} SELECT * FROM bars"), DOUBLES)
 def stream_bars_refreshed(spark, sf_dir):
-    """All columns, kept current by recomputing stale bars after every batch."""
+    """All columns, kept current by recomputing stale bars after every trigger; trades come late and some twice."""
     folder = _folder(spark)
     refresher = Z.bar_refresher(f"{folder}/trades", f"{folder}/bars", _PERIODS, _OFFSETS)
-    Z.run_available(_stream(spark, sf_dir, "trades"), refresher, f"{folder}/state")
+    Z.run_available(_in_batches(spark, sf_dir, "trades", _LATE, "id % 13 = 0"), refresher, f"{folder}/state")
     return T.read_bars(spark, f"{folder}/bars")
 
 

@@ -37,11 +37,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def append_trades(trades: DataFrame, path: str, lookback_ms: int | None = None) -> None:
-    """Append trades whose ids are not stored yet, each once, partitioned by date."""
+    """Append trades whose ids are not stored yet, each once, partitioned by date.
+
+    A copy of a trade has its time, so only the stored dates that the new trades cover are read.
+    """
     spark = trades.sparkSession
-    stored = spark.read.parquet(path) if _exists(spark, path) else trades.limit(0)
-    fresh = new_rows(trades, stored, lookback_ms=lookback_ms)
-    fresh.withColumn("date", day_of()).write.mode("append").partitionBy("date").parquet(path)
+    stored = trades.limit(0)
+    if _exists(spark, path):
+        first, last = trades.agg(F.min(day_of()), F.max(day_of())).first()
+        stored = spark.read.parquet(path).filter(F.col("date").between(F.lit(first), F.lit(last))).drop("date")
+    fresh = new_rows(trades, stored, lookback_ms=lookback_ms).withColumn("date", day_of())
+    # files by date, a busy date in several
+    fresh.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
@@ -62,10 +69,11 @@ def write_bars(bars: DataFrame, path: str) -> None:
     fresh = scratch_table(bars.select("market", "period_ms", "offset_ms", *BAR_COLUMNS).withColumn("date", day_of()))
     merged = fresh
     if _exists(spark, path):
-        stored = spark.read.schema(BAR_SCHEMA + ", date date").parquet(path)
+        first, last = fresh.agg(F.min("date"), F.max("date")).first()
+        stored = spark.read.schema(BAR_SCHEMA + ", date date").parquet(path).filter(F.col("date").between(F.lit(first), F.lit(last)))
         others = stored.join(fresh.select("date").distinct(), "date", "left_semi").join(fresh.select(*series), series, "left_anti")
         merged = scratch_table(others.select(fresh.columns).unionByName(fresh))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    merged.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
 def write_book_nested(books: DataFrame, path: str, compression: str = "snappy") -> None:
@@ -130,7 +138,7 @@ def write_series(df: DataFrame, path: str, exchange: str, kind: str, symbol: str
                  max_records: int = 100_000) -> None:
     """Series per symbol in folders of exchange, kind, symbol and date; files of limited size."""
     out = df.withColumns({"exchange": F.lit(exchange), "kind": F.lit(kind), "symbol": F.col(symbol), "date": day_of(time_col)})
-    out.write.mode("append").option("maxRecordsPerFile", max_records).partitionBy("exchange", "kind", "symbol", "date").parquet(path)
+    out.hint("rebalance", "symbol", "date").write.mode("append").option("maxRecordsPerFile", max_records).partitionBy("exchange", "kind", "symbol", "date").parquet(path)
 
 
 # File name patterns of the rolling grains.
@@ -143,7 +151,7 @@ def rolling(df: DataFrame, grain: str = "hour", time_col: str = "time_ms") -> Da
 
 def write_rolling(df: DataFrame, path: str, grain: str = "hour", time_col: str = "time_ms") -> None:
     """One folder per hour."""
-    rolling(df, grain, time_col).write.mode("append").partitionBy("slot").parquet(path)
+    rolling(df, grain, time_col).hint("rebalance", "slot").write.mode("append").partitionBy("slot").parquet(path)
 
 
 def layout_time_hash(df: DataFrame, days: int = TRADE_CHUNK_DAYS, buckets: int = HASH_PARTITIONS, market: str = "market",

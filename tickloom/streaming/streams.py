@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tickloom.functions.scalars import bucket_start
 from tickloom.operators.bars import flow_columns, ohlc_columns, series_bounds, trade_order
 from tickloom.operators.filters import valid_trades
 from tickloom.operators.latest import close_candles
+from tickloom.session import scratch_table
 
 log = logging.getLogger(__name__)
 
@@ -59,18 +61,32 @@ def bar_refresher(
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: store a batch's new trades, then recompute every bar they made stale.
 
-    A repeated batch changes nothing: its trades are known and its bars in order.
+    All bars from a batch's first trade of a market on are recomputed, also where that trade came late; trades are read from the last good bar
+    before that, and only the dates from there on. A repeated batch changes nothing: its trades are known and its
+    bars come out the same.
     """
     from tickloom.operators.bars import refresh_stale_bars
-    from tickloom.sinks.tables import append_trades, read_bars, write_bars
+    from tickloom.sinks.tables import append_trades, day_of, read_bars, write_bars
+
+    offsets = list(offsets_ms or [0] * len(periods_ms))
 
     def on_batch(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         append_trades(batch, trade_path, lookback_ms)
-        stored = spark.read.parquet(trade_path).drop("date")
-        touched = stored.join(batch.select("market").distinct(), "market", "left_semi")
         bars = read_bars(spark, bar_path)
-        write_bars(refresh_stale_bars(bars, touched, periods_ms, offsets_ms, dedupe=False), bar_path)
+        first = batch.groupBy("market").agg(F.min("time_ms").alias("_first"))
+        series = F.explode(F.array(*(F.struct(F.lit(p).cast("bigint").alias("period_ms"), F.lit(o).cast("bigint").alias("offset_ms"), bucket_start("_first", p, o).alias("_bucket")) for p, o in zip(periods_ms, offsets))))
+        first = first.select("market", series.alias("_s")).select("market", "_s.*")
+        before = bars.join(first, ["market", "period_ms", "offset_ms"]).filter(F.col("time_ms") < F.col("_bucket"))
+        before = before.select("market", F.col("time_ms").alias("_bucket"), "period_ms", "offset_ms").groupBy("market", "period_ms", "offset_ms").agg(F.max("_bucket").alias("_bucket"))
+        stale = first.withColumnRenamed("_bucket", "stale_ms")
+        low = scratch_table(first.unionByName(before).groupBy("market").agg(F.min("_bucket").alias("_low")))
+        since = low.agg(F.min(day_of("_low"))).first()[0]
+        if since is None:
+            return
+        recent = lambda df: df.join(low, "market").filter(F.col("time_ms") >= F.col("_low")).drop("_low")
+        touched = recent(spark.read.parquet(trade_path).filter(F.col("date") >= F.lit(since)).drop("date"))
+        write_bars(refresh_stale_bars(recent(bars), touched, periods_ms, offsets_ms, dedupe=False, stale=stale), bar_path)
 
     return on_batch
 
