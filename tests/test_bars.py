@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
-from tickloom.operators.prefix import running
+from tickloom.operators.prefix import each_step, running
 
 MINUTE = 60_000
 SCHEMA = "id bigint, time_ms bigint, market string, price double, volume double, flag smallint"
@@ -88,3 +88,25 @@ def test_running_matches_a_loop(spark):
         assert (r.s, r.m, r.l) == (s, m, last)
         seen[r.k] = (s + r.v, r.v if m is None else max(m, r.v), r.v if r.v > 5 else last)
     assert {r.k: r.s_total for r in out.collect()} == {k: v[0] for k, v in seen.items()}
+
+
+def test_ranges_follow_the_rows(spark):
+    """A long tail of volumes and a burst in time: no range holds twice its share."""
+    n, tasks = 20_000, 20
+    rows = spark.range(n).select(
+        F.lit("m").alias("market"), "id", F.when(F.col("id") < n - 5, F.col("id") % 50).otherwise(F.col("id") * 10**6).alias("time_ms"),
+        F.when(F.col("id") == 0, 1e12).otherwise(F.rand(3)).alias("volume"),
+    ).repartition(8)
+    for order in (["market", "time_ms", "id"], ["market", "volume", "id"]):
+        cut = B.in_ranges(rows, order, tasks)
+        sizes = cut.groupBy("_range").agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("lo"), F.max(F.struct(*order)).alias("hi"))
+        found = sorted(sizes.collect(), key=lambda r: r["_range"])
+        assert max(r.n for r in found) <= 2 * n / tasks and sum(r.n for r in found) == n
+        assert all(a.hi < b.lo for a, b in zip(found, found[1:]))
+
+
+def test_steps_in_blocks(spark):
+    spans = spark.createDataFrame([("a", 0, 95), ("b", 7, 7), ("c", 5, 4)], "k string, lo bigint, hi bigint")
+    for spread in (False, True):
+        out = each_step(spans, F.col("lo"), F.col("hi"), 5, "t", spread=spread, per_row=3)
+        assert sorted((r.k, r.t) for r in out.collect()) == [("a", t) for t in range(0, 96, 5)] + [("b", 7)]

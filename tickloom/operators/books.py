@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from tickloom.functions.scalars import fix_index, geometric_index, let, price_key
 from tickloom.operators.latest import top_k_per_group
-from tickloom.operators.prefix import running
+from tickloom.operators.prefix import each_step, running
 
 # Levels kept per side.
 DETAILED_LEVELS = 128
@@ -104,10 +104,8 @@ def book_at_ticks(
     last = F.least(F.coalesce(F.col("_next") - tick_ms, until), until)
     if expiry_ms is not None:
         last = F.least(last, F.floor((F.col("last_ms") + expiry_ms) / tick_ms).cast("bigint") * tick_ms)
-    step = F.lit(tick_ms).cast("bigint")
     shown = spans.filter(F.col("qty") > 0).withColumn("_from", F.col("tick_ms"))
-    ticks = F.when(F.col("tick_ms") <= last, F.sequence(F.col("tick_ms"), last, step))
-    shown = shown.withColumn("tick_ms", F.explode(ticks))
+    shown = each_step(shown, F.col("tick_ms"), last, tick_ms, "tick_ms")
     own = F.col("tick_ms") == F.col("_from")
     zero = F.lit(0).cast("bigint")
     return shown.select(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import is_normal, parse_option_id
 from tickloom.operators.latest import _latest, content_hash, latest_by, latest_funding, top_k_per_group
-from tickloom.operators.prefix import running, time_chunk
+from tickloom.operators.prefix import each_step, running, time_chunk
 
 DAY_MS = 86_400_000
 
@@ -147,29 +147,32 @@ def clock_ticks(feeds: Sequence[DataFrame], step_ms: int, end_ms: int | None = N
     bounds = bounds.groupBy("inst_id").agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
     first = F.ceil(F.col("_lo") / step_ms).cast("bigint") * step_ms
     last = F.floor((F.lit(end_ms) if end_ms is not None else F.col("_hi")) / step_ms).cast("bigint") * step_ms
-    ticks = F.when(first <= last, F.sequence(first, last, F.lit(step_ms).cast("bigint")))
-    return bounds.select("inst_id", F.explode(ticks).alias("tick_ms"))
+    return each_step(bounds, first, last, step_ms, "tick_ms", spread=True).select("inst_id", "tick_ms")
 
 
 def context_asof(
-    clock: DataFrame, feeds: dict[str, DataFrame], chunk_ms: int = DAY_MS * 30, keys: Sequence[str] = ("inst_id",)
+    clock: DataFrame, feeds: dict[str, DataFrame], chunk_ms: int = DAY_MS * 30, keys: Sequence[str] = ("inst_id",),
+    step_ms: int | None = None,
 ) -> DataFrame:
     """At every tick the newest record of each feed at or before it, where all feeds have one.
 
     Ticks and records are put on one time line and the newest value carried forward, in
-    time chunks; no range join is needed.
+    time chunks; no range join is needed.  Where all ticks are multiples of ``step_ms``, give
+    it: then each feed is reduced to the newest record before each tick before it is sorted.
     """
-    one = [(name, _latest(f, [*keys, "ts"], [F.col("arrival")] if "arrival" in f.columns else [])) for name, f in feeds.items()]
-    types = {name: packed(f, name, keys).schema[name].dataType for name, f in one}
+    at = F.col("ts") if step_ms is None else F.ceil(F.col("ts") / step_ms).cast("bigint") * step_ms
+    types = {name: packed(f, name, keys).schema[name].dataType for name, f in feeds.items()}
     line = clock.select(
         *keys, F.col("tick_ms").alias("ts"), F.lit(1).alias("_tick"), *(F.lit(None).cast(types[n]).alias(n) for n in types)
     )
-    for name, f in one:
-        rows = packed(f, name, keys)
+    for name, f in feeds.items():
+        order = [F.col("ts"), *([F.col("arrival")] if "arrival" in f.columns else [])]
+        newest = _latest(f.withColumn("_at", at), [*keys, "_at"], order)
+        record = F.struct(*(c for c in f.columns if c not in keys))
         line = line.unionByName(
-            rows.select(
-                *keys, F.col(name)["ts"].alias("ts"), F.lit(0).alias("_tick"),
-                *(F.col(n) if n == name else F.lit(None).cast(types[n]).alias(n) for n in types),
+            newest.select(
+                *keys, F.col("_at").alias("ts"), F.lit(0).alias("_tick"),
+                *((record if n == name else F.lit(None).cast(types[n])).alias(n) for n in types),
             )
         )
     carried = running(
@@ -184,10 +187,11 @@ def context_asof(
 
 
 def swap_context_asof(
-    clock: DataFrame, oi: DataFrame, funding: DataFrame, ticker: DataFrame, mark: DataFrame, chunk_ms: int = DAY_MS * 30
+    clock: DataFrame, oi: DataFrame, funding: DataFrame, ticker: DataFrame, mark: DataFrame, chunk_ms: int = DAY_MS * 30,
+    step_ms: int | None = None,
 ) -> DataFrame:
-    """:func:`swap_context` at every tick of a clock ``(inst_id, tick_ms)``."""
-    return context_asof(clock, {"oi": oi, "fr": funding, "ticker": ticker, "mark": mark}, chunk_ms)
+    """:func:`swap_context` at every tick of a clock ``(inst_id, tick_ms)``, as in :func:`context_asof`."""
+    return context_asof(clock, {"oi": oi, "fr": funding, "ticker": ticker, "mark": mark}, chunk_ms, step_ms=step_ms)
 
 
 # --- options --------------------------------------------------------------------

@@ -90,3 +90,18 @@ def time_chunk(time_ms: str | Column, chunk_ms: int) -> Column:
     """Chunk expression for time-ordered rows: fixed slices of time."""
     t = F.col(time_ms) if isinstance(time_ms, str) else time_ms
     return F.floor(t / F.lit(chunk_ms)).cast("bigint")
+
+
+def each_step(df: DataFrame, first: Column, last: Column, step: int, name: str, spread: bool = False, per_row: int = 4096) -> DataFrame:
+    """One row per step of ``step`` from ``first`` to ``last`` as ``name``; none where ``first`` is above ``last``.
+
+    Steps are made in blocks of ``per_row``, so that a long span isn't one array of one row.
+    ``spread`` deals the blocks to all tasks first, for inputs of few rows with long spans.
+    """
+    by = F.lit(step).cast("bigint")
+    block = by * per_row
+    spans = df.withColumns({"_first": first, "_last": last}).filter("_first <= _last")
+    blocks = spans.withColumn("_block", F.explode(F.sequence("_first", "_last", block)))
+    blocks = blocks.repartition("_block", *df.columns) if spread else blocks
+    end = F.least(F.col("_block") + block - by, F.col("_last"))
+    return blocks.withColumn(name, F.explode(F.sequence("_block", end, by))).drop("_first", "_last", "_block")

@@ -140,7 +140,7 @@ def swap_context_asof(spark, sf_dir):
     """Swap rows every 60 days up to a fixed end, from each instrument's first record."""
     oi, funding, ticker, mark = _feeds(spark, sf_dir)
     clock = D.clock_ticks([oi, ticker], STEP_MS, 999_300_000_000)
-    return D.swap_row(D.swap_context_asof(clock, oi, funding, ticker, mark, chunk_ms=365 * DAY_MS), ["tick_ms"])
+    return D.swap_row(D.swap_context_asof(clock, oi, funding, ticker, mark, chunk_ms=365 * DAY_MS, step_ms=STEP_MS), ["tick_ms"])
 
 
 @query("spread_and_price", with_views("ticker", """SELECT arrival, (ask_px / bid_px - 1) * 100 AS spread_percent,

@@ -164,14 +164,19 @@ def export_csv(spark, sf_dir):
     )
 
 
-@query("write_series", with_views("ticker", "SELECT inst_id, ts, last FROM ticker"), "last")
+@query(
+    "write_series",
+    with_views("trades", """SELECT market || '/usd' AS symbol, strftime(make_timestamp(time_ms * 1000), '%Y-%m-%d') AS date, 1::BIGINT AS folders, count(*) AS n, sum(price) AS s
+       FROM trades GROUP BY ALL"""),
+    "s",
+)
 def write_series(spark, sf_dir):
-    """One folder per symbol group (the last digit of the part) and date of the tickers."""
+    """Trades as one series per market and day; the names are not file-safe as they stand."""
     path = f"{_folder(spark)}/series"
-    ticker = view(spark, sf_dir, "ticker").withColumn("ts_month", F.date_trunc("year", F.timestamp_millis("ts")))
-    yearly = ticker.withColumn("ts_month", F.unix_millis("ts_month")).withColumn("group", F.substring("inst_id", 1, 2))
-    T.write_series(yearly, path, "venue", "swap", "group", "ts_month")
-    return spark.read.parquet(path).select("inst_id", "ts", "last")
+    trades = view(spark, sf_dir, "trades").select(F.concat("market", F.lit("/usd")).alias("symbol"), "time_ms", "price", "volume")
+    T.write_series(trades, path, "venue", "trades")
+    written = spark.read.parquet(path).groupBy("symbol", F.col("date").cast("string").alias("date"))
+    return written.agg(F.countDistinct("series").alias("folders"), F.count(F.lit(1)).alias("n"), F.sum("price").alias("s"))
 
 
 @query("write_rolling", with_views("trades", "SELECT strftime(make_timestamp(time_ms * 1000), '%Y_%m_%d') AS slot, count(*) AS n, sum(price) AS s FROM trades GROUP BY ALL"), "s")

@@ -7,19 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import pair_hash
+from tickloom.functions.scalars import pair_hash, sanitize_pair
 from tickloom.operators.bars import BAR_COLUMNS
 from tickloom.operators.books import book_to_wide
 from tickloom.operators.filters import pair_filter
 from tickloom.operators.latest import new_rows
 from tickloom.session import scratch_table
 
-# Trades in time chunks of 30 days, statistics in 32 days, over 8 hash partitions.
+# Trades in time chunks of 30 days, statistics in 32 days, over 8 hash partitions; levels of a table; size of a series file.
 TRADE_CHUNK_DAYS = 30
 STATS_CHUNK_DAYS = 32
 HASH_PARTITIONS = 8
 DAY_MS = 86_400_000
 TABLE_LEVELS = 25
+SERIES_FILE_BYTES = 16 << 20
 
 BAR_SCHEMA = "market string, period_ms bigint, offset_ms bigint, " + ", ".join(
     f"{c} {'bigint' if c in ('time_ms', 'num_trades', 'trade_id') else 'double'}" for c in BAR_COLUMNS
@@ -135,10 +136,16 @@ def write_futures_stats(stats: DataFrame, path: str) -> None:
 
 
 def write_series(df: DataFrame, path: str, exchange: str, kind: str, symbol: str = "symbol", time_col: str = "time_ms",
-                 max_records: int = 100_000) -> None:
-    """Series per symbol in folders of exchange, kind, symbol and date; files of limited size."""
-    out = df.withColumns({"exchange": F.lit(exchange), "kind": F.lit(kind), "symbol": F.col(symbol), "date": day_of(time_col)})
-    out.hint("rebalance", "symbol", "date").write.mode("append").option("maxRecordsPerFile", max_records).partitionBy("exchange", "kind", "symbol", "date").parquet(path)
+                 max_bytes: int = SERIES_FILE_BYTES) -> None:
+    """Series in folders of exchange, kind, file-safe symbol (``series``) and date.
+
+    A file covers at most a day and holds at most ``max_bytes`` of values, counted as eight bytes a value.
+    """
+    per_file = max(1, max_bytes // (8 * len(df.columns)))
+    out = df.withColumns({"exchange": F.lit(exchange), "kind": F.lit(kind), "series": sanitize_pair(symbol), "date": day_of(time_col)})
+    out.hint("rebalance", "series", "date").write.mode("append").option("maxRecordsPerFile", per_file).partitionBy(
+        "exchange", "kind", "series", "date"
+    ).parquet(path)
 
 
 # File name patterns of the rolling grains.
@@ -163,16 +170,16 @@ def layout_time_hash(df: DataFrame, days: int = TRADE_CHUNK_DAYS, buckets: int =
     )
 
 
-def write_time_hash(df: DataFrame, path: str, days: int = TRADE_CHUNK_DAYS, buckets: int = HASH_PARTITIONS, rows_per_task_key: int = 16) -> None:
+def write_time_hash(df: DataFrame, path: str, days: int = TRADE_CHUNK_DAYS, buckets: int = HASH_PARTITIONS, slices: int = 16) -> None:
     """Write in that layout, rows of a market together and in time order.
 
-    A hot market's chunk is spread over ``rows_per_task_key`` tasks by a salt.
+    A chunk is written by ``slices`` spans of time, so that files can be skipped by time; a span
+    that is too large for a task is split further by its size.
     """
-    laid = layout_time_hash(df, days, buckets)
-    salt = F.pmod(F.xxhash64("time_ms"), F.lit(rows_per_task_key))
-    laid.repartition("chunk_id", "hash_part", salt).sortWithinPartitions("chunk_id", "hash_part", "market", "time_ms").write.mode(
-        "append"
-    ).partitionBy("chunk_id", "hash_part").parquet(path)
+    width = F.lit(days * DAY_MS // slices)
+    laid = layout_time_hash(df, days, buckets).withColumn("_slice", F.floor(F.col("time_ms") / width))
+    dealt = laid.hint("rebalance", "chunk_id", "hash_part", "_slice").drop("_slice")
+    dealt.sortWithinPartitions("chunk_id", "hash_part", "market", "time_ms").write.mode("append").partitionBy("chunk_id", "hash_part").parquet(path)
 
 
 def export_rows(df: DataFrame, market_filter: str = "", limit: int = 0, columns: Sequence[str] = (), kind: str = "trades") -> DataFrame:
