@@ -194,7 +194,7 @@ def _normalize_name(names: pd.Series) -> pd.Series:
 
 
 def standardize_name(c) -> Column:
-    """Table-name form of a text; plain ASCII never reaches the Python worker's result."""
+    """Table-name form of a text.  Every row passes a Python worker in Arrow batches: normalise distinct names, not rows."""
     return _normalize_name(_col(c))
 
 

@@ -199,6 +199,47 @@ def read_sentiment(spark, sf_dir):
     return R.read_sentiment(raw, "taker_volume")
 
 
+@query(
+    "read_sentiment_kinds",
+    """SELECT kind, l_returnflag AS coin, l_orderkey AS ts, l_quantity AS a, CASE WHEN kind = 'open_interest_volume' THEN CASE WHEN l_linenumber = 1 THEN 0 ELSE l_tax END END AS b
+       FROM lineitem, (VALUES ('margin_lending_ratio'), ('long_short_ratio'), ('open_interest_volume')) v(kind)""",
+    "a b",
+)
+def read_sentiment_kinds(spark, sf_dir):
+    """The other three kinds; a missing second value reads as 0."""
+    line = _table(spark, sf_dir, "lineitem")
+
+    def messages(*values):
+        return line.select(F.col("l_returnflag").alias("coin"), _json(code=F.lit("0"), data=F.array(F.array(_text("l_orderkey"), *values))))
+
+    one, two = messages(_text("l_quantity")), messages(_text("l_quantity"), F.when(F.col("l_linenumber") == 1, "").otherwise(_text("l_tax")))
+    none = F.lit(None).cast("double")
+    parts = [R.read_sentiment(one, k).select(F.lit(k).alias("kind"), "coin", "ts", F.col("ratio").alias("a"), none.alias("b")) for k in ("margin_lending_ratio", "long_short_ratio")]
+    volumes = R.read_sentiment(two, "open_interest_volume")
+    both = volumes.select(F.lit("open_interest_volume").alias("kind"), "coin", "ts", F.col("open_interest").alias("a"), F.col("volume").alias("b"))
+    return parts[0].unionByName(parts[1]).unionByName(both)
+
+
+@query(
+    "read_book_array_sizes",
+    """SELECT channel, seq, size, level, price FROM (SELECT o_custkey AS channel, o_orderkey AS seq, [2, 50, 200, 500][CAST(o_orderkey // 4 % 4 + 1 AS INTEGER)]::INTEGER AS size,
+       o_totalprice AS p FROM orders WHERE o_custkey % 10 = 0 AND o_custkey IN (SELECT c_custkey FROM customer)),
+       LATERAL (SELECT CAST(unnest(range(size)) AS INTEGER) AS level), LATERAL (SELECT p + level AS price)""",
+    "price",
+)
+def read_book_array_sizes(spark, sf_dir):
+    """Array books of all four sizes, of the channels that are listed."""
+    size = F.element_at(F.array(*(F.lit(n) for n in (2, 50, 200, 500))), (F.floor(F.col("o_orderkey") / 4) % 4 + 1).cast("int"))
+    levels = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.array(F.col("o_totalprice") + i, F.lit(3.0), F.lit(1.5)))
+    raw = _table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("["), F.concat_ws(",", _text("o_custkey"), F.to_json(levels), _text("o_orderkey"), F.lit("5")), F.lit("]")).alias("value")
+    )
+    listed = _table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0")
+    channels = listed.select(F.col("c_custkey").alias("channel"), F.concat(F.lit("t"), _text("c_custkey")).alias("symbol"))
+    books = R.read_book_array(raw, channels).withColumn("size", F.size("levels"))
+    return books.select("channel", "seq", "size", F.posexplode("levels").alias("level", "x")).select("channel", "seq", "size", "level", "x.price")
+
+
 @query("read_derivative_status", """SELECT concat('t', CAST(l_partkey AS VARCHAR)) AS key, l_orderkey AS time_ms, l_extendedprice AS mid_price, l_quantity AS mark_price,
        CASE WHEN l_linenumber = 1 THEN 0 ELSE l_tax END AS open_interest, l_discount AS clamp_max FROM lineitem""", "mid_price mark_price open_interest clamp_max")
 def read_derivative_status(spark, sf_dir):
