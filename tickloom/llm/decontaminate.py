@@ -14,8 +14,9 @@ from tickloom.llm.text import byte_bounded, utf8
 
 #: Consecutive words of an item that make a window.
 WINDOW = 10
-#: Bytes of benchmark text up to which its windows are broadcast; beyond it, they are joined.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of benchmark text up to which its windows are broadcast; beyond it, they are joined. A byte of text comes to about
+#: 10 bytes of windows in each worker.
+BROADCAST_BYTES = 8 << 20
 
 #: Letters in lower case, digits and bytes from 0x80 on stay; all else separates words.
 _PLAIN = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -35,39 +36,48 @@ def item_windows(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
 
 
 class Windows:
-    """A hash set of windows by length, over ids of the benchmark's own words."""
+    """A hash set of windows by length, over ids of the benchmark's own words, in flat tables.
+
+    ``of[first[i]:first[i + 1]]`` are the numbers of the items that have window ``i``.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
+        self.names = sorted({name for name, _ in items if name is not None})
+        numbers = {name: i for i, name in enumerate(self.names)}
         number = self.vocabulary.setdefault
-        found: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        made: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
         for name, raw in items:
-            for words in item_windows(plain_words(raw), window):
-                key = tuple(number(w, len(self.vocabulary) + 1) for w in words)
-                found[key].update([] if name is None else [name])
-        self.items = list(found.values())
-        keys: dict[int, list] = defaultdict(list)
-        for i, key in enumerate(found):
-            keys[len(key)].append((key, i))
+            ids = np.array([number(w, len(self.vocabulary) + 1) for w in plain_words(raw)], np.int32)
+            if len(ids):
+                length = min(window, len(ids))
+                made[length].append((np.lib.stride_tricks.sliding_window_view(ids, length), -1 if name is None else numbers[name]))
         self.sets = {}
-        for length, rows in sorted(keys.items()):
-            ids = np.array([key for key, _ in rows], np.int64).reshape(-1, length)
-            at = np.array([i for _, i in rows])
+        for length, parts in sorted(made.items()):
+            ids = np.concatenate([x for x, _ in parts])
+            item = np.repeat(np.array([i for _, i in parts], np.int32), [len(x) for x, _ in parts])
             hashed = self._hash(ids)
-            order = np.argsort(hashed, kind="stable")
-            self.sets[length] = (hashed[order], ids[order], at[order])
+            order = np.lexsort((item, *ids.T, hashed))
+            hashed, ids, item = hashed[order], ids[order], item[order]
+            new = np.concatenate(([True], (ids[1:] != ids[:-1]).any(axis=1)))
+            named = item >= 0
+            first = np.append(np.concatenate(([0], np.cumsum(named)))[np.flatnonzero(new)], named.sum())
+            self.sets[length] = (hashed[new], ids[new], first, item[named])
 
     @staticmethod
     def _hash(ids: np.ndarray) -> np.ndarray:
         weights = np.random.default_rng(ids.shape[1]).integers(1, 1 << 62, ids.shape[1]) | 1
-        return (ids * weights).sum(axis=1)
+        out = np.zeros(len(ids), np.int64)
+        for i, weight in enumerate(weights):
+            out += ids[:, i] * weight
+        return out
 
     def scan(self, words: list[bytes]) -> tuple[set[str], list[tuple[int, int]]]:
         """Items that have a window in the words, and the word ranges hit (last exclusive, merged)."""
-        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
+        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int32, len(words))
         known = np.concatenate(([0], np.cumsum(ids > 0)))
         items, ranges = set(), []
-        for length, (hashed, keys, at) in self.sets.items():
+        for length, (hashed, keys, first, of) in self.sets.items():
             if length > len(words):
                 continue
             starts = np.flatnonzero(known[length:] - known[:-length] == length)
@@ -80,14 +90,14 @@ class Windows:
             open_ = np.flatnonzero((place < len(hashed)) & (hashed[np.minimum(place, len(hashed) - 1)] == own))
             while len(open_):
                 same = (keys[place[open_]] == windows[open_]).all(axis=1)
-                for k in np.unique(at[place[open_[same]]]).tolist():
-                    items |= self.items[k]
+                for k in np.unique(place[open_[same]]).tolist():
+                    items.update(of[first[k] : first[k + 1]].tolist())
                 ranges += [(s, s + length) for s in starts[open_[same]].tolist()]
                 open_ = open_[~same]
                 place[open_] += 1
                 open_ = open_[(place[open_] < len(hashed))]
                 open_ = open_[hashed[place[open_]] == own[open_]]
-        return items, merged(ranges)
+        return {self.names[k] for k in items}, merged(ranges)
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
