@@ -132,6 +132,8 @@ def test_matrix_files(spark):
     values = np.arange(3 * 50 * 3, dtype="<f4")
     (values.tofile(f"{folder}/0001.mm"), np.array([7, 8], dtype="<i8").tofile(f"{folder}/0001.mm.time"))
     rows = M.read_matrix_files(spark, folder, M.SIMPLE_BOOK).toPandas()
+    parts = M.read_matrix_files(spark, folder, M.SIMPLE_BOOK, range_bytes=1).toPandas()
+    assert rows.sort_values(["entry", "position"], ignore_index=True).equals(parts.sort_values(["entry", "position"], ignore_index=True))
     assert len(rows) == 2 * 50 and set(rows.time_ms) == {7, 8}
     assert rows[(rows.entry == 1) & (rows.position == 0)].price.item() == 150.0
     audit = M.file_alignment_audit(spark, folder, M.SIMPLE_BOOK).first()
@@ -139,3 +141,4 @@ def test_matrix_files(spark):
     swaps = tempfile.mkdtemp(prefix="tickloom-")
     np.arange(32, dtype="<f8").tofile(f"{swaps}/0000.mm")
     assert pd.Series(M.read_matrix_files(spark, swaps, M.SWAP_ROWS).toPandas().last_price).tolist() == [15.0, 31.0]
+    assert [len(x.columns) for x in (M.OPTION_ROWS, M.SENTIMENT_ROWS, M.KLINE_ROWS)] == [25, 9, 11]

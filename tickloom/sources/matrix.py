@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.sources.raw import KLINE_FIELDS
+
 TIME_BYTES = 8
 
 
@@ -42,6 +45,27 @@ SWAP_ROWS = MatrixLayout(
     ),
     item="float64", timed=False,
 )
+OPTION_ROWS = MatrixLayout(
+    "option",
+    tuple(
+        "timestamp_ms expiry_in_ms delta gamma vega theta delta_bs gamma_bs vega_bs theta_bs lever mark_vol bid_vol ask_vol"
+        " forward_price open_interest spread_percent spread_to_mark_percent change_24h_percent change_today_percent"
+        " change_today_china_percent volume_24h price_ratio_24h last_price price".split()
+    ),
+    item="float64", timed=False,
+)
+SENTIMENT_ROWS = MatrixLayout(
+    "sentiment",
+    tuple(
+        "timestamp_ms sell_taker_volume_spot buy_taker_volume_spot sell_taker_volume_contracts buy_taker_volume_contracts"
+        " margin_lending_ratio long_short_ratio open_interest volume".split()
+    ),
+    item="float64", timed=False,
+)
+KLINE_ROWS = MatrixLayout("kline", tuple(KLINE_FIELDS), item="float64", timed=False)
+
+#: Bytes of a matrix file that are read and decoded together.
+RANGE_BYTES = 8 << 20
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -49,38 +73,52 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return reader.load(path).withColumn("stem", F.regexp_replace("path", r"\.mm(\.time)?$", ""))
 
 
-def read_matrix_files(spark: SparkSession, path: str, layout: MatrixLayout) -> DataFrame:
+def open_store(path: str):
+    """File system and path within it, as pyarrow knows them, of a path that Spark names."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    path = re.sub("^s3[an]://", "s3://", path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def read_matrix_files(spark: SparkSession, path: str, layout: MatrixLayout, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Entries of all matrix files below a path: ``stem, entry, time_ms, position`` and the columns.
 
-    A pair of files gives as many entries as both hold.  Files are decoded in the tasks that
-    read them; the writers' size limit (16 MiB) bounds a task's memory.
+    A pair of files gives as many entries as both hold, and a file without its other half none.  Spark lists and pairs the files by
+    their lengths and deals ranges of about ``range_bytes``; each task reads its own ranges, so files may be of any size.
     """
-    matrix = _files(spark, path, "*.mm").select("stem", "content")
+    sizes = _files(spark, path, "*.mm").select("stem", "path", F.floor(F.col("length") / layout.entry_bytes).alias("entries"))
     if layout.timed:
-        matrix = matrix.join(_files(spark, path, "*.mm.time").select("stem", F.col("content").alias("times")), "stem")
-    else:
-        matrix = matrix.withColumn("times", F.lit(None).cast("binary"))
+        times = _files(spark, path, "*.mm.time").select("stem", F.floor(F.col("length") / TIME_BYTES).alias("stamps"))
+        sizes = sizes.join(times, "stem").withColumn("entries", F.least("entries", "stamps"))
+    step = max(1, range_bytes // layout.entry_bytes)
+    ranges = sizes.where("entries > 0").withColumn("first", F.explode(F.sequence(F.lit(0), F.col("entries") - 1, F.lit(step))))
+    ranges = ranges.select("stem", "path", "first", F.least(F.lit(step), F.col("entries") - F.col("first")).alias("n")).repartition("stem", "first")
     schema = "stem string, entry bigint, time_ms bigint, position int, " + ", ".join(f"`{c}` double" for c in layout.columns)
-    width, rows, size, item, names = len(layout.columns), layout.rows, layout.entry_bytes, layout.item, list(layout.columns)
+    rows, size, names, timed = layout.rows, layout.entry_bytes, list(layout.columns), layout.timed
+    item = np.dtype(layout.item).newbyteorder("<")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def part(name: str, width: int, first: int, n: int) -> bytes:
+            store, inner = open_store(name)
+            with store.open_input_file(inner) as file:
+                return file.read_at(n * width, first * width)
+
         for batch in batches:
-            for stem, content, times in zip(batch["stem"], batch["content"], batch["times"]):
-                n = len(content) // size
-                stamps = None
-                if times is not None:
-                    n = min(n, len(times) // TIME_BYTES)
-                    stamps = np.frombuffer(times, dtype="<i8", count=n)
-                values = np.frombuffer(content, dtype=np.dtype(item).newbyteorder("<"), count=n * rows * width).reshape(-1, width)
+            for stem, name, first, n in batch.itertuples(index=False):
+                values = np.frombuffer(part(name, size, first, n), dtype=item).reshape(-1, len(names))
                 out = pd.DataFrame(values.astype("float64"), columns=names)
                 entry = np.repeat(np.arange(n), rows)
+                stamps = np.frombuffer(part(f"{name}.time", TIME_BYTES, first, n), dtype="<i8")[entry] if timed else out[names[0]].astype("int64")
                 out.insert(0, "position", np.tile(np.arange(rows, dtype="int32"), n))
-                out.insert(0, "time_ms", stamps[entry] if stamps is not None else out[names[0]].astype("int64"))
-                out.insert(0, "entry", entry)
+                out.insert(0, "time_ms", stamps)
+                out.insert(0, "entry", entry + first)
                 out.insert(0, "stem", stem)
                 yield out
 
-    return matrix.select("stem", "content", "times").mapInPandas(decode, schema)
+    return ranges.mapInPandas(decode, schema)
 
 
 def file_alignment_audit(spark: SparkSession, path: str, layout: MatrixLayout, now_ms: int | None = None, older_than_days: int = 0) -> DataFrame:
