@@ -9,7 +9,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +28,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&\#x[0-9A-Fa-f]{1,6};|&\#[0-9]{1,7};)+")
 _ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]+)\}?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&\#x([0-9A-Fa-f]+);|&\#([0-9]+);")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,}")
-_BASE64_BYTES = re.compile(_BASE64.pattern.encode())
+_ALPHABETS = ("A-Za-z0-9+/_-", "A-Za-z0-9+/", "A-Za-z0-9_-")
+_BASE64 = [re.compile(x) for x in (r"[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,}", *(f"[{x}]{{16,}}" for x in _ALPHABETS))]
+_WRAPPED = [re.compile(rf"(?<![{x}])[{x}]++(?:\r?\n[{x}]++)+") for x in _ALPHABETS]
 _READABLE = re.compile(rb"[\x20-\x7e]{12,}")
 _HINTS = (b"passw", b"secret", b"token", b"api")
 _HEX_BYTES = re.compile(_HEX.pattern.encode())
@@ -73,11 +74,11 @@ def all_spans(text: str, layer_bytes: int = LAYER_BYTES) -> tuple[list[Span], li
                 first, last = layer.span(start, end)
                 spans.add((first, kind, last))
         for inner, short in decoded(layer, layer_bytes):
-            cut += short
             place = f"{inner.lo[0]}:{inner.hi[-1]}:".encode()
             key = hashlib.blake2b(place + inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
             if key not in seen:
                 seen.add(key)
+                cut += short
                 work.append(inner)
     return base, sorted(spans), cut
 
@@ -87,12 +88,12 @@ def decoded(layer: Layer, layer_bytes: int) -> Iterator[tuple[Layer, bool]]:
     for pattern, decode in ((_URL, _url), (_UNICODE, _unicode)):
         if (inner := _replaced(layer, pattern, decode)) is not None:
             yield inner, False
-    for m in _BASE64.finditer(layer.text):
+    for run, places in _runs(layer.text):
         for shift in range(4):
-            if (raw := _base64(m.group()[shift:])) is None:
+            if (raw := _base64(run[shift:])) is None:
                 continue
             if packed := _unpacked(raw, layer_bytes):
-                lo, hi = layer.span(m.start() + shift, m.end())
+                lo, hi = layer.span(places[shift], places[-1] + 1)
                 text, short = _text(packed[0]), packed[1]
                 if text:
                     yield Layer(text, [lo] * len(text), [hi] * len(text)), short
@@ -100,13 +101,50 @@ def decoded(layer: Layer, layer_bytes: int) -> Iterator[tuple[Layer, bool]]:
                 starts, ends, at = [], [], 0
                 for char in text:
                     size = len(char.encode("utf-8", "surrogateescape"))
-                    first, last = m.start() + shift + at * 4 // 3, m.start() + shift + ((at + size) * 4 + 2) // 3
-                    a, b = layer.span(first, min(last, m.end()))
+                    first, last = shift + at * 4 // 3, shift + ((at + size) * 4 + 2) // 3
+                    a, b = layer.span(places[first], places[min(last, len(places)) - 1] + 1)
                     starts.append(a), ends.append(b)
                     at += size
                 yield Layer(text, starts, ends), False
 
 
+def _runs(text: str) -> Iterator[tuple[str, Sequence[int]]]:
+    """Runs that may be base64, each with the places of its characters.
+
+    Runs of both alphabets together and of each alone, within a line and over single line ends. A run over line ends
+    is also given from each line on that begins like compressed bytes: the word before it may not belong to it.
+    """
+    known = set()
+    for pattern in _BASE64:
+        for m in pattern.finditer(text):
+            if m.span() not in known:
+                known.add(m.span())
+                yield m.group(), range(*m.span())
+    if "\n" not in text:
+        return
+    for pattern in _WRAPPED:
+        for m in pattern.finditer(text):
+            if m.end() - m.start() <= 16 or m.span() in known:
+                continue
+            known.add(m.span())
+            lines = m.group().replace("\r", "").split("\n")
+            run = "".join(lines)
+            if len(run) < 16:
+                continue
+            places = [i for i, x in enumerate(m.group(), m.start()) if x not in "\r\n"]
+            yield run, places
+            at = 0
+            for line in lines[:-1]:
+                at += len(line)
+                if (raw := _base64(run[at : at + 16])) is not None and _is_packed(raw):
+                    yield run[at:], places[at:]
+
+
+def _is_packed(raw: bytes) -> bool:
+    zlib_ = raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0
+    return zlib_ or raw.startswith((b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd"))
+
+
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with each run of the pattern decoded; None if nothing changes."""
     out, lo, hi, at, changed = [], [], [], 0, False
@@ -225,14 +263,11 @@ def may_hold(raw: bytes) -> bool:
     low = raw.lower()
     if any(x in low for x in _HINTS):
         return True
-    for word in raw.split():
-        if len(word) >= 16:
-            for m in _BASE64_BYTES.finditer(word):
-                run = m.group().decode()
-                for shift in range(4):
-                    inner = _base64(run[shift:])
-                    if inner is not None and (_text(inner) is not None or _decompress(inner, 64) is not None):
-                        return True
+    for run, _ in _runs(raw.decode()):
+        for shift in range(4):
+            inner = _base64(run[shift:])
+            if inner is not None and (_text(inner) is not None or _decompress(inner, 64) is not None):
+                return True
     return False
 
 
@@ -258,7 +293,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lay
     """Rows of ``docs`` as ``(id_col, base, spans, n_cut, listed_base, listed_spans, redacted)``.
 
     ``base`` are the spans found in the text as it stands, ``spans`` these and the ones found in its layers, mapped to
-    the text: percent runs, Unicode escapes and references, base64 of both alphabets at any alignment, and gzip, zlib,
+    the text: percent runs, Unicode escapes and references, base64 of both alphabets at any alignment, in one line or
+    over single line ends, and gzip, zlib,
     bzip2, xz and zstd inside base64, nested in any way. Places are code points, ends exclusive. ``redacted`` is the
     text with all spans replaced. A null text is the empty text; rows that repeat and null ids stay; an empty table gives
     an empty result; further columns are not read. Texts are scanned whole; only a decompressed layer of more than
