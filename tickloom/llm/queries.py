@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, packing, placement, quality, repeats, secrets, simhash, tokens, topk, warc
+from tickloom.llm import decontaminate, dialogue, packing, placement, quality, repeats, secrets, simhash, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +162,84 @@ FROM docs LEFT JOIN removed USING (row) LEFT JOIN left_over USING (row)
 )
 def op10(spark, sf_dir):
     return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: SQL for the CRC-32 of the ASCII text ``key``, bit by bit.
+_CRC = """xor(4294967295, list_reduce([4294967295]::BIGINT[] || list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i::INT, 1))::BIGINT),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+def _step(name: str) -> str:
+    """SQL for one message: the states after it from those before it, each a struct of cost, audit and repaired text."""
+    put = "CASE WHEN {x}.r = '' THEN '' ELSE chr(10) END"
+    ins = lambda x, role: f"{{'c': {x}.c + 3, 'a': {x}.a || 'I', 'r': {x}.r || {put.format(x=x)} || '{role}:'}}"
+    if name == "insert":
+        least = f"list_min([xu, {ins('x0', 'user')}, {ins('xs', 'user')}, {ins('xa', 'user')}])"
+        return f"x0 AS y0, xs AS ys, {least} AS yu, list_min([xa, {ins(least, 'assistant')}]) AS ya"
+    own = lambda x, cost, letter, role: (
+        f"{{'c': {x}.c + {cost} + CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'a': {x}.a || '{letter}', 'r': {x}.r || {put.format(x=x)} || {role} || ':' || text}}"
+    )
+    free = "fault IS NULL OR fault = 'truncated'"
+    none = "{'c': 1000000, 'a': '', 'r': ''}"
+    gone = lambda x: f"{{'c': {x}.c + 4, 'a': {x}.a || 'D', 'r': {x}.r}}"
+    keep = lambda c, x: f"CASE WHEN initial = '{c}' AND ({free}) THEN {own(x, 0, 'K', 'role')} ELSE {none} END"
+    role = lambda name, x: f"CASE WHEN {free} THEN {own(x, 3, 'R', repr(name))} ELSE {none} END"
+    any_ = "list_min([y0, ys, ya])"
+    return f"""{gone('y0')} AS x0, list_min([{gone('ys')}, {keep('s', 'y0')}]) AS xs,
+        list_min([{gone('yu')}, {keep('u', any_)}, {role('user', any_)}]) AS xu, list_min([{gone('ya')}, {keep('a', 'yu')}, {role('assistant', 'yu')}]) AS xa"""
+
+
+@query(
+    "op11_conversation_repair",
+    f"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           {_CRC} % 20 AS d
+    FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations)
+),
+hurt AS (
+    SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(CASE WHEN d = 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM keyed WHERE d <> 0
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM hurt),
+seen AS (
+    SELECT *, left(role, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+           lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth
+    FROM placed
+),
+marked AS (
+    SELECT *, CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
+    FROM seen
+),
+states AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'r': ''}} AS x0, {{'c': 1000000, 'a': '', 'r': ''}} AS xs,
+           {{'c': 1000000, 'a': '', 'r': ''}} AS xu, {{'c': 1000000, 'a': '', 'r': ''}} AS xa
+    FROM marked
+    UNION ALL
+    SELECT conv_id, i, {_step("row")}
+    FROM (
+        SELECT conv_id, marked.i, role, text, initial, fault, {_step("insert")}
+        FROM states JOIN marked USING (conv_id) WHERE marked.i = states.i + 1
+    )
+),
+totals AS (
+    SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM marked GROUP BY conv_id
+),
+best AS (
+    SELECT conv_id, list_min([y0, ya]) AS b
+    FROM (SELECT conv_id, {_step("insert")} FROM states JOIN totals USING (conv_id) WHERE states.i = totals.n)
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost,
+       coalesce(b.a, '') AS audit, sha256(coalesce(b.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN totals USING (conv_id) LEFT JOIN best USING (conv_id)
+""",
+)
+def op11(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    found = dialogue.reports(dialogue.damaged(conversations), conversations.select(F.col("conv_id").alias("id")))
+    return found.withColumnRenamed("id", "conv_id")
