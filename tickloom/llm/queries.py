@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, dialogue, packing, placement, quality, repeats, secrets, simhash, tokens, topk, warc
+from tickloom.llm import decontaminate, dialogue, packing, phrases, placement, quality, repeats, secrets, simhash, templates, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -243,3 +243,43 @@ def op11(spark, sf_dir):
     conversations = table(spark, sf_dir, "conversations")
     found = dialogue.reports(dialogue.damaged(conversations), conversations.select(F.col("conv_id").alias("id")))
     return found.withColumnRenamed("id", "conv_id")
+
+
+@query("op12_main_text")
+def op12(spark, sf_dir):
+    return templates.extracted(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op13_collocations",
+    r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+found AS (
+    SELECT lang, length, array_to_string(w[i : i + length - 1], ' ') AS phrase
+    FROM (SELECT lang, w, length, unnest(range(1, len(w) - length + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS length) WHERE len(w) >= length)
+),
+known AS (SELECT lang, length, phrase, count(*)::BIGINT AS f FROM found GROUP BY ALL HAVING count(*) >= 100),
+parts AS (SELECT *, string_split(phrase, ' ') AS w FROM known WHERE length > 1),
+inside AS (
+    SELECT lang, array_to_string(part, ' ') AS phrase, max(f) AS more
+    FROM (SELECT lang, f, unnest([w[1 : length - 1], w[2 : length]]) AS part FROM parts) GROUP BY ALL
+),
+kept AS (SELECT parts.* FROM parts LEFT JOIN inside USING (lang, phrase) WHERE more IS NULL OR 100 * more < 100 * f),
+cuts AS (SELECT *, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : length], ' ') AS tail FROM (SELECT *, unnest(range(1, length)) AS k FROM kept)),
+scored AS (
+    SELECT c.lang, c.phrase, c.f AS a, h.f AS l, t.f AS r, n, k, (1000::HUGEINT * c.f * n // (h.f::HUGEINT * t.f))::BIGINT AS score
+    FROM cuts c JOIN known h ON c.lang = h.lang AND c.head = h.phrase JOIN known t ON c.lang = t.lang AND c.tail = t.phrase JOIN totals ON c.lang = totals.lang
+),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored) WHERE nth = 1),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best)
+SELECT * FROM ranked WHERE rank <= 2000
+""",
+)
+def op13(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
