@@ -57,9 +57,12 @@ def edited():
     return rows
 
 
-@pytest.mark.parametrize("sample_rows", [10_000, 20])
-def test_near_copies(docs_of, sample, edited, monkeypatch, sample_rows):
-    monkeypatch.setattr(overlap, "SAMPLE_ROWS", sample_rows)
+@pytest.mark.parametrize("every, slot_rows, bits", [(16, 1000, (64, 1 << 16)), (1, 5, (64, 128))])
+def test_near_copies(docs_of, sample, edited, monkeypatch, every, slot_rows, bits):
+    """Whatever is known of common shingles, with buckets in slots and images that are too small."""
+    monkeypatch.setattr(overlap, "SAMPLE_EVERY", every)
+    monkeypatch.setattr(overlap, "SLOT_ROWS", slot_rows)
+    monkeypatch.setattr(overlap, "IMAGE_BITS", bits)
     rows = sample + [(None if i is None else 1000 + i, x) for i, x in edited]
     want = plain_groups(rows)
     got = Counter(tuple(r) for r in overlap.near_copies(docs_of(rows)).collect())

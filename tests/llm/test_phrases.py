@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from tickloom.llm import phrases
+from tickloom.llm import phrases, sketch
 
 UPPER = {i: i + 32 for i in range(65, 91)}
 
@@ -60,7 +60,7 @@ def texts():
 @pytest.mark.parametrize("least, every, slack, bits", [(30, 8, 1.5, (16, 28)), (30, 50, 0.0, (16, 28)), (30, 10**9, 0.0, (16, 28)), (12, 8, 1.5, (6, 8))])
 def test_collocations(spark, monkeypatch, texts, least, every, slack, bits):
     """Whatever the sample proposes, and however full the filter is."""
-    monkeypatch.setattr(phrases, "FILTER_BITS", bits)
+    monkeypatch.setattr(sketch, "FILTER_BITS", bits)
     monkeypatch.setattr(phrases, "BLOCK_WORDS", 5000)
     table = spark.createDataFrame([(i, t, x, "?", 1, "?", 2) for i, (x, t) in enumerate(texts)], "doc_id long, text string, lang string, phrase string, n int, hash string, length int").repartition(5)
     got = phrases.collocations(table, least=least, every=every, slack=slack, top=40)

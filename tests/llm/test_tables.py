@@ -12,7 +12,8 @@ import pytest
 import sentencepiece
 import tokenizers
 from pyspark.sql import functions as F
-from test_texts import UPPER, plain_components, plain_fingerprint
+from test_overlap import plain_groups
+from test_texts import UPPER
 
 import corpus_pipeline
 from tickloom.llm import packing, quality, queries, secrets, tokens, topk, warc
@@ -223,10 +224,7 @@ def test_pipeline(spark):
     sure = {i: s >= 0.5 for i, s in scores.items() if abs(s - 0.5) > 0.03}
     assert len(sure) > 0.9 * len(scores) and all((i in texts[1]) == good for i, good in sure.items())
 
-    prints = defaultdict(list)
-    for i, x in texts[1].items():
-        prints[plain_fingerprint(x)].append(i)
-    assert set(texts[2]) == set(plain_components(prints, 4).values()) and len(texts[2]) < len(texts[1])
+    assert set(texts[2]) == {least for _, least in plain_groups(list(texts[1].items()))} and len(texts[2]) < len(texts[1])
 
     find = lambda x: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (x or "").translate(UPPER))
     windows = {tuple(w[k : k + 10]) for w in (find(r.text) for r in read("benchmark").collect()) if w for k in range(max(1, len(w) - 9))}

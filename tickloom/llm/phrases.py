@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickloom.llm.sketch import Filter, filter_of
 from tickloom.llm.text import byte_bounded, mixed, utf8
 from tickloom.session import scratch_table
 
@@ -28,8 +29,6 @@ SLACK = 1.5
 TOP = 2000
 #: Words a task counts together.
 BLOCK_WORDS = 2_000_000
-#: Bits of the filter of proposed phrases: from 2^16 to 2^28, a bit a phrase in sixteen. A fuller filter lets more phrases be counted, never fewer.
-FILTER_BITS = (16, 28)
 #: Bytes of a text that are split into words together.
 SPLIT_BYTES = 1 << 20
 
@@ -89,17 +88,6 @@ def longer(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(hashes * _MULT + words)
 
 
-class Filter:
-    """A set of phrases by bits of their hashes; others may pass too, which costs time and changes no count."""
-
-    def __init__(self, bits: int, cells: np.ndarray):
-        self.shift, self.cells = np.uint64(64 - bits), cells
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> self.shift
-        return (self.cells[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
 def counted(tokens: np.ndarray, words: list[bytes], lang: str, longest: int, wanted: Filter | None = None, before: list[Filter] = ()):
     """``(length, places, counts, hashes)`` of the different phrases of each length that a pass counts; a place is where one begins.
 
@@ -169,18 +157,6 @@ def proposed(rows: DataFrame, longest: int, threshold: int, every: int) -> DataF
     return found.where(F.col("n") >= threshold).select("hash")
 
 
-def filter_of(hashes: DataFrame) -> Filter:
-    """The bits of all hashes, set in tasks and joined by words of 64 bits; its size is bounded whatever the number of phrases."""
-    n = hashes.count()
-    bits = min(max(FILTER_BITS[0], int(np.ceil(np.log2(16 * n + 1)))), FILTER_BITS[1])
-    at = F.shiftrightunsigned("hash", 64 - bits)
-    cells = hashes.select(F.shiftright(at, 6).alias("cell"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 AS int))").alias("bit"))
-    found = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return Filter(bits, out.astype("<i8").view(np.uint8))
-
-
 def pass_over(rows: DataFrame, longest: int, wanted: Filter, before: list[Filter], least: int) -> DataFrame:
     """``(lang, length, phrase, f)`` of the phrases that this pass counts and that are frequent; counts are exact, over all texts.
 
