@@ -41,4 +41,4 @@ def test_encoded_secrets_are_found(pack, encode):
 
 
 def test_long_runs_take_linear_time():
-    assert secrets.all_spans("z" * 1_000_000 + "\n" + "ab\n" * 100_000)[2] == 0
+    assert secrets.all_spans("z" * 1_000_000 + "\n" + "ab\n" * 100_000) == ([], [])

@@ -1,8 +1,11 @@
 """Near-duplicates, decontamination, repeats, secrets and placement against plain versions."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
 import zlib
 from collections import Counter
@@ -10,6 +13,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pytest
+import zstandard
 from xxhash import xxh64_intdigest
 
 from tickloom.llm import components, decontaminate, placement, repeats, secrets, simhash
@@ -187,9 +191,44 @@ def test_content_that_unpacks_to_itself_ends():
     raw = b"AKIA" + b"Q" * 20
     for _ in range(6):
         raw = base64.b64encode(gzip.compress(raw))
-    base, spans, cut = secrets.all_spans(raw.decode())
-    assert [k for _, k, _ in spans] == [1] and not base and not cut
-    assert secrets.all_spans(base64.b64encode(gzip.compress(b"A" * 1000)).decode(), layer_bytes=100)[2] >= 1
+    base, spans = secrets.all_spans(raw.decode())
+    assert [k for _, k, _ in spans] == [1] and not base
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress])
+def test_all_members_of_a_stream(pack):
+    """Several members, the secret in the last; as one run, wrapped, twice compressed, and with a damaged end."""
+    members = b"".join(pack(x) for x in (b"first " * 50, b"", b"second. " * 3, b"password = hunter2222 and more"))
+    for raw in (members, pack(members), gzip.compress(pack(members)), members + b"damaged end"):
+        for text in (base64.b64encode(raw).decode(), base64.urlsafe_b64encode(raw).decode(), base64.encodebytes(raw).decode()):
+            base, spans = secrets.all_spans(f"see {text} there")
+            assert not base and spans and {k for _, k, _ in spans} == {0}, (pack, text)
+            assert all("see " not in f"see {text} there"[a:b] for a, _, b in spans)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zstandard.ZstdCompressor().compress])
+def test_large_layers_are_scanned_whole(pack):
+    """Beyond 64 MiB, with a secret across the ends of blocks, and one in base64 there."""
+    filler = b"some plain words, nothing else. " * (70 << 15)
+    cut = len(filler) - len(filler) % secrets.BLOCK_BYTES
+    raw = filler[: cut - 9] + b"api_key" + b" " * 5000 + b"= 0123456789" + filler[cut:] + base64.b64encode(b"see AKIA" + b"Q" * 20)
+    assert len(raw) > 64 << 20
+    base, spans = secrets.all_spans(base64.b64encode(pack(raw)).decode())
+    assert not base and sorted({k for _, k, _ in spans}) == [0, 1]
+
+
+def test_blocks_share_their_ends(monkeypatch):
+    monkeypatch.setattr(secrets, "SHARED_BYTES", 100)
+    rng = random.Random(9)
+    words = [b"a b", b"AKIA" + b"Z" * 20, b"deadbeef" * 4, b"  ", b"token:  abcdefgh", b"word." * 30, b"A" * 300]
+    for _ in range(200):
+        raw = b" ".join(rng.choice(words) for _ in range(60))
+        cuts = sorted(rng.sample(range(len(raw)), 20))
+        parts = [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)])]
+        got = list(secrets.blocks(iter(parts), 250))
+        kinds = [{k for _, k, _ in secrets.base_spans(x.decode())} for x in got]
+        assert set().union(*kinds) == {k for _, k, _ in secrets.base_spans(raw.decode())}
+        assert sum(map(len, got)) <= len(raw) + 100 * len(got)
 
 
 def test_placement(docs_of, sample):

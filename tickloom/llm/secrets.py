@@ -10,6 +10,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +20,10 @@ from tickloom.llm.text import byte_bounded, utf8
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex")
-#: Decompressed bytes of one layer; what a layer has beyond is not scanned, and is counted in ``n_cut``.
-LAYER_BYTES = 64 << 20
+#: Bytes of a decompressed layer that are scanned together, and bytes that neighbouring blocks share.
+BLOCK_BYTES, SHARED_BYTES = 16 << 20, 1 << 20
+#: Bytes that a decompressor gives at a time; bytes that one without such a limit is given.
+PIECE_BYTES, ZSTD_BYTES = 1 << 20, 256
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -34,6 +37,8 @@ _WRAPPED = [re.compile(rf"(?<![{x}])[{x}]++(?:\r?\n[{x}]++)+") for x in _ALPHABE
 _READABLE = re.compile(rb"[\x20-\x7e]{12,}")
 _HINTS = (b"passw", b"secret", b"token", b"api")
 _HEX_BYTES = re.compile(_HEX.pattern.encode())
+_SPACES = re.compile(rb"\x20{2,}")
+_RUN = re.compile(rb"[A-Za-z0-9+/_\r\n-]++")
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
 
@@ -46,58 +51,71 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
+class Same:
+    """One place for all characters of a layer: what was compressed comes from its whole run."""
+
+    def __init__(self, place: int):
+        self.place = place
+
+    def __getitem__(self, at):
+        return self if isinstance(at, slice) else self.place
+
+
 class Layer:
     """A text and, for each of its characters, where it comes from in the outermost text."""
 
-    def __init__(self, text: str, lo: list[int] | range, hi: list[int] | range):
+    def __init__(self, text: str, lo: Sequence[int] | Same, hi: Sequence[int] | Same):
         self.text, self.lo, self.hi = text, lo, hi
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         return self.lo[start], self.hi[end - 1]
 
 
-def all_spans(text: str, layer_bytes: int = LAYER_BYTES) -> tuple[list[Span], list[Span], int]:
-    """Spans of the text itself, spans of all its layers, and the number of layers that were cut.
+def all_spans(text: str, block_bytes: int = BLOCK_BYTES) -> tuple[list[Span], list[Span]]:
+    """Spans of the text itself, and spans of all its layers.
 
-    A worklist holds layers still to be scanned. Each is scanned, and each way to decode it that changes something
-    puts another layer on the list, until none is new. A layer is known by its content and its place, so equal tokens at
+    A worklist holds layers whose insides are still to be decoded. Each way to decode a layer that changes something
+    gives another one, which is scanned and put on the list, until none is new; a large layer comes in blocks, one after another. A layer is known by its content and its place, so equal tokens at
     two places are both followed, and content that unpacks to itself is followed once.
     """
     base = base_spans(text)
-    spans, cut = set(base), 0
-    work = [Layer(text, range(len(text)), range(1, len(text) + 1))]
+    spans = set(base)
+    work = [decoded(Layer(text, range(len(text)), range(1, len(text) + 1)), block_bytes)]
     seen: set[bytes] = set()
     while work:
-        layer = work.pop()
-        if not isinstance(layer.lo, range):  # the text itself is scanned already
-            for start, kind, end in base_spans(layer.text):
-                first, last = layer.span(start, end)
-                spans.add((first, kind, last))
-        for inner, short in decoded(layer, layer_bytes):
-            place = f"{inner.lo[0]}:{inner.hi[-1]}:".encode()
-            key = hashlib.blake2b(place + inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if key not in seen:
-                seen.add(key)
-                cut += short
-                work.append(inner)
-    return base, sorted(spans), cut
-
-
-def decoded(layer: Layer, layer_bytes: int) -> Iterator[tuple[Layer, bool]]:
-    """The layers one step inside, each with whether it was cut."""
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        place = f"{layer.lo[0]}:{layer.hi[-1]}:".encode()
+        key = hashlib.blake2b(place + layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        for start, kind, end in base_spans(layer.text):
+            first, last = layer.span(start, end)
+            spans.add((first, kind, last))
+        work.append(decoded(layer, block_bytes))
+    return base, sorted(spans)
+
+
+def decoded(layer: Layer, block_bytes: int = BLOCK_BYTES) -> Iterator[Layer]:
+    """The layers one step inside."""
     for pattern, decode in ((_URL, _url), (_UNICODE, _unicode)):
         if (inner := _replaced(layer, pattern, decode)) is not None:
-            yield inner, False
+            yield inner
     for run, places in _runs(layer.text):
         for shift in range(4):
             if (raw := _base64(run[shift:])) is None:
                 continue
-            if packed := _unpacked(raw, layer_bytes):
+            if (stream := unpacked(raw)) is not None:
                 lo, hi = layer.span(places[shift], places[-1] + 1)
-                text, short = _text(packed[0]), packed[1]
-                if text:
-                    yield Layer(text, [lo] * len(text), [hi] * len(text)), short
+                for block in blocks(stream, block_bytes):
+                    if text := _text(block):
+                        yield Layer(text, Same(lo), Same(hi))
             elif text := _text(raw):
+                if isinstance(layer.lo, Same):
+                    yield Layer(text, layer.lo, layer.hi)
+                    continue
                 starts, ends, at = [], [], 0
                 for char in text:
                     size = len(char.encode("utf-8", "surrogateescape"))
@@ -105,7 +123,7 @@ def decoded(layer: Layer, layer_bytes: int) -> Iterator[tuple[Layer, bool]]:
                     a, b = layer.span(places[first], places[min(last, len(places)) - 1] + 1)
                     starts.append(a), ends.append(b)
                     at += size
-                yield Layer(text, starts, ends), False
+                yield Layer(text, starts, ends)
 
 
 def _runs(text: str) -> Iterator[tuple[str, Sequence[int]]]:
@@ -154,6 +172,10 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
             continue
         changed = True
         out.append(layer.text[at : m.start()])
+        if isinstance(layer.lo, Same):
+            out += [char for char, _, _ in parts]
+            at = m.end()
+            continue
         lo += layer.lo[at : m.start()]
         hi += layer.hi[at : m.start()]
         for char, first, last in parts:
@@ -163,6 +185,8 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     if not changed:
         return None
     out.append(layer.text[at:])
+    if isinstance(layer.lo, Same):
+        return Layer("".join(out), layer.lo, layer.hi)
     lo += layer.lo[at:]
     hi += layer.hi[at:]
     return Layer("".join(out), lo, hi)
@@ -220,42 +244,140 @@ def _text(raw: bytes) -> str | None:
         return raw.decode("utf-8", "surrogateescape") if _READABLE.search(raw) else None
 
 
-def _unpacked(raw: bytes, most: int) -> tuple[bytes, bool] | None:
-    """Decompressed bytes, through as many formats as follow one another; None if it is not compressed."""
-    out, seen = None, set()
-    while (step := _decompress(raw, most)) is not None and step[0] not in seen:
-        out, raw = step, step[0]
-        seen.add(raw)
-    return out
-
+def unpacked(raw: bytes, block_bytes: int = BLOCK_BYTES) -> Iterator[bytes] | None:
+    """The decompressed bytes in pieces, through as many formats as follow one another; None if it is not compressed.
 
-def _decompress(raw: bytes, most: int) -> tuple[bytes, bool] | None:
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            unpack = zlib.decompressobj(47)
-            out = unpack.decompress(raw, most)
-            return (out, bool(unpack.unconsumed_tail)) if out else None
-        if raw[:3] == b"BZh":
-            unpack = bz2.BZ2Decompressor()
-            return unpack.decompress(raw, most), not unpack.eof and not unpack.needs_input
-        if raw[:6] == b"\xfd7zXZ\x00":
-            unpack = lzma.LZMADecompressor()
-            return unpack.decompress(raw, most), not unpack.eof and not unpack.needs_input
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                out = reader.read(most + 1)
-            return out[:most], len(out) > most
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
-    except Exception as ex:  # zstandard's error has no common base
-        if type(ex).__name__ == "ZstdError":
-            return None
-        raise
+    What is small enough is compared with what it was made of, so that bytes that unpack to themselves come to an end.
+    """
+    stream, seen, begun = iter([raw]), {raw}, False
+    while (inner := _decompressed(stream)) is not None:
+        begun = True
+        pieces, size = [], 0
+        for piece in inner:
+            pieces.append(piece)
+            size += len(piece)
+            if size > block_bytes:
+                break
+        else:
+            whole = b"".join(pieces)
+            if whole in seen:
+                return iter([whole])
+            seen.add(whole)
+        stream = chain(pieces, inner)
+        if not _is_packed(b"".join(pieces[:2])):
+            break
+    return stream if begun else None
+
+
+def _opener(head: bytes):
+    """What starts a decompressor of the format that the bytes begin like."""
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and _is_packed(head):
+        return _Deflated
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return _Zstd
     return None
 
 
+class _Deflated:
+    """zlib's decompressor with the interface of the others."""
+
+    def __init__(self):
+        self.inner, self.rest, self.needs_input = zlib.decompressobj(47), b"", True
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        out = self.inner.decompress(self.rest + data, most)
+        self.rest = self.inner.unconsumed_tail
+        self.needs_input = not self.rest and len(out) < most
+        return out
+
+    @property
+    def eof(self) -> bool:
+        return self.inner.eof
+
+    @property
+    def unused_data(self) -> bytes:
+        return self.inner.unused_data
+
+
+class _Zstd:
+    """zstandard's decompressor with the interface of the others; it can't be told how much to give, so it is fed in small parts."""
+
+    def __init__(self):
+        import zstandard
+
+        self.inner, self.rest = zstandard.ZstdDecompressor().decompressobj(), b""
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        data = self.rest + data
+        self.rest = data[ZSTD_BYTES:]
+        return self.inner.decompress(data[:ZSTD_BYTES])
+
+    @property
+    def needs_input(self) -> bool:
+        return not self.rest
+
+    @property
+    def eof(self) -> bool:
+        return self.inner.eof
+
+    @property
+    def unused_data(self) -> bytes:
+        return self.inner.unused_data + self.rest
+
+
+def _decompressed(stream: Iterator[bytes]) -> Iterator[bytes] | None:
+    """The bytes of all members of a compressed stream, as far as they are sound; None if there are none."""
+    stream = iter(stream)
+    head = b""
+    for piece in stream:
+        head += piece
+        if len(head) >= 6:
+            break
+    found = _members(head, stream) if _opener(head) else iter(())
+    first = next(found, None)
+    return None if first is None else chain([first], found)
+
+
+def _members(data: bytes, stream: Iterator[bytes]) -> Iterator[bytes]:
+    while (opener := _opener(data)) is not None:
+        unpack = opener()
+        try:
+            while not unpack.eof:
+                if unpack.needs_input and not data and not (data := next(stream, b"")):
+                    return
+                out, data = unpack.decompress(data, PIECE_BYTES), b""
+                if out:
+                    yield out
+        except Exception as ex:
+            if isinstance(ex, (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)) or type(ex).__name__ == "ZstdError":
+                return  # the rest is damaged
+            raise
+        data = unpack.unused_data
+        while len(data) < 6 and (piece := next(stream, b"")):
+            data += piece
+
+
+def blocks(stream: Iterator[bytes], block_bytes: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """The bytes of a stream in blocks that share their ends. Runs of spaces are one space, which changes no match; a run that may be base64 is never cut."""
+    held, fresh = b"", 0
+    for piece in stream:
+        held += _SPACES.sub(b" ", piece)
+        fresh += len(piece)
+        if fresh < block_bytes:
+            continue
+        held = _SPACES.sub(b" ", held)
+        if _RUN.fullmatch(held, max(0, len(held) - SHARED_BYTES)):
+            continue  # a run longer than what blocks share: wait for its end
+        yield held
+        held, fresh = held[-SHARED_BYTES:], 0
+    if fresh:
+        yield held
+
+
 def may_hold(raw: bytes) -> bool:
     """False only for texts in which neither a pattern nor an encoded layer can match."""
     if b"AKIA" in raw or b"%" in raw and _URL.search(raw.decode()) or b"\\" in raw or b"&#" in raw or _HEX_BYTES.search(raw):
@@ -266,7 +388,7 @@ def may_hold(raw: bytes) -> bool:
     for run, _ in _runs(raw.decode()):
         for shift in range(4):
             inner = _base64(run[shift:])
-            if inner is not None and (_text(inner) is not None or _decompress(inner, 64) is not None):
+            if inner is not None and (_text(inner) is not None or _decompressed([inner]) is not None):
                 return True
     return False
 
@@ -285,34 +407,34 @@ def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
-_FOUND = "base array<struct<kind: string, start: long, end: long>>, spans array<struct<kind: string, start: long, end: long>>, n_cut long, listed_base string, listed_spans string, redacted string"
+_FOUND = "base array<struct<kind: string, start: long, end: long>>, spans array<struct<kind: string, start: long, end: long>>, listed_base string, listed_spans string, redacted string"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layer_bytes: int = LAYER_BYTES) -> DataFrame:
-    """Rows of ``docs`` as ``(id_col, base, spans, n_cut, listed_base, listed_spans, redacted)``.
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` as ``(id_col, base, spans, listed_base, listed_spans, redacted)``.
 
     ``base`` are the spans found in the text as it stands, ``spans`` these and the ones found in its layers, mapped to
     the text: percent runs, Unicode escapes and references, base64 of both alphabets at any alignment, in one line or
     over single line ends, and gzip, zlib,
-    bzip2, xz and zstd inside base64, nested in any way. Places are code points, ends exclusive. ``redacted`` is the
+    bzip2, xz and zstd inside base64, all members of them, nested in any way. Places are code points, ends exclusive; what was compressed has the place of its whole run. ``redacted`` is the
     text with all spans replaced. A null text is the empty text; rows that repeat and null ids stay; an empty table gives
-    an empty result; further columns are not read. Texts are scanned whole; only a decompressed layer of more than
-    ``layer_bytes`` is cut there, and counted in ``n_cut``.
+    an empty result; further columns are not read. Texts and layers are scanned whole: a decompressed layer passes in blocks, so its size takes time but no memory;
+    only a run of base64 inside one is held whole.
     """
 
     def run(batches):
         for batch in batches:
-            base, spans, cut, texts = [], [], [], []
+            base, spans, texts = [], [], []
             for raw in utf8(batch.column(1)):
                 text = raw.decode()
-                a, b, n = all_spans(text, layer_bytes) if may_hold(raw) else ([], [], 0)
-                base.append(a), spans.append(b), cut.append(n), texts.append(redact(text, b))
+                a, b = all_spans(text) if may_hold(raw) else ([], [])
+                base.append(a), spans.append(b), texts.append(redact(text, b))
             rows = [pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in column], _SPANS) for column in (base, spans)]
             strings = [pa.array(map(listed, x), pa.string()) for x in (base, spans)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *rows, pa.array(cut, pa.int64()), *strings, pa.array(texts, pa.string())],
-                names=["id", "base", "spans", "n_cut", "listed_base", "listed_spans", "redacted"],
+                [batch.column(0), *rows, *strings, pa.array(texts, pa.string())],
+                names=["id", "base", "spans", "listed_base", "listed_spans", "redacted"],
             )
 
     rows = byte_bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
