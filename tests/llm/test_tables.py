@@ -164,6 +164,40 @@ def test_top_k(spark, monkeypatch, shard_rows):
     assert few.count() == 2
 
 
+@pytest.mark.parametrize("largest", [1e6, 1e12, 3e38, 1e200, 1.7e308])
+def test_top_k_of_large_components(spark, monkeypatch, largest):
+    """Scores beyond what doubles hold are ranked exactly; some differ by one in the last place."""
+    monkeypatch.setattr(topk, "LEAF_ROWS", 8)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=5).round(2).tolist()) for i in range(150)]
+    rows += [(200 + i, [largest, float(i), -largest / 3, 1.5, 0.0]) for i in range(30)]
+    rows += [(300 + i, [largest, 0.0, -largest / 3, 1.5, i / 64]) for i in range(10)]
+    rows += [(400, [-largest] * 5), (420, [2.0**53 + 2, 1.0, 0.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(table, 20, 20, shard_rows=60).collect()}
+    most = np.finfo(float).max
+    ints = [(i, [int(min(max(64 * v, -most), most)) if abs(v) >= 2**53 else int(np.floor(64 * v)) for v in x]) for i, x in rows]
+    for q, x in ints:
+        if q % 20 == 0:
+            best = sorted((-sum(map(int.__mul__, x, y)), i) for i, y in ints if i != q)[:20]
+            want = [(i, min(max(-score, -(2**63)), 2**63 - 1)) for score, i in best]
+            assert [got[(q, rank)] for rank in range(1, 21)] == want, q
+
+
+def test_bounds_of_another_shard_save_scores():
+    rng = np.random.default_rng(6)
+    points = np.floor(64 * rng.normal(size=(4000, 3)))
+    names, asked = np.arange(4000), points[:50]
+    trees = topk.BallTree(points[:2000], 16), topk.BallTree(points[2000:], 16)
+    none = np.full(50, -np.inf)
+    q, score, _ = topk.search(trees[0], points[:2000], names[:2000], asked, names[:50], none, 20)
+    kth = np.array([np.sort(score[q == i])[-20] for i in range(50)], float)
+    alone, told = [], []
+    topk.search(trees[1], points[2000:], names[2000:], asked, names[:50], none, 20, scored=alone)
+    topk.search(trees[1], points[2000:], names[2000:], asked, names[:50], kth, 20, scored=told)
+    assert sum(told) < 0.8 * sum(alone)
+
+
 def test_archives(spark, tmp_path):
     pages = [(i, f"http://a/{i}", f"<p>é{i % 7}</p>") for i in range(40)] + [(50, None, None), (51, "u", ""), (52, "u\r\nX: y", "\r\n\r\n"), (53, "v", "twice"), (53, "v", "twice"), (53, "w", "twice"), (None, "n", "none"), (None, "n2", "<p>é1</p>")]
     table = spark.createDataFrame([(*x, "?", 1) for x in pages], "page_id long, url string, html string, digest string, offset int").repartition(3)

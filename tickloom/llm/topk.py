@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from tickloom.session import scratch_table
 
 #: Vectors of a shard, about: each task builds the tree of its shard in memory.
 SHARD_ROWS = 32_768
-#: Vectors whose scores give every query its first bound.
-SEED_ROWS = 2_048
+#: Doubles hold whole numbers up to this exactly.
+EXACT = 2.0**53
 #: Vectors of a leaf.
 LEAF_ROWS = 128
 #: Queries that walk a tree together.
@@ -86,13 +87,40 @@ class Best:
         return self.parts[0]
 
 
-def search(tree: BallTree, vectors: np.ndarray, names: np.ndarray, queries: np.ndarray, own: np.ndarray, bounds: np.ndarray, k: int):
+class WideBest:
+    """The k best of each query where scores are beyond what doubles hold: whole numbers of any length, one heap a query.
+
+    ``bounds`` are doubles a little below the kth scores, in units of ``unit``.
+    """
+
+    def __init__(self, k: int, bounds: np.ndarray, unit: int):
+        self.k, self.bounds, self.unit = k, bounds.copy(), unit
+        self.heaps: list[list[tuple[int, int]]] = [[] for _ in bounds]
+
+    def add(self, query: int, score: int, name: int) -> None:
+        heap = self.heaps[query]
+        (heapq.heappush if len(heap) < self.k else heapq.heappushpop)(heap, (score, -name))
+        if len(heap) == self.k:
+            self.bounds[query] = max(self.bounds[query], below(heap[0][0], self.unit))
+
+    def settle(self) -> list[tuple[int, int, int]]:
+        return [(q, score, -name) for q, heap in enumerate(self.heaps) for score, name in heap]
+
+
+def below(score: int, unit: int) -> float:
+    """A double that is not above the score."""
+    x = score / unit
+    return x - abs(x) * 1e-12 - 1e-300
+
+
+def search(tree: BallTree, vectors: np.ndarray, names: np.ndarray, queries: np.ndarray, own: np.ndarray, bounds: np.ndarray, k: int, wide: Wide | None = None, scored: list[int] | None = None):
     """``(query, score, name)`` of each query's best rows of one shard, among those that reach its bound.
 
     Nodes are opened in the order of the highest inner product any waiting query may have there; a query
-    enters a node only if its bound there reaches its current kth score, which every leaf may raise.
+    enters a node only if its bound there reaches its current kth score, which every leaf may raise. ``wide`` has the whole numbers of rows and queries where doubles
+    only come near them: then doubles choose what is scored in whole numbers. ``scored`` takes the number of rows scored in each leaf.
     """
-    best = Best(len(queries), k, bounds)
+    best = Best(len(queries), k, bounds) if wide is None else WideBest(k, bounds, wide.unit)
     lengths = np.sqrt((queries * queries).sum(axis=1))
     every = np.arange(len(queries))
     heap = [(-np.inf, 0, 0, every, tree.bounds(queries, lengths, 0))]
@@ -107,11 +135,20 @@ def search(tree: BallTree, vectors: np.ndarray, names: np.ndarray, queries: np.n
         if left < 0:
             at = tree.order[slice(*tree.ranges[node])]
             score = queries[active] @ vectors[at].T
+            if scored is not None:
+                scored.append(score.size)
+            if wide is not None:
+                score += 1e-12 * (np.abs(queries[active]) @ np.abs(vectors[at]).T) + 1e-300
             q, c = np.nonzero(score >= best.bounds[active][:, None])
             other = names[at[c]] != own[active[q]]
             q, c = q[other], c[other]
-            best.add(active[q], score[q, c].astype(np.int64), names[at[c]])
-            best.settle()
+            if wide is None:
+                best.add(active[q], score[q, c].astype(np.int64), names[at[c]])
+                best.settle()
+                continue
+            for i, j, top in zip(active[q].tolist(), at[c].tolist(), score[q, c].tolist()):
+                if top >= best.bounds[i]:
+                    best.add(i, sum(map(int.__mul__, wide.queries[i], wide.points[j])), int(names[j]))
         else:
             for child in (left, right):
                 highest = tree.bounds(queries[active], lengths[active], child)
@@ -120,15 +157,26 @@ def search(tree: BallTree, vectors: np.ndarray, names: np.ndarray, queries: np.n
     return best.settle()
 
 
+class Wide:
+    """Rows and queries as whole numbers, and the doubles that stand for them, shrunk so that no product leaves their range."""
+
+    def __init__(self, points: np.ndarray, queries: np.ndarray, shrink: int):
+        self.unit = 1 << (2 * shrink)
+        self.points, self.queries = ([list(map(int, x)) for x in y.tolist()] for y in (points, queries))
+
+
 def scaled_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """``(id, x)`` with x the components times ``scale``, rounded down; equal rows once.
+    """``(id, x)`` with x the components times ``scale``, rounded down, as doubles; equal rows once.
 
-    Rows without an id or a vector, or with a component that is null or not finite, take no part.
+    Rows without an id or a vector, or with a component that is null or not finite, take no part. A multiple beyond the
+    range of doubles counts as the last one.
     """
     x = F.col(vector_col).cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     out = rows.where(F.col(id_col).isNotNull() & x.isNotNull()).where(finite)
-    return out.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale)).alias("x"))
+    most = F.lit(np.finfo(float).max.item())
+    whole = lambda v: F.when(F.abs(v) < EXACT, F.floor(v * scale).cast("double")).otherwise(F.least(F.greatest(v * scale, -most), most))
+    return out.select(F.col(id_col).cast("long").alias("id"), F.transform(x, whole).alias("x"))
 
 
 def top_k(rows: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -136,55 +184,66 @@ def top_k(rows: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col
 
     All rows are candidates but those of the query's own id; ties go to the smaller id. Equal rows count once; one id
     with several vectors is several candidates and is a query by its smallest vector. A shorter vector is filled up
-    with zeros. Rows that take no part: see :func:`scaled_vectors`. Components or scores too large for exact double
-    arithmetic (2^53) are an error. No rows give no result.
+    with zeros. Rows that take no part: see :func:`scaled_vectors`. Scores are exact: beyond what doubles hold (2^53) they are computed and ranked as whole numbers of any
+    length; a score beyond 64 bits is given as the last one of 64 bits. No rows give no result.
 
-    Candidates are dealt to shards by a hash of their id. Every query visits every shard, in blocks, with the kth score among
-    ``SEED_ROWS`` fixed rows as its first bound; a task keeps the tree of one shard and raises the bounds as it goes.
-    Shards return only rows that reach the bound, and of these the best ``k``.
+    Candidates are dealt to shards by a hash of their id. Every query first visits one shard; its kth score there is its bound in all the others.
+    A task keeps the tree of one shard and raises the bounds as it goes; shards return only rows that reach the bound, and of these the best ``k``.
     """
     vectors = scratch_table(scaled_vectors(rows, id_col, vector_col, scale).distinct())
-    count, width, largest = vectors.agg(F.count("*"), F.max(F.size("x")), F.max(F.expr("aggregate(x, 0D, (a, v) -> greatest(a, abs(CAST(v AS DOUBLE))))"))).first()
-    if not count or not width:
-        width, largest = width or 0, largest or 0.0
-    if width and largest**2 * width >= 2**53:
-        raise ValueError("components are too large for exact inner products")
+    count, width, largest = vectors.agg(F.count("*"), F.max(F.size("x")), F.max(F.expr("aggregate(x, 0D, (a, v) -> greatest(a, abs(v)))"))).first()
+    width, largest = width or 0, largest or 0.0
+    wide = largest > 0 and 2 * math.log2(largest) + math.log2(width) >= 53
+    shrink = max(0, int(math.log2(largest)) - 400) if wide else 0
+    bits = (2 * int(math.log2(largest)) + int(math.log2(width)) + 4) if wide else 0
     queries = vectors.where(F.col("id") % every == 0).groupBy("id").agg(F.min("x").alias("x"))
     shards = max(1, -(-count // shard_rows), min(count // 4096, vectors.sparkSession.sparkContext.defaultParallelism))
-    seed = np.zeros((0, width)), np.zeros(0, np.int64)
-    if count and width:
-        taken = vectors.orderBy(F.xxhash64("id"), "id", "x").limit(SEED_ROWS).collect()  # a fixed number of rows
-        seed = np.array([pad(x["x"], width) for x in taken], float), np.array([x["id"] for x in taken])
-    shared = vectors.sparkSession.sparkContext.broadcast(seed)
 
     def run(batches):
         for shard, candidates, blocks in whole_shards(batches, width):
             names, points = distinct_best(*candidates, k)
             if not len(names):
                 continue
-            tree = BallTree(points)
-            for own, asked in blocks:
-                bounds = first_bounds(asked, own, *shared.value, k)
-                q, score, name = search(tree, points, names, asked, own, bounds, k)
-                yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(name), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    base = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "x")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "x")
-    dealt = base.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+            tree = BallTree(np.ldexp(points, -shrink))
+            for own, asked, bounds in blocks:
+                bounds = np.where(np.isnan(bounds), -np.inf, bounds)
+                if wide:
+                    found = search(tree, np.ldexp(points, -shrink), names, np.ldexp(asked, -shrink), own, bounds, k, Wide(points, asked, shrink))
+                    yield wide_batch(found, own, bits, shrink)
+                else:
+                    q, score, name = search(tree, points, names, asked, own, bounds, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(name), pa.array(score), pa.array(score.astype(float))], names=["query_id", "vec_id", "score", "low"])
+
+    schema = "query_id long, vec_id long, score long, low double" + (", whole binary" if wide else "")
+    order = F.col("whole" if wide else "score").desc()
+    base = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "x", F.lit(None).cast("double").alias("bound"))
+
+    def visit(asked: DataFrame) -> DataFrame:
+        dealt = base.unionByName(asked.select("shard", F.lit(1).alias("kind"), "id", "x", "bound"))
+        return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id").mapInArrow(run, schema)
+
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(order, "vec_id"))
+    home = F.pmod(F.xxhash64("id", F.lit("first")), F.lit(shards)).cast("int")
+    found = visit(queries.select(home.alias("shard"), "id", "x", F.lit(None).cast("double").alias("bound")))
+    if shards > 1:
+        found = scratch_table(found)
+        known = found.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("low").alias("bound"))
+        rest = queries.join(known, "id", "left").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "x", "bound")
+        found = found.unionByName(visit(rest.where(F.col("shard") != home)))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def pad(x: list[int], width: int) -> list[int]:
-    return x + [0] * (width - len(x))
-
-
-def first_bounds(asked: np.ndarray, own: np.ndarray, points: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
-    """The kth score of each query among the fixed rows, or no bound if they are too few."""
-    none = np.iinfo(np.int64).min / 2
-    score = np.where(names[None, :] == own[:, None], none, asked @ points.T)
-    return np.partition(score, -k, axis=1)[:, -k] if len(names) >= k else np.full(len(own), none)
+def wide_batch(found: list[tuple[int, int, int]], own: np.ndarray, bits: int, shrink: int) -> pa.RecordBatch:
+    """Scores as the nearest of 64 bits, as a double from below, and whole, as bytes in the order of the numbers."""
+    top = (1 << 63) - 1
+    columns = [
+        pa.array([int(own[q]) for q, _, _ in found], pa.int64()),
+        pa.array([name for _, _, name in found], pa.int64()),
+        pa.array([min(max(score, -top - 1), top) for _, score, _ in found], pa.int64()),
+        pa.array([below(score, 1 << (2 * shrink)) for _, score, _ in found], pa.float64()),
+        pa.array([(score + (1 << bits)).to_bytes(bits // 8 + 1, "big") for _, score, _ in found], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score", "low", "whole"])
 
 
 def distinct_best(names: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +259,7 @@ def distinct_best(names: np.ndarray, points: np.ndarray, k: int) -> tuple[np.nda
 
 
 def whole_shards(batches, width: int):
-    """For each shard its candidates, and its queries in blocks as they come in."""
+    """For each shard its candidates, and its queries with their bounds in blocks as they come in."""
 
     def rows():
         for batch in batches:
@@ -213,17 +272,17 @@ def whole_shards(batches, width: int):
                 points[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
             label = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
             edges = [0, *(np.flatnonzero(np.diff(label)) + 1).tolist(), len(label)]
-            names = batch.column(2).to_numpy()
+            names, bounds = batch.column(2).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False).astype(float)
             for a, b in zip(edges, edges[1:]):
                 if b > a:
-                    yield int(label[a]), names[a:b], points[a:b]
+                    yield int(label[a]), names[a:b], points[a:b], bounds[a:b]
 
     stream = rows()
     part = next(stream, None)
     while part is not None:
         shard, held = part[0] // 2, []
         while part is not None and part[0] == 2 * shard:
-            held.append(part[1:])
+            held.append(part[1:3])
             part = next(stream, None)
         names = np.concatenate([x for x, _ in held]) if held else np.zeros(0, np.int64)
         points = np.concatenate([x for _, x in held]) if held else np.zeros((0, width))
@@ -232,7 +291,7 @@ def whole_shards(batches, width: int):
             nonlocal part
             while part is not None and part[0] == 2 * shard + 1:
                 for first in range(0, len(part[1]), QUERY_ROWS):
-                    yield part[1][first : first + QUERY_ROWS], part[2][first : first + QUERY_ROWS]
+                    yield tuple(x[first : first + QUERY_ROWS] for x in part[1:])
                 part = next(stream, None)
 
         own = blocks()
