@@ -28,6 +28,7 @@ from tickloom.functions.scalars import (
     previous_period_ms,
     safe_divide,
 )
+from tickloom.operators.digests import COMPRESSION, digest_quantile, merged_digests, quantile_digests
 from tickloom.operators.filters import valid_trades
 from tickloom.operators.prefix import running
 from tickloom.session import scratch_table
@@ -457,14 +458,43 @@ def weighted_quantiles(
 BAR_QUANTILES = {n: ("p", q) for n, q in PRICE_QUANTILES.items()} | {n: ("v", q) for n, q in VOLUME_QUANTILES.items()}
 
 
-def bar_quantiles(joined: DataFrame, tasks: int) -> DataFrame:
-    """Quantile columns of buckets of any size."""
+def bar_values(joined: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Prices (kind ``p``, by whole weights, or by ``weight``) and volumes (``v``, each once) of the trades of each bucket."""
+    weight = price_weight() if weight is None else weight
+    once = F.lit(1).cast(joined.select(weight.alias("w")).schema["w"].dataType)
     kinds = F.array(
-        F.struct(F.lit("p").alias("kind"), F.col("price").alias("value"), price_weight().alias("freq")),
-        F.struct(F.lit("v").alias("kind"), F.col("volume").alias("value"), F.lit(1).cast("bigint").alias("freq")),
+        F.struct(F.lit("p").alias("kind"), F.col("price").alias("value"), weight.alias("freq")),
+        F.struct(F.lit("v").alias("kind"), F.col("volume").alias("value"), once.alias("freq")),
     )
-    values = joined.select(*GROUP, F.inline(kinds))
-    return weighted_quantiles(values, GROUP, BAR_QUANTILES, 2 * tasks)
+    return joined.select(*GROUP, F.inline(kinds))
+
+
+def bar_quantiles(joined: DataFrame, tasks: int) -> DataFrame:
+    """Quantile columns of buckets of any size."""
+    return weighted_quantiles(bar_values(joined), GROUP, BAR_QUANTILES, 2 * tasks)
+
+
+def bar_digests(rows: DataFrame, compression: int = COMPRESSION) -> DataFrame:
+    """``(bucket, kind, digest)`` of bucketed trades: prices weighted by their volumes, and volumes.
+
+    Digests are stored beside the bars; those of late trades are merged into them with :func:`refreshed_digests`,
+    without the trades that were there before. The trades themselves are not shuffled.
+    """
+    return quantile_digests(bar_values(rows, F.col("volume")), [*GROUP, "kind"], weight="freq", compression=compression)
+
+
+def refreshed_digests(stored: DataFrame, late: DataFrame, compression: int = COMPRESSION) -> DataFrame:
+    """Stored digests with those of late trades: only buckets that have late trades are read and come back."""
+    keys = [*GROUP, "kind"]
+    touched = late.select(*keys).distinct()
+    return merged_digests(stored.join(touched, keys, "left_semi").select(*keys, "digest").unionByName(late.select(*keys, "digest")), keys, compression)
+
+
+def digest_columns(digests: DataFrame) -> DataFrame:
+    """The quantile columns of the bars from their digests, one row a bucket."""
+    of = lambda kind: F.max_by("digest", F.when(F.col("kind") == kind, 1))
+    both = digests.groupBy(*GROUP).agg(of("p").alias("p"), of("v").alias("v"))
+    return both.select(*GROUP, *(digest_quantile(F.col(kind), q).alias(name) for name, (kind, q) in BAR_QUANTILES.items()))
 
 
 # --- the operator ---------------------------------------------------------------
@@ -533,13 +563,12 @@ def bars_of_rows(
 ) -> DataFrame:
     """Bars of trades that are already unique, valid and bucketed."""
     summary = scratch_table(with_ema_span(bucket_summary(rows)))
-    large = scratch_table(summary.filter(F.col("num_trades") > rows_per_chunk))
-    in_large = large.agg(F.sum("num_trades")).first()[0] or 0
-    small = summary.filter(F.col("num_trades") <= rows_per_chunk)
-    # without large buckets their side of the join is an empty table, and nothing of that branch reads the trades
-    second = _small_buckets(with_summary(rows, small), periods_ms, standard_log_regression).unionByName(
-        _large_buckets(with_summary(rows, large), periods_ms, standard_log_regression, 1 + in_large // rows_per_chunk)
-    )
+    is_large = F.col("num_trades") > rows_per_chunk
+    in_large = summary.agg(F.sum(F.when(is_large, F.col("num_trades")))).first()[0] or 0
+    second = _small_buckets(with_summary(rows, summary.filter(~is_large)), periods_ms, standard_log_regression)
+    if in_large:
+        large = scratch_table(summary.filter(is_large))
+        second = second.unionByName(_large_buckets(with_summary(rows, large), periods_ms, standard_log_regression, 1 + in_large // rows_per_chunk))
     bars = summary.withColumns({c: nan_to_num(c) for c in ("mean_price", "mean_volume", "max_volume")})
     out = bars.join(second, GROUP).withColumn("time_ms", F.col("bucket_ms"))
     return out.select("market", "period_ms", "offset_ms", *BAR_COLUMNS)

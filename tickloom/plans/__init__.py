@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bars", "filters", "features", "books", "ingest", "matrices", "streams"]
+MODULES = ["bars", "digests", "filters", "features", "books", "ingest", "matrices", "streams"]
 
 
 def load_all() -> None:
