@@ -105,6 +105,20 @@ def stream_bars_refreshed(spark, sf_dir):
     return T.read_bars(spark, f"{folder}/bars")
 
 
+_EXACT = [c for c in B.BAR_COLUMNS if c not in B.BAR_QUANTILES]
+
+
+@query("stream_bars_segments", with_views("trades", f"WITH {bars_ctes('trades', _PERIODS, _OFFSETS).strip()} SELECT market, period_ms, offset_ms, {', '.join(_EXACT)} FROM bars"), " ".join(c for c in _EXACT if c in DOUBLES.split()))
+def stream_bars_segments(spark, sf_dir):
+    """The columns that segments give exactly, kept current by renewing stale segments; trades come late and some twice."""
+    from tickloom.operators.segments import segment_refresher
+
+    folder = _folder(spark)
+    refresher = segment_refresher(f"{folder}/trades", f"{folder}/segments", f"{folder}/bars", _PERIODS, _OFFSETS)
+    Z.run_available(_in_batches(spark, sf_dir, "trades", _LATE, "id % 13 = 0"), refresher, f"{folder}/state")
+    return T.read_bars(spark, f"{folder}/bars").select("market", "period_ms", "offset_ms", *_EXACT)
+
+
 @query(
     "refresh_stale_bars",
     with_views("trades", f"""WITH {bars_ctes('trades', _PERIODS, _OFFSETS).strip()},
@@ -229,27 +243,29 @@ def _emitted(spark, messages, **choices):
 
 
 _BATCHES, _EXPIRY = 4, 120 * 86_400_000
-_REPLAY = f"""msgs0 AS (SELECT symbol, side, price, qty, final_id AS id, event_ms, 2 AS rank,
+_REPLAY = f"""msgs0 AS MATERIALIZED (SELECT symbol, side, price, qty, final_id AS id, event_ms, 2 AS rank,
      CAST((event_ms - lo) * {_BATCHES} // (hi - lo + 1) AS INTEGER) AS b FROM depth_updates, (SELECT min(event_ms) AS lo, max(event_ms) AS hi FROM depth_updates)),
    head AS (SELECT symbol, (min(id) + max(id)) // 2 AS id, max(event_ms) AS event_ms FROM msgs0 WHERE b = 2 GROUP BY symbol),
    snap AS (SELECT symbol, side, price, max(qty) + 1 AS qty FROM msgs0 WHERE b = 2 AND id % 5 = 0 GROUP BY ALL),
-   clears AS (SELECT symbol, side, id, max(price) AS top FROM snap JOIN head USING (symbol) GROUP BY ALL),
-   msgs AS (SELECT * FROM msgs0 UNION ALL SELECT symbol, side, price, qty, id, event_ms, 1, 2 FROM snap JOIN head USING (symbol)),
+   clears AS MATERIALIZED (SELECT symbol, side, id, max(price) AS top FROM snap JOIN head USING (symbol) GROUP BY ALL),
+   msgs AS MATERIALIZED (SELECT * FROM msgs0 UNION ALL SELECT symbol, side, price, qty, id, event_ms, 1, 2 FROM snap JOIN head USING (symbol)),
    s0 AS (SELECT symbol, side, price, qty, id AS last_id, event_ms AS last_ms FROM msgs WHERE FALSE)"""
 
 
 def _replay_step(k: int) -> str:
-    """One trigger: the state before is ``s<k>``, what it emits is ``t<k + 1>``."""
-    covers = lambda x, cond: f"NOT EXISTS (SELECT 1 FROM clears c WHERE {k} = 2 AND c.symbol = {x}.symbol AND c.side = {x}.side AND (c.side = 'bid' OR {x}.price <= c.top) AND {cond})"
-    return f"""o{k} AS (SELECT * FROM s{k} s WHERE {covers('s', 's.last_id <= c.id')}),
-      j{k} AS (SELECT m.*, o.last_id AS old, row_number() OVER (PARTITION BY m.symbol, m.side, m.price ORDER BY m.id, m.rank, m.event_ms, m.qty) AS rn
-        FROM msgs m LEFT JOIN o{k} o ON m.symbol = o.symbol AND m.side = o.side AND m.price = o.price WHERE b = {k} AND (o.last_id IS NULL OR m.id >= o.last_id) AND {covers('m', 'm.id < c.id')}),
+    """One trigger: the state before is ``s<k>``, what it emits is ``t<k + 1>``. There is one snapshot of a symbol and side, in the third."""
+    kept = lambda x, newer: f"""FROM {x} LEFT JOIN (SELECT symbol, side, id AS clear_id, top FROM clears WHERE {k} = 2) c USING (symbol, side)
+        WHERE (clear_id IS NULL OR (side <> 'bid' AND price > top) OR {newer})"""
+    return f"""o{k} AS MATERIALIZED (SELECT symbol, side, price, qty, last_id, last_ms {kept(f's{k}', 'last_id > clear_id')}),
+      m{k} AS MATERIALIZED (SELECT symbol, side, price, qty, id, event_ms, rank {kept('msgs', 'id >= clear_id')} AND b = {k}),
+      j{k} AS MATERIALIZED (SELECT m.*, o.last_id AS old, row_number() OVER (PARTITION BY m.symbol, m.side, m.price ORDER BY m.id, m.rank, m.event_ms, m.qty) AS rn
+        FROM m{k} m LEFT JOIN o{k} o ON m.symbol = o.symbol AND m.side = o.side AND m.price = o.price WHERE o.last_id IS NULL OR m.id >= o.last_id),
       u{k} AS (SELECT *, rn = 1 AND old IS NOT NULL AND rank = 2 AND qty <= 0 AND id <> coalesce(old, id) AS gone FROM j{k}),
-      a{k} AS (SELECT symbol, side, price, bool_or(gone) AS gone, count(*) FILTER (NOT gone) AS n, arg_max(qty, rn) FILTER (NOT gone) AS qty, arg_max(id, rn) FILTER (NOT gone) AS last_id,
+      a{k} AS MATERIALIZED (SELECT symbol, side, price, bool_or(gone) AS gone, count(*) FILTER (NOT gone) AS n, arg_max(qty, rn) FILTER (NOT gone) AS qty, arg_max(id, rn) FILTER (NOT gone) AS last_id,
         arg_max(event_ms, rn) FILTER (NOT gone) AS last_ms, var_pop(qty) FILTER (NOT gone) AS v FROM u{k} GROUP BY ALL),
-      t{k + 1} AS (SELECT {k} AS emission, symbol, side, price, coalesce(n, 0) AS n, v, CASE WHEN n > 0 THEN a.qty ELSE o.qty END AS qty, CASE WHEN n > 0 THEN a.last_id ELSE o.last_id END AS last_id,
+      t{k + 1} AS MATERIALIZED (SELECT {k} AS emission, symbol, side, price, coalesce(n, 0) AS n, v, CASE WHEN n > 0 THEN a.qty ELSE o.qty END AS qty, CASE WHEN n > 0 THEN a.last_id ELSE o.last_id END AS last_id,
         CASE WHEN n > 0 THEN a.last_ms ELSE o.last_ms END AS last_ms FROM a{k} a FULL JOIN o{k} o USING (symbol, side, price) WHERE n > 0 OR (o.last_id IS NOT NULL AND NOT coalesce(gone, FALSE))),
-      s{k + 1} AS (SELECT symbol, side, price, qty, last_id, last_ms FROM t{k + 1} WHERE last_ms >= (SELECT max(event_ms) FROM msgs WHERE b <= {k}) - {_EXPIRY})"""
+      s{k + 1} AS MATERIALIZED (SELECT symbol, side, price, qty, last_id, last_ms FROM t{k + 1}, (SELECT max(event_ms) AS newest FROM msgs WHERE b <= {k}) WHERE last_ms >= newest - {_EXPIRY})"""
 
 
 _EMITTED_SQL = " UNION ALL ".join(f"SELECT emission, symbol, side, price, qty, last_id, n AS change_count, v AS qty_var FROM t{k + 1} SEMI JOIN s{k + 1} USING (symbol, side, price) WHERE qty > 0" for k in range(_BATCHES))

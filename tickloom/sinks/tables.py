@@ -52,31 +52,40 @@ def append_trades(trades: DataFrame, path: str, lookback_ms: int | None = None)
     fresh.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
 
 
+def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stored rows of :func:`put_rows`, or none."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema + ", date date").parquet(path).drop("date")
+
+
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
     """Stored bars, or none."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], BAR_SCHEMA)
-    return spark.read.schema(BAR_SCHEMA + ", date date").parquet(path).drop("date")
+    return read_rows(spark, path, BAR_SCHEMA)
 
 
-def write_bars(bars: DataFrame, path: str) -> None:
-    """Put bars in the place of the stored ones of the same bucket.
+def put_rows(rows: DataFrame, path: str, keys: Sequence[str], time_col: str = "time_ms") -> None:
+    """Put rows in the place of the stored ones of the same keys, by date; ``keys`` include the time.
 
-    Only the dates that have new bars are rewritten; the new content is complete before
+    Only the dates that have new rows are rewritten; the new content is complete before
     any file is replaced.
     """
-    spark = bars.sparkSession
-    series = ["market", "period_ms", "offset_ms", "time_ms"]
-    fresh = scratch_table(bars.select("market", "period_ms", "offset_ms", *BAR_COLUMNS).withColumn("date", day_of()))
+    spark = rows.sparkSession
+    fresh = scratch_table(rows.withColumn("date", day_of(time_col)))
     merged = fresh
     if _exists(spark, path):
         first, last = fresh.agg(F.min("date"), F.max("date")).first()
-        stored = spark.read.schema(BAR_SCHEMA + ", date date").parquet(path).filter(F.col("date").between(F.lit(first), F.lit(last)))
-        others = stored.join(fresh.select("date").distinct(), "date", "left_semi").join(fresh.select(*series), series, "left_anti")
+        stored = spark.read.schema(fresh.schema).parquet(path).filter(F.col("date").between(F.lit(first), F.lit(last)))
+        others = stored.join(fresh.select("date").distinct(), "date", "left_semi").join(fresh.select(*keys), list(keys), "left_anti")
         merged = scratch_table(others.select(fresh.columns).unionByName(fresh))
     merged.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
+def write_bars(bars: DataFrame, path: str) -> None:
+    """Put bars in the place of the stored ones of the same bucket."""
+    put_rows(bars.select("market", "period_ms", "offset_ms", *BAR_COLUMNS), path, ["market", "period_ms", "offset_ms", "time_ms"])
+
+
 def write_book_nested(books: DataFrame, path: str, compression: str = "snappy") -> None:
     """Books with level arrays, by market and grouping inside each file."""
     books.sortWithinPartitions(*[c for c in ("market", "grouping") if c in books.columns]).write.mode("append").option(
