@@ -299,6 +299,48 @@ def book_state_batches(spark, sf_dir):
     return books.select("emission", "symbol", "side", "price", "qty", "last_id", "change_count", "qty_var")
 
 
+_TICK = 60 * DAY_MS
+_REPLAYED = f"""msgs0 AS (SELECT symbol, side, price, qty, event_ms * 1000 + final_id % 1000 AS id, event_ms, final_id, event_ms // {_TICK} AS b FROM depth_updates),
+   head AS (SELECT symbol, b, (min(id) + max(id)) // 2 AS c, min(event_ms) AS event_ms FROM msgs0 WHERE b % 5 = 2 GROUP BY ALL),
+   snap AS (SELECT symbol, side, b, price, max(qty) + 1 AS qty FROM msgs0 WHERE b % 5 = 2 AND final_id % 4 = 0 GROUP BY ALL),
+   clears AS (SELECT symbol, side, b, c, max(price) AS top FROM snap JOIN head USING (symbol, b) GROUP BY ALL),
+   msgs AS (SELECT symbol, side, price, qty, id, event_ms, b, 2 AS rank FROM msgs0 UNION ALL SELECT symbol, side, price, qty, c, event_ms, b, 1 FROM snap JOIN head USING (symbol, b)),
+   kept AS (SELECT m.* FROM msgs m LEFT JOIN clears USING (symbol, side, b) WHERE c IS NULL OR (side = 'ask' AND price > top) OR id >= c),
+   lives AS (SELECT *, lead(b) OVER (PARTITION BY symbol, side, price ORDER BY b) AS following FROM (SELECT symbol, side, price, b, max_by(qty, (id, rank, event_ms, qty)) AS qty, max(id) AS last_id FROM kept GROUP BY ALL)),
+   cut AS (SELECT l.symbol, l.side, l.price, l.b, min(clears.b) AS cleared FROM lives l JOIN clears ON l.symbol = clears.symbol AND l.side = clears.side AND clears.b > l.b AND (l.side = 'bid' OR l.price <= top) GROUP BY ALL),
+   ends AS (SELECT symbol, max(b) AS last FROM msgs0 GROUP BY ALL)"""
+
+
+@query(
+    "book_replay",
+    with_views("depth_updates", f"""WITH {_REPLAYED} SELECT symbol, (t + 1) * {_TICK} AS tick_ms, side, price, qty, last_id
+      FROM (SELECT *, unnest(range(b, least(coalesce(following - 1, last), coalesce(cleared - 1, last), last) + 1)) AS t FROM lives JOIN ends USING (symbol) LEFT JOIN cut USING (symbol, side, price, b) WHERE qty > 0)"""),
+    "price qty",
+)
+def book_replay(spark, sf_dir):
+    """All books every sixty days from stored updates and, at every fifth, a snapshot of each symbol.
+
+    The bids are cleared whole, the asks up to the snapshot's highest.
+    """
+    from tickloom.functions.scalars import price_key
+    from tickloom.operators.replay import replayed_books
+    from tickloom.streaming.book_state import MESSAGE_COLUMNS, update_messages
+
+    tick = F.floor(F.col("event_ms") / _TICK)
+    raw = view(spark, sf_dir, "depth_updates").withColumns({"id": F.expr("event_ms * 1000 + final_id % 1000"), "b": tick})
+    shot = raw.filter("b % 5 = 2")
+    head = shot.groupBy("symbol", "b").agg(F.expr("(min(id) + max(id)) div 2").alias("id"), F.min("event_ms").alias("event_ms"))
+    levels = shot.filter("final_id % 4 = 0").groupBy("symbol", "side", "b", "price").agg((F.max("qty") + 1).alias("qty"))
+    none, inf = F.lit(None).cast("double"), F.lit(float("inf"))
+    rows = levels.join(head, ["symbol", "b"]).withColumns({"kind": F.lit("level"), "level_key": price_key("price"), "low_key": none, "high_key": none})
+    edges = levels.groupBy("symbol", "side", "b").agg(F.max("price").alias("top")).join(head, ["symbol", "b"])
+    high = F.when(F.col("side") == "bid", inf).otherwise(price_key("top"))
+    edges = edges.withColumns({"kind": F.lit("clear"), "level_key": none, "price": none, "qty": none, "low_key": -inf, "high_key": high})
+    updates = update_messages(raw.drop("final_id").withColumnRenamed("id", "final_id"))
+    messages = updates.unionByName(rows.select(MESSAGE_COLUMNS)).unionByName(edges.select(MESSAGE_COLUMNS))
+    return replayed_books(messages, _TICK).select("symbol", "tick_ms", "side", "price", "qty", "last_id")
+
+
 @query("fan_out", with_views("trades", "SELECT market, count(*) AS n FROM trades GROUP BY market"))
 def fan_out(spark, sf_dir):
     """Two handlers, of which one fails on every batch."""
