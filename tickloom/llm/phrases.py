@@ -1,4 +1,4 @@
-"""Phrase collocations by Toivonen's method: a sample proposes phrases, full passes count them and their negative border."""
+"""Phrase collocations by Toivonen's method: a sample proposes phrases, full passes count them, their negative border and what its failures ask for."""
 
 from __future__ import annotations
 
@@ -24,11 +24,11 @@ LEAST = 100
 #: One text in so many is in the sample.
 SAMPLE_EVERY = 8
 #: A phrase is proposed if the sample has as many as its share of ``LEAST``, less so many standard deviations.
-SLACK = 1.5
+SLACK = 0.5
 #: Phrases of a language in the report.
 TOP = 2000
 #: Words a task counts together.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_500_000
 #: Bytes of a text that are split into words together.
 SPLIT_BYTES = 1 << 20
 
@@ -88,38 +88,39 @@ def longer(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(hashes * _MULT + words)
 
 
-def counted(tokens: np.ndarray, words: list[bytes], lang: str, longest: int, wanted: Filter | None = None, before: list[Filter] = ()):
+def counted(tokens: np.ndarray, words: list[bytes], lang: str, longest: int, wanted: Filter | None = None, frequent: Filter | None = None):
     """``(length, places, counts, hashes)`` of the different phrases of each length that a pass counts; a place is where one begins.
 
-    All words are counted, and a longer phrase is if all shorter ones inside it are in ``wanted`` (None has all): what is wanted, and
-    its border. Phrases that a pass with a filter of ``before`` has counted are not counted again. Ids are exact: a phrase
-    is known by the id of the phrase without its last word and by that word.
+    The first pass counts what is ``wanted`` (None is all) and its border: words, and phrases all of whose parts are wanted.
+    The last one knows which of these are ``frequent``. It counts them, and also phrases that the first did not count though no part of them was found rare; so a phrase around a border phrase that proved frequent is counted, and so are those around it, whatever their length.
+    Ids are exact: a phrase is known by the id of the phrase without its last word and by that word.
     """
     by_word = word_hashes(words, lang)[tokens]
     at = np.flatnonzero(tokens != _END)
-    ids, hashes, had = tokens[at], by_word[at], [np.ones(len(at), bool) for _ in before]
+    ids, hashes, had = tokens[at], by_word[at], np.ones(len(at), bool)
     for length in range(1, longest + 1):
         if length > 1:
             # a phrase is two shorter ones, of which the second begins a word later
-            pair = np.flatnonzero(np.append(at[1:] == at[:-1] + 1, False)) if len(at) else at
-            pair = pair[at[pair] + length - 1 < len(tokens)]
-            pair = pair[tokens[at[pair] + length - 1] != _END]
+            pair = np.flatnonzero(at[1:] == at[:-1] + 1)
             if wanted is not None:
                 known = wanted.has(hashes)
-                pair = pair[known[pair] & known[pair + 1]]
-            had = [(own := old & f.has(hashes))[pair] & own[pair + 1] for f, old in zip(before, had)]
+                if frequent is None:
+                    pair = pair[known[pair] & known[pair + 1]]
+                else:
+                    known &= had
+                    had = known[pair] & known[pair + 1]
             at, ids, hashes = at[pair], ids[pair], hashes[pair]
             last = at + length - 1
             ids, hashes = ids * np.int64(len(words)) + tokens[last], longer(hashes, by_word[last])
+        if frequent is not None:
+            alive = ~had | frequent.has(hashes)
+            at, ids, hashes, had = at[alive], ids[alive], hashes[alive], had[alive]
         if not len(at):
             return
         ids, found = pd.factorize(ids)
         first = np.empty(len(found), np.int64)
         first[ids[::-1]] = np.arange(len(ids) - 1, -1, -1)
-        n = np.bincount(ids, minlength=len(found))
-        if before:
-            first = first[~np.logical_or.reduce([x[first] for x in had])]
-        yield length, at[first], n[ids[first]], hashes[first]
+        yield length, at[first], np.bincount(ids, minlength=len(found)), hashes[first]
 
 
 def _blocks(batches) -> Iterator[tuple[str, int, np.ndarray, list[bytes]]]:
@@ -144,41 +145,36 @@ def _taken(held: dict[str, Words]) -> Iterator[tuple[str, int, np.ndarray, list[
         yield name, int(np.count_nonzero(tokens != _END)), tokens, words
 
 
-def proposed(rows: DataFrame, longest: int, threshold: int, every: int) -> DataFrame:
-    """``hash`` of the phrases that one text in ``every`` has ``threshold`` times; equal hashes of different phrases only propose too much."""
-    sample = rows.where(F.pmod(F.xxhash64("lang", "text", "id"), F.lit(every)) == 0).select("lang", "text")
+def hashed_counts(rows: DataFrame, longest: int, wanted: Filter | None, least: int) -> DataFrame:
+    """``hash`` of the phrases that a pass finds ``least`` times; equal hashes of different phrases only find too much."""
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         for lang, _, tokens, words in _blocks(batches):
-            for _, _, n, hashes in counted(tokens, words, lang, longest):
+            for _, _, n, hashes in counted(tokens, words, lang, longest, shared.value):
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
-    found = sample.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    return found.where(F.col("n") >= threshold).select("hash")
+    found = rows.select("lang", "text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return scratch_table(found.where(F.col("n") >= least).select("hash"))
 
 
-def pass_over(rows: DataFrame, longest: int, wanted: Filter, before: list[Filter], least: int) -> DataFrame:
-    """``(lang, length, phrase, f)`` of the phrases that this pass counts and that are frequent; counts are exact, over all texts.
-
-    The first pass also counts all words, as the phrase of no words.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast((wanted, before))
+def exact_counts(rows: DataFrame, longest: int, wanted: Filter, found: Filter, least: int) -> DataFrame:
+    """``(lang, length, phrase, f)`` of all phrases that occur ``least`` times, counted by their words; the phrase of no words counts all words."""
+    shared = rows.sparkSession.sparkContext.broadcast((wanted, found))
 
     def run(batches):
-        wanted, before = shared.value
         for lang, total, tokens, words in _blocks(batches):
             text = pa.array(words, pa.binary())
-            if not before:
-                yield _counts(lang, pa.array([b""], pa.binary()), np.array([total]))
-            for length, at, n, _ in counted(tokens, words, lang, longest, wanted, before):
+            yield _counts(lang, pa.array([b""], pa.binary()), np.array([total]))
+            for length, at, n, _ in counted(tokens, words, lang, longest, *shared.value):
                 for lo in range(0, len(at), 1 << 18):
                     own = at[lo : lo + (1 << 18)]
                     parts = [text.take(pa.array(tokens[own + k])) for k in range(length)]
                     yield _counts(lang, parts[0] if length == 1 else pc.binary_join_element_wise(*parts, b" "), n[lo : lo + (1 << 18)])
 
-    found = rows.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    counts = rows.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
     length = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1)
-    return scratch_table(found.where(F.col("f") >= least).select("lang", length.alias("length"), "phrase", "f"))
+    return scratch_table(counts.where(F.col("f") >= least).select("lang", length.alias("length"), "phrase", "f"))
 
 
 def _counts(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
@@ -186,52 +182,18 @@ def _counts(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
 
 
-def hashes_of(phrases: DataFrame) -> DataFrame:
-    """``hash`` of phrases, as the passes make them."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for lang, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                by_word = word_hashes(raw.split(b" "), lang)
-                own = by_word[:1]
-                for k in range(1, len(by_word)):
-                    own = longer(own, by_word[k : k + 1])
-                out.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64))], names=["hash"])
-
-    return phrases.select("lang", "phrase").mapInArrow(run, "hash long")
-
-
-def frequent(rows: DataFrame, longest: int, least: int, every: int, slack: float) -> tuple[DataFrame, int]:
-    """``(lang, length, phrase, f)`` of all phrases that occur ``least`` times, and the number of passes that it took.
+def frequent(rows: DataFrame, longest: int, least: int, every: int, slack: float) -> DataFrame:
+    """``(lang, length, phrase, f)`` of all phrases that occur ``least`` times.
 
-    The first pass counts what the sample proposes and the negative border, the phrases that are not proposed though both phrases that are a word shorter are. A border phrase that proves
-    frequent may be part of longer ones that were not counted: another pass counts the border of what is frequent now, leaving out what was counted, until none of a new length is found.
+    A sample proposes phrases. The first pass counts these and their negative border, the phrases that are not proposed though all their parts are, by hashes. The second is the expansion: it counts
+    by words what the first found frequent, and the phrases around border phrases that proved frequent. All parts of a frequent phrase are frequent, so the first pass
+    has found those that it counted, and the second counts the phrase: after it none is left.
     """
     share = least / every
-    wanted = filter_of(scratch_table(proposed(rows, longest, max(1, int(share - slack * share**0.5)), every)))
-    before: list[Filter] = []
-    known = None
-    while True:
-        found = pass_over(rows, longest, wanted, before, least)
-        known = found if known is None else known.unionByName(found)
-        before.append(wanted)
-        if not _border_failed(found.where(f"length BETWEEN 1 AND {longest - 1}"), wanted):
-            return known, len(before)
-        wanted = filter_of(scratch_table(hashes_of(known.where("length > 0"))))
-
-
-def _border_failed(found: DataFrame, wanted: Filter) -> bool:
-    """Whether a phrase proved frequent that was not wanted, so that longer ones around it were not counted."""
-    shared = found.sparkSession.sparkContext.broadcast(wanted)
-
-    def run(batches):
-        for batch in batches:
-            own = batch.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(own[~shared.value.has(own)].view(np.int64))], names=["hash"])
-
-    return not hashes_of(found).mapInArrow(run, "hash long").isEmpty()
+    sample = rows.where(F.pmod(F.xxhash64("lang", "text", "id"), F.lit(every)) == 0)
+    wanted = filter_of(hashed_counts(sample, longest, None, max(1, int(share - slack * share**0.5))))
+    found = filter_of(hashed_counts(rows, longest, wanted, least))
+    return exact_counts(rows, longest, wanted, found, least)
 
 
 def collocations(
@@ -256,7 +218,7 @@ def collocations(
     """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     rows = byte_bounded(docs).select(lang.alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).alias("id"))
-    known, _ = frequent(rows, longest, least, every, slack)
+    known = frequent(rows, longest, least, every, slack)
     totals = known.where("length = 0").select("lang", F.col("f").alias("n"))
     long = known.where("length > 1")
     inside = long.select(
