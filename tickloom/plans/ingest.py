@@ -222,22 +222,24 @@ def read_sentiment_kinds(spark, sf_dir):
 
 @query(
     "read_book_array_sizes",
-    """SELECT channel, seq, size, level, price FROM (SELECT o_custkey AS channel, o_orderkey AS seq, [2, 50, 200, 500][CAST(o_orderkey // 4 % 4 + 1 AS INTEGER)]::INTEGER AS size,
-       o_totalprice AS p FROM orders WHERE o_custkey % 10 = 0 AND o_custkey IN (SELECT c_custkey FROM customer)),
-       LATERAL (SELECT CAST(unnest(range(size)) AS INTEGER) AS level), LATERAL (SELECT p + level AS price)""",
-    "price",
+    """SELECT channel, seq, size, size::BIGINT AS levels, size * p + size * (size - 1) / 2.0 AS prices, p * size * (size - 1) / 2.0 + (size - 1) * size * (2 * size - 1) / 6.0 AS placed
+       FROM (SELECT o_custkey AS channel, o_orderkey AS seq, [2, 50, 200, 500][CAST(o_orderkey // 4 % 4 + 1 AS INTEGER)]::INTEGER AS size,
+       CAST(o_totalprice AS DOUBLE) AS p FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))""",
+    "prices placed", digits=2,
 )
 def read_book_array_sizes(spark, sf_dir):
-    """Array books of all four sizes, of the channels that are listed."""
+    """Array books of all four sizes and all channels: levels, sum of prices, and of prices by their places."""
     size = F.element_at(F.array(*(F.lit(n) for n in (2, 50, 200, 500))), (F.floor(F.col("o_orderkey") / 4) % 4 + 1).cast("int"))
     levels = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.array(F.col("o_totalprice") + i, F.lit(3.0), F.lit(1.5)))
     raw = _table(spark, sf_dir, "orders").select(
         F.concat(F.lit("["), F.concat_ws(",", _text("o_custkey"), F.to_json(levels), _text("o_orderkey"), F.lit("5")), F.lit("]")).alias("value")
     )
-    listed = _table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0")
+    listed = _table(spark, sf_dir, "customer")
     channels = listed.select(F.col("c_custkey").alias("channel"), F.concat(F.lit("t"), _text("c_custkey")).alias("symbol"))
     books = R.read_book_array(raw, channels).withColumn("size", F.size("levels"))
-    return books.select("channel", "seq", "size", F.posexplode("levels").alias("level", "x")).select("channel", "seq", "size", "level", "x.price")
+    levels = books.select("channel", "seq", "size", F.posexplode("levels").alias("level", "x"))
+    placed = F.sum(F.col("level") * F.col("x.price")).alias("placed")
+    return levels.groupBy("channel", "seq", "size").agg(F.count(F.lit(1)).alias("levels"), F.sum("x.price").alias("prices"), placed)
 
 
 @query("read_derivative_status", """SELECT concat('t', CAST(l_partkey AS VARCHAR)) AS key, l_orderkey AS time_ms, l_extendedprice AS mid_price, l_quantity AS mark_price,

@@ -42,10 +42,22 @@ def _in_batches(spark, sf_dir: str, name: str, number: str, copies: str = "FALSE
     low, high = (rows.agg(F.min("time_ms"), F.max("time_ms")).first() if "time_ms" in rows.columns else (0, 0))
     rows = rows.withColumn("_b", F.expr(number.format(low=low, span=high - low + 1, count=count)).cast("int"))
     rows = rows.unionByName(rows.filter(copies).withColumn("_b", F.col("_b") + 1))
-    for k in range(count + 1):
-        rows.filter(F.col("_b") == k).drop("_b").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    schema = rows.drop("_b").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    parts = [rows.filter(F.col("_b") == k).drop("_b") for k in range(count + 1)]
+    return _fed(spark, folder, parts)
+
+
+def _fed(spark, folder: str, parts: list):
+    """A stream of files, and what feeds it: one call for the files of each trigger, as many as its tasks write."""
+    feed = [lambda part=part: part.write.mode("append").parquet(f"{folder}/in") for part in parts]
+    parts[0].limit(0).write.parquet(f"{folder}/in")  # a stream wants its folder to be there
+    return spark.readStream.schema(parts[0].schema).parquet(f"{folder}/in"), feed
+
+
+def _run(stream, feed: list, writer, checkpoint: str, mode: str = "append") -> None:
+    """Feed a stream and run it, trigger by trigger, from one checkpoint."""
+    for write in feed:
+        write()
+        Z.run_available(stream, writer, checkpoint, mode)
 
 
 #: Quarters of the time span; late: some rows come a quarter later.
@@ -53,10 +65,10 @@ _QUARTER = "(time_ms - {low}) * {count} div {span}"
 _LATE = f"least({_QUARTER} + IF(id % 11 = 0, 1, 0), {{count}} - 1)"
 
 
-def _written(spark, stream, mode: str = "append"):
+def _written(spark, stream, feed: list, mode: str = "append"):
     """All output of a stream, run to its end."""
     folder = _folder(spark)
-    Z.run_available(stream, lambda batch, i: batch.write.mode("append").parquet(f"{folder}/out"), f"{folder}/state", mode)
+    _run(stream, feed, lambda batch, i: batch.write.mode("append").parquet(f"{folder}/out"), f"{folder}/state", mode)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -71,23 +83,24 @@ _SIMPLE = "open high low close volume buy_ratio buy_volume_ratio liquidation_vol
 )
 def stream_bars(spark, sf_dir):
     """Four triggers in the order of time: bars whose trades come in two of them are put together in state."""
-    return _written(spark, Z.stream_bars(_in_batches(spark, sf_dir, "trades", _QUARTER), 4 * HOUR_MS, HOUR_MS, "1 hour"))
+    trades, feed = _in_batches(spark, sf_dir, "trades", _QUARTER)
+    return _written(spark, Z.stream_bars(trades, 4 * HOUR_MS, HOUR_MS, "1 hour"), feed)
 
 
 @query("stream_dedupe", with_views("trades", "SELECT market, id, time_ms, price FROM trades"), "price")
 def stream_dedupe(spark, sf_dir):
     """Late trades, and copies that come a trigger after their trade."""
-    rows = _in_batches(spark, sf_dir, "trades", _LATE, "id % 3 = 0").select("market", "id", "time_ms", "price")
-    return _written(spark, Z.stream_dedupe(rows, "4000 days"))
+    rows, feed = _in_batches(spark, sf_dir, "trades", _LATE, "id % 3 = 0")
+    return _written(spark, Z.stream_dedupe(rows.select("market", "id", "time_ms", "price"), "4000 days"), feed)
 
 
 @query("latest_state", with_views("ticker", "SELECT inst_id, max(ts) AS ts, max_by(last, (ts, arrival, last, vol24h)) AS last FROM ticker GROUP BY inst_id"), "last")
 def latest_state(spark, sf_dir):
     """Records out of order over four triggers; what the last report of each key says is the state."""
-    feed = _in_batches(spark, sf_dir, "ticker", "(arrival * 7) % {count}", "arrival % 5 = 0").select("inst_id", "last", "vol24h", "ts", "arrival")
+    records, feed = _in_batches(spark, sf_dir, "ticker", "(arrival * 7) % {count}", "arrival % 5 = 0")
     folder = _folder(spark)
     report = lambda batch, i: batch.withColumn("trigger", F.lit(i)).write.mode("append").parquet(f"{folder}/out")
-    Z.run_available(Z.latest_state(feed), report, f"{folder}/state", "update")
+    _run(Z.latest_state(records.select("inst_id", "last", "vol24h", "ts", "arrival")), feed, report, f"{folder}/state", "update")
     reports = spark.read.parquet(f"{folder}/out")
     last = reports.groupBy("inst_id").agg(F.max("trigger").alias("trigger"))
     return reports.join(last, ["inst_id", "trigger"]).select("inst_id", "ts", "last")
@@ -101,7 +114,7 @@ def stream_bars_refreshed(spark, sf_dir):
     """All columns, kept current by recomputing stale bars after every trigger; trades come late and some twice."""
     folder = _folder(spark)
     refresher = Z.bar_refresher(f"{folder}/trades", f"{folder}/bars", _PERIODS, _OFFSETS)
-    Z.run_available(_in_batches(spark, sf_dir, "trades", _LATE, "id % 13 = 0"), refresher, f"{folder}/state")
+    _run(*_in_batches(spark, sf_dir, "trades", _LATE, "id % 13 = 0"), refresher, f"{folder}/state")
     return T.read_bars(spark, f"{folder}/bars")
 
 
@@ -115,7 +128,7 @@ def stream_bars_segments(spark, sf_dir):
 
     folder = _folder(spark)
     refresher = segment_refresher(f"{folder}/trades", f"{folder}/segments", f"{folder}/bars", _PERIODS, _OFFSETS)
-    Z.run_available(_in_batches(spark, sf_dir, "trades", _LATE, "id % 13 = 0"), refresher, f"{folder}/state")
+    _run(*_in_batches(spark, sf_dir, "trades", _LATE, "id % 13 = 0"), refresher, f"{folder}/state")
     return T.read_bars(spark, f"{folder}/bars").select("market", "period_ms", "offset_ms", *_EXACT)
 
 
@@ -135,13 +148,13 @@ def refresh_stale_bars(spark, sf_dir):
     return B.refresh_stale_bars(stored, trades, _PERIODS, _OFFSETS)
 
 
-_RESUME = "s AS (SELECT l_partkey AS symbol, max(epoch_us(l_shipdate) // 1000) AS hi FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL)"
+_RESUME = "s AS (SELECT l_partkey AS symbol, max(epoch_us(l_shipdate) // 1000) AS hi FROM lineitem GROUP BY ALL)"
 
 
 @query("resume_point", f"""WITH {_RESUME} SELECT p_partkey AS symbol, CASE WHEN hi + 700000000000 >= 1577836800000 THEN hi + 700000000000 ELSE 1577836739999 END AS resume_ms
        FROM part LEFT JOIN s ON p_partkey = symbol""")
 def resume_point(spark, sf_dir):
-    stored = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber = 1").select(
+    stored = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         F.col("l_partkey").alias("symbol"), (F.unix_millis(F.col("l_shipdate").cast("timestamp")) + 700_000_000_000).alias("time_ms")
     )
     known = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("symbol"))
@@ -178,6 +191,44 @@ def export_csv(spark, sf_dir):
     )
 
 
+@query("export_csv_all", with_views("trades", "SELECT id, time_ms, market, price, volume, flag FROM trades"), "price volume")
+def export_csv_all(spark, sf_dir):
+    """All columns of all markets."""
+    path = f"{_folder(spark)}/csv"
+    T.export_csv(view(spark, sf_dir, "trades"), path)
+    schema = "id bigint, time_ms bigint, market string, price double, volume double, flag smallint"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+_EXPORTED = "market time_ms open high low close volume num_trades"
+
+
+@query(
+    "export_csv_newest",
+    with_views("trades", f"WITH {bars_ctes('trades', [HOUR_MS], [0]).strip()} SELECT {_EXPORTED.replace(' ', ', ')} FROM bars ORDER BY time_ms DESC, market LIMIT 100"),
+    "open high low close volume",
+)
+def export_csv_newest(spark, sf_dir):
+    """The newest hundred bars."""
+    path = f"{_folder(spark)}/csv"
+    bars = B.simple_bars(view(spark, sf_dir, "trades"), [HOUR_MS]).withColumnRenamed("bucket_ms", "time_ms").select(*_EXPORTED.split())
+    T.export_csv(bars, path, limit=100, kind="bars")
+    return spark.read.schema("market string, time_ms bigint, open double, high double, low double, close double, volume double, num_trades bigint").option("header", True).csv(path)
+
+
+@query(
+    "write_series_rows",
+    with_views("trades", "SELECT market || '/usd' AS symbol, strftime(make_timestamp(time_ms * 1000), '%Y-%m-%d') AS date, time_ms, price, volume FROM trades"),
+    "price volume",
+)
+def write_series_rows(spark, sf_dir):
+    """Every value of the written series."""
+    path = f"{_folder(spark)}/series"
+    trades = view(spark, sf_dir, "trades").select(F.concat("market", F.lit("/usd")).alias("symbol"), "time_ms", "price", "volume")
+    T.write_series(trades, path, "venue", "trades")
+    return spark.read.parquet(path).select("symbol", F.col("date").cast("string").alias("date"), "time_ms", "price", "volume")
+
+
 @query(
     "write_series",
     with_views("trades", """SELECT market || '/usd' AS symbol, strftime(make_timestamp(time_ms * 1000), '%Y-%m-%d') AS date, 1::BIGINT AS folders, count(*) AS n, sum(price) AS s
@@ -200,6 +251,14 @@ def write_rolling(spark, sf_dir):
     return spark.read.parquet(path).groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("s"))
 
 
+@query("write_rolling_hour", with_views("trades", "SELECT strftime(make_timestamp(time_ms * 1000), '%Y_%m_%d_%H') AS slot, market, id, time_ms, price, volume, flag FROM trades"), "price volume")
+def write_rolling_hour(spark, sf_dir):
+    """The default grain, every column."""
+    path = f"{_folder(spark)}/rolling"
+    T.write_rolling(view(spark, sf_dir, "trades"), path)
+    return spark.read.parquet(path).select("slot", "market", "id", "time_ms", "price", "volume", "flag")
+
+
 @query("layout_time_hash", with_views("trades_big", "SELECT chunk_id, market, count(*) AS n FROM (SELECT *, time_ms // (30 * 86400000::BIGINT) AS chunk_id FROM trades_big) GROUP BY ALL"))
 def layout_time_hash(spark, sf_dir):
     path = f"{_folder(spark)}/layout"
@@ -229,16 +288,16 @@ def book_state(spark, sf_dir):
     from tickloom.streaming import book_state as S
 
     messages = S.update_messages(_stream(spark, sf_dir, "depth_updates"))
-    return _emitted(spark, messages, expiry_ms=0).select("symbol", "side", "price", "qty", "change_count", "qty_var")
+    return _emitted(spark, messages, [lambda: None], expiry_ms=0).select("symbol", "side", "price", "qty", "change_count", "qty_var")
 
 
-def _emitted(spark, messages, **choices):
+def _emitted(spark, messages, feed: list, **choices):
     """All books that a stream of messages emits, with the number of the emission."""
     from tickloom.streaming import book_state as S
 
     folder = _folder(spark)
     emit = lambda books, i: books.write.mode("overwrite").parquet(f"{folder}/out/emission={i}")
-    Z.run_available(messages, S.book_keeper(folder, emit, **choices), f"{folder}/checkpoint")
+    _run(messages, feed, S.book_keeper(folder, emit, **choices), f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out")
 
 
@@ -290,12 +349,9 @@ def book_state_batches(spark, sf_dir):
     snapshots = head.join(levels.groupBy("symbol").agg(side("bid"), side("ask")), "symbol")
     bids = S.snapshot_messages(snapshots, True).filter("side = 'bid'")
     asks = S.snapshot_messages(snapshots, False).filter("side = 'ask'")
-    for k in range(_BATCHES):
-        rows = S.update_messages(updates.filter(F.col("b") == k))
-        rows = rows.unionByName(bids).unionByName(asks) if k == 2 else rows
-        rows.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    books = _emitted(spark, stream, expiry_ms=_EXPIRY)
+    parts = [S.update_messages(updates.filter(F.col("b") == k)) for k in range(_BATCHES)]
+    parts[2] = parts[2].unionByName(bids).unionByName(asks)
+    books = _emitted(spark, *_fed(spark, folder, parts), expiry_ms=_EXPIRY)
     return books.select("emission", "symbol", "side", "price", "qty", "last_id", "change_count", "qty_var")
 
 
@@ -405,13 +461,25 @@ def write_book_wide_rejects(spark, sf_dir):
 
 
 @query(
-    "write_book_table",
-    f"WITH {BOOK_SQL} SELECT count(*) AS n, CAST(coalesce(sum(bids[25].price), 0) AS DOUBLE) AS s FROM ob WHERE len(bids) = 25",
-    "s", digits=2,
+    "write_book_nested_levels",
+    f"""WITH {BOOK_SQL} SELECT book, side, level, x.price AS price, x.size AS size FROM (
+      SELECT book, 'bid' AS side, CAST(unnest(range(len(bids))) AS INTEGER) AS level, unnest(bids) AS x FROM ob
+      UNION ALL SELECT book, 'ask' AS side, CAST(unnest(range(len(asks))) AS INTEGER) AS level, unnest(asks) AS x FROM ob)""",
+    "price size",
 )
+def write_book_nested_levels(spark, sf_dir):
+    """Every level of both sides, read back."""
+    path = f"{_folder(spark)}/nested"
+    T.write_book_nested(_books(spark, sf_dir), path)
+    stored = spark.read.parquet(path)
+    side = lambda s: stored.select("book", F.lit(s).alias("side"), F.posexplode(f"{s}s").alias("level", "x"))
+    return side("bid").unionByName(side("ask")).select("book", "side", "level", "x.price", "x.size")
+
+
+@query("write_book_table", *_wide_sql(25, True))
 def write_book_table(spark, sf_dir):
-    """The rows a book table takes: books of exactly 25 levels a side (here the bids serve as both)."""
-    books = _books(spark, sf_dir)
-    counted = F.transform("bids", lambda x: F.struct(x["price"], F.lit(1).alias("count"), x["size"]))
-    rows = T.table_books(books.select("book", counted.alias("bids"), counted.alias("asks")))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("ask_price_25"), F.lit(0.0)).alias("s"))
+    """All columns of the table of books of exactly 25 levels a side, read back."""
+    folder = _folder(spark)
+    table = f"books_{uuid.uuid4().hex}"
+    T.write_book_table(_mirrored(spark, sf_dir), table, f"{folder}/table")
+    return spark.table(table).drop("market", "time_ms")

@@ -116,8 +116,10 @@ def table_books(books: DataFrame) -> DataFrame:
     return book_to_wide(of_depth(books, TABLE_LEVELS)[0], TABLE_LEVELS, with_count=True)
 
 
-def write_book_table(books: DataFrame, table: str) -> None:
-    table_books(books).write.mode("append").saveAsTable(table)
+def write_book_table(books: DataFrame, table: str, path: str | None = None) -> None:
+    """Append to a table, which is made in the warehouse or, the first time, at ``path``."""
+    writer = table_books(books).write.mode("append")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def numbered_stats(stats: DataFrame, max_id: int = 0) -> DataFrame:
