@@ -218,6 +218,16 @@ def test_archives(spark, tmp_path):
     assert warc.round_trip(table.limit(0)).count() == 0
 
 
+def test_archives_of_odd_ids_and_long_payloads(spark):
+    """Text ids that could end a header line, and a payload of many megabytes."""
+    ids = ["a\r\nX-Other: b", "c d+e%20", "", "ü:1", "plain"]
+    rows = [(x, "u", f"page of {x}") for x in ids] + [("long", "v", "<p>é</p>" * 1_500_000)]
+    table = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r.page_id: r for r in warc.round_trip(table).collect()}
+    assert set(got) == {x or None for x, _, _ in rows}
+    assert all(got[x or None].payload_bytes == len(html.encode()) and got[x or None].record_type == "response" for x, _, html in rows)
+
+
 def test_selected_records_are_read_alone(spark, tmp_path):
     table = spark.createDataFrame([(i, f"http://a/{i}", f"page {i} " * 50) for i in range(200)], "page_id long, url string, html string")
     index = warc.write_archives(table, f"{tmp_path}/w", archive_bytes=4000)

@@ -97,7 +97,8 @@ def fit(docs: DataFrame, marks: DataFrame, ratios: np.ndarray, id_col: str = "do
     the same in sum. Without rows of both classes the weights are zero, and the bias says which class there is.
     """
     chosen = marks.orderBy(F.xxhash64("id", "label"), "id", "label").limit(fit_rows)
-    rows = labelled(docs, chosen, id_col, text_col, fit_rows).limit(fit_rows)  # an id may have several texts
+    hashed = F.xxhash64("id", "label")
+    rows = labelled(docs, chosen, id_col, text_col, fit_rows).orderBy(hashed, "id", "label", "text").limit(fit_rows)  # an id may have several texts
     shared = rows.sparkSession.sparkContext.broadcast(ratios)
 
     def train(batches):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,7 +60,8 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def page_name(page_id, copy: int) -> str:
-    return f"urn:page:{'' if page_id is None else page_id}:{copy}"
+    """The record's name; what could end a header line is escaped."""
+    return f"urn:page:{'' if page_id is None else quote(str(page_id), safe='')}:{copy}"
 
 
 
@@ -196,5 +198,5 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id",
     folder = f"{shared_dir(spark)}/tickloom-warc/{uuid.uuid4().hex}"
     folder = folder.removeprefix("file:") if folder.startswith("file:/") and not folder.startswith("file://") else folder
     found = read_records(write_archives(pages, folder, least_bytes, id_col=id_col, **columns), folder)
-    page = lambda name: F.nullif(F.regexp_extract(name, r"(?s)^urn:page:(.*):\d+$", 1), F.lit("")).cast(kind)
+    page = lambda name: F.nullif(F.url_decode(F.regexp_extract(name, r"^urn:page:(.*):\d+$", 1)), F.lit("")).cast(kind)
     return found.select(page("name").alias(id_col), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
