@@ -131,17 +131,31 @@ def merge_pages(newer: DataFrame, older: DataFrame, keys: Sequence[str] = ("mark
     return trade_dedupe(newer.unionByName(older), keys)
 
 
-def sequence_gaps(updates: DataFrame, chunk_ids: int = 1_000_000) -> DataFrame:
+def sequence_gaps(updates: DataFrame, chunk_ids: int = 1_000_000, resets: DataFrame | None = None) -> DataFrame:
     """Updates of a symbol with ``resync``: where the book must be fetched again.
 
     Per update message (``symbol, first_id, final_id, prev_id, event_ms``) in id order: the
     book is empty (first message), the message does not continue the last id, or it names
     another predecessor.  The last id is the greatest seen.
+
+    ``resets`` ``(symbol, at_id, last_id)`` start a book anew before the first update from ``at_id`` on: a snapshot with its last id, or a
+    dropped or empty book with none. The greatest id is then that since the last reset: resets are numbered by a running sum, and the running maximum is taken in each
+    number; both go by chunks of ids, so a symbol is spread over tasks.
     """
-    seen = running(
-        updates, ["symbol"], ["final_id", "first_id", "event_ms"], F.floor(F.col("final_id") / chunk_ids),
-        maxes={"last_id": F.greatest("final_id", "first_id")},
-    )
+    order, chunk = ["final_id", "first_id", "event_ms"], F.floor(F.col("final_id") / chunk_ids)
+    if resets is None:
+        seen = running(updates, ["symbol"], order, chunk, maxes={"last_id": F.greatest("final_id", "first_id")})
+    else:
+        none = F.lit(None).cast("bigint")
+        starts = resets.select(
+            "symbol", F.lit(0).cast("bigint").alias("first_id"), F.col("at_id").alias("final_id"), none.alias("prev_id"), F.lit(0).cast("bigint").alias("event_ms"),
+            F.lit(0).alias("_kind"), F.col("last_id").alias("_value"),
+        )
+        rows = updates.withColumns({"_kind": F.lit(1), "_value": F.greatest("final_id", "first_id")}).unionByName(starts, allowMissingColumns=True)
+        order = ["final_id", "_kind", "first_id", "event_ms"]
+        numbered = running(rows, ["symbol"], order, chunk, sums={"_book": 1 - F.col("_kind")}, inclusive=True)
+        seen = running(numbered, ["symbol", "_book"], order, chunk, maxes={"last_id": F.col("_value")})
+        seen = seen.filter("_kind = 1").drop("_kind", "_value", "_book")
     gap = (
         F.col("last_id").isNull()
         | (F.col("prev_id").isNull() & (F.col("first_id") - F.col("last_id") > 1))

@@ -357,9 +357,30 @@ def merge_pages(spark, sf_dir):
          OR coalesce(prev_id <> last_id, FALSE) AS resync FROM l""",
 )
 def sequence_gaps(spark, sf_dir):
-    updates = _table(spark, sf_dir, "orders").selectExpr(
+    return L.sequence_gaps(_updates(spark, sf_dir), chunk_ids=5000)
+
+
+def _updates(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").selectExpr(
         "o_orderstatus AS symbol", "o_orderkey * 2 AS first_id", "o_orderkey * 2 + CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE 1 END AS final_id",
         "CASE WHEN o_custkey % 5 = 0 THEN o_orderkey * 2 - 1 WHEN o_custkey % 7 = 0 THEN o_orderkey * 2 - 3 END AS prev_id",
         "unix_millis(CAST(o_orderdate AS TIMESTAMP)) AS event_ms",
     )
-    return L.sequence_gaps(updates, chunk_ids=5000)
+
+
+@query(
+    "sequence_gaps_resets",
+    """WITH u AS (SELECT o_orderstatus AS symbol, o_orderkey * 2 AS first_id, o_orderkey * 2 + CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE 1 END AS final_id,
+         CASE WHEN o_custkey % 5 = 0 THEN o_orderkey * 2 - 1 WHEN o_custkey % 7 = 0 THEN o_orderkey * 2 - 3 END AS prev_id, epoch_us(o_orderdate) // 1000 AS event_ms FROM orders),
+       e AS (SELECT *, 1 AS kind, greatest(final_id, first_id) AS v FROM u UNION ALL
+         SELECT o_orderstatus, 0, o_orderkey * 2, NULL, 0, 0, CASE WHEN o_custkey % 2 = 0 THEN o_orderkey * 2 - 1 END FROM orders WHERE o_orderpriority = '1-URGENT'),
+       b AS (SELECT *, sum(1 - kind) OVER (PARTITION BY symbol ORDER BY final_id, kind, first_id, event_ms ROWS UNBOUNDED PRECEDING) AS book FROM e),
+       l AS (SELECT *, max(v) OVER (PARTITION BY symbol, book ORDER BY final_id, kind, first_id, event_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_id FROM b)
+       SELECT symbol, first_id, final_id, prev_id, event_ms, last_id, last_id IS NULL OR (prev_id IS NULL AND first_id - last_id > 1)
+         OR coalesce(prev_id <> last_id, FALSE) AS resync FROM l WHERE kind = 1""",
+)
+def sequence_gaps_resets(spark, sf_dir):
+    """Snapshots and dropped books among the updates."""
+    last = "CASE WHEN o_custkey % 2 = 0 THEN o_orderkey * 2 - 1 END AS last_id"
+    resets = _table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").selectExpr("o_orderstatus AS symbol", "o_orderkey * 2 AS at_id", last)
+    return L.sequence_gaps(_updates(spark, sf_dir), 5000, resets)

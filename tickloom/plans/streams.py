@@ -412,6 +412,28 @@ def fan_out(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").groupBy("market").agg(F.sum("n").alias("n"))
 
 
+@query("fan_out_catches_up", with_views("trades", "SELECT handler, market, count(*) AS n FROM trades, (VALUES ('steady'), ('failing')) h(handler) GROUP BY ALL"))
+def fan_out_catches_up(spark, sf_dir):
+    """Four triggers, two handlers; one fails twice and then gets what it missed, each batch once."""
+    folder = _folder(spark)
+    trades, feed = _in_batches(spark, sf_dir, "trades", _QUARTER)
+    calls = []
+
+    def counts(name):
+        def handler(batch, i):
+            calls.append(name)
+            if name == "failing" and calls.count(name) <= 2:
+                raise RuntimeError("this handler fails twice")
+            counted = batch.groupBy("market").agg(F.count(F.lit(1)).alias("n")).withColumn("handler", F.lit(name))
+            counted.write.mode("overwrite").parquet(f"{folder}/out/{name}/batch={i}")
+
+        return handler
+
+    _run(trades, feed, Z.catching_up({n: counts(n) for n in ("steady", "failing")}, f"{folder}/ledger"), f"{folder}/state")
+    out = spark.read.parquet(f"{folder}/out/steady").unionByName(spark.read.parquet(f"{folder}/out/failing"))
+    return out.groupBy("handler", "market").agg(F.sum("n").alias("n"))
+
+
 @query(
     "write_book_nested",
     f"WITH {BOOK_SQL} SELECT book, CAST(len(bids) AS INTEGER) AS bids, CAST(len(asks) AS INTEGER) AS asks, coalesce(asks[1].price, 0) AS first_ask FROM ob",

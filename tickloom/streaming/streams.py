@@ -132,6 +132,71 @@ def fan_out(handlers: Mapping[str, Callable[[DataFrame, int], None]], failures:
     return on_batch
 
 
+def catching_up(handlers: Mapping[str, Callable[[DataFrame, int], None]], folder: str):
+    """``foreachBatch`` function giving every batch to all handlers, also to one that failed before: it gets what it missed, in order.
+
+    A batch is written below ``folder`` first, and stays there until all handlers have done it; what a handler has done is a mark of its name and the
+    batch's number. A handler that fails is left at that batch and tried again with the next one, or by calling
+    :func:`catch_up`. A batch is given again if its mark was not set: a handler must write by the batch's number.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        files = _Files(batch.sparkSession)
+        if not files.exists(f"{folder}/batches/{batch_id}/_SUCCESS"):
+            batch.write.mode("overwrite").parquet(f"{folder}/batches/{batch_id}")
+        catch_up(batch.sparkSession, handlers, folder)
+
+    return on_batch
+
+
+def catch_up(spark, handlers: Mapping[str, Callable[[DataFrame, int], None]], folder: str) -> dict[str, int]:
+    """Give each handler the batches that it has not done; the numbers of those that are left, by handler."""
+    files = _Files(spark)
+    known = sorted(int(x) for x in files.names(f"{folder}/batches") if files.exists(f"{folder}/batches/{x}/_SUCCESS"))
+    left = {}
+    for name, handler in handlers.items():
+        waiting = [i for i in known if not files.exists(f"{folder}/done/{name}/{i}")]
+        while waiting:
+            try:
+                handler(spark.read.parquet(f"{folder}/batches/{waiting[0]}"), waiting[0])
+            except Exception:  # noqa: BLE001  any handler error is reported, none is fatal
+                log.exception("handler %s failed on batch %s", name, waiting[0])
+                break
+            files.touch(f"{folder}/done/{name}/{waiting.pop(0)}")
+        left[name] = len(waiting)
+    for i in known[:-1]:  # the newest stays, so that a repeated trigger finds it
+        if all(files.exists(f"{folder}/done/{name}/{i}") for name in handlers):
+            files.remove(f"{folder}/batches/{i}")
+    return left
+
+
+class _Files:
+    """A few calls of the file system that Spark itself uses."""
+
+    def __init__(self, spark):
+        self.path, self.conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        made = self.path(path)
+        return made.getFileSystem(self.conf), made
+
+    def exists(self, path: str) -> bool:
+        system, at = self._at(path)
+        return system.exists(at)
+
+    def names(self, path: str) -> list[str]:
+        system, at = self._at(path)
+        return [x.getPath().getName() for x in system.listStatus(at)] if system.exists(at) else []
+
+    def touch(self, path: str) -> None:
+        system, at = self._at(path)
+        system.create(at, True).close()
+
+    def remove(self, path: str) -> None:
+        system, at = self._at(path)
+        system.delete(at, True)
+
+
 # --- incremental ingest -----------------------------------------------------------
 
 
