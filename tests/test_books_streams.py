@@ -142,3 +142,21 @@ def test_matrix_files(spark):
     np.arange(32, dtype="<f8").tofile(f"{swaps}/0000.mm")
     assert pd.Series(M.read_matrix_files(spark, swaps, M.SWAP_ROWS).toPandas().last_price).tolist() == [15.0, 31.0]
     assert [len(x.columns) for x in (M.OPTION_ROWS, M.SENTIMENT_ROWS, M.KLINE_ROWS)] == [25, 9, 11]
+
+
+def test_bucketed_tables_are_joined_where_they_lie(spark):
+    from tickloom.plans import streams as P
+
+    names = P.bucketed_tables(spark, "/root/testdata/sf0.001")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    need_all = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", False)
+        joined = P.position_in_bars(spark, *names)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Bucketed: true" in plan
+        assert joined.agg({"n": "sum"}).first()[0] == spark.table(names[0]).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", need_all)

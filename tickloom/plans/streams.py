@@ -266,6 +266,36 @@ def layout_time_hash(spark, sf_dir):
     return spark.read.parquet(path).groupBy(F.col("chunk_id").cast("bigint").alias("chunk_id"), "market").agg(F.count(F.lit(1)).alias("n"))
 
 
+def bucketed_tables(spark, sf_dir):
+    """Names of a table of trades and of one of their daily bars, both in buckets of market and time chunk."""
+    folder, name = _folder(spark), uuid.uuid4().hex
+    trades = view(spark, sf_dir, "trades_big")
+    bars = B.simple_bars(trades, [DAY_MS]).withColumnRenamed("bucket_ms", "time_ms").select("market", "time_ms", "high", "low", "num_trades")
+    T.write_bucketed(trades, f"trades_{name}", f"{folder}/trades")
+    T.write_bucketed(bars, f"bars_{name}", f"{folder}/bars")
+    return f"trades_{name}", f"bars_{name}"
+
+
+def position_in_bars(spark, trades: str, bars: str):
+    """For each bar the trades in its upper half: a join and an aggregate of two bucketed tables where they lie."""
+    day = F.col("time_ms") - F.pmod(F.col("time_ms"), F.lit(DAY_MS))
+    own = spark.table(trades).select("market_hash", "chunk_id", day.alias("day_ms"), "price")
+    keys = ["market_hash", "chunk_id", "day_ms"]
+    joined = own.join(spark.table(bars).withColumnRenamed("time_ms", "day_ms"), keys)
+    upper = F.count_if(2 * F.col("price") >= F.col("high") + F.col("low"))
+    return joined.groupBy(*keys, "market").agg(F.count(F.lit(1)).alias("n"), upper.alias("upper"))
+
+
+@query(
+    "layout_bucketed",
+    with_views("trades_big", f"""WITH t AS (SELECT market, price, time_ms - time_ms % {DAY_MS} AS day_ms, time_ms FROM trades_big WHERE price > 0 AND volume > 0),
+      b AS (SELECT market, day_ms, max(price) AS high, min(price) AS low FROM t GROUP BY ALL)
+      SELECT market, day_ms, count(*) AS n, count(*) FILTER (2 * price >= high + low) AS upper FROM t JOIN b USING (market, day_ms) GROUP BY ALL"""),
+)
+def layout_bucketed(spark, sf_dir):
+    return position_in_bars(spark, *bucketed_tables(spark, sf_dir)).select("market", "day_ms", "n", "upper")
+
+
 @query("write_futures_stats", """SELECT l_orderkey * 10 + l_linenumber AS time_ms, row_number() OVER (ORDER BY l_extendedprice, l_partkey, l_orderkey * 10 + l_linenumber) AS id FROM lineitem""")
 def write_futures_stats(spark, sf_dir):
     path = f"{_folder(spark)}/stats"

@@ -193,6 +193,18 @@ def write_time_hash(df: DataFrame, path: str, days: int = TRADE_CHUNK_DAYS, buck
     dealt.sortWithinPartitions("chunk_id", "hash_part", "market", "time_ms").write.mode("append").partitionBy("chunk_id", "hash_part").parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int = HASH_PARTITIONS, days: int = TRADE_CHUNK_DAYS, market: str = "market", time_col: str = "time_ms") -> None:
+    """Append to a table whose rows lie in ``buckets`` by the hash of market and time chunk, in each by market and time.
+
+    Two such tables, of trades and of their bars for example, are joined on ``market_hash``, ``chunk_id`` and any further columns where they lie, and aggregates by
+    these keys need no shuffle either. The chunk is part of the key, so that a large market is spread over the buckets.
+    """
+    laid = layout_time_hash(df, days, buckets, market, time_col).drop("hash_part")
+    laid = laid if "market_hash" in laid.columns else laid.withColumn("market_hash", pair_hash(market))
+    dealt = laid.repartition(buckets, "market_hash", "chunk_id")
+    dealt.write.mode("append").option("path", path).bucketBy(buckets, "market_hash", "chunk_id").sortBy("market_hash", "chunk_id", time_col).saveAsTable(table)
+
+
 def export_rows(df: DataFrame, market_filter: str = "", limit: int = 0, columns: Sequence[str] = (), kind: str = "trades") -> DataFrame:
     """Rows of an export: trades by (time, id); bars and books by time, or the newest ``limit``."""
     out = df.filter(pair_filter(market_filter))
