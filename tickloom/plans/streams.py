@@ -10,7 +10,7 @@ from tickloom.operators import bars as B
 from tickloom.plans.bars import DOUBLES, bars_ctes
 from tickloom.plans.books import BOOK_SQL, _books
 from tickloom.plans.ingest import _CANDLES, _candles
-from tickloom.plans.registry import query
+from tickloom.plans.registry import ORACLES, query
 from tickloom.plans.views import _MS, VIEWS, view, with_views
 from tickloom.session import prepare, shared_dir
 from tickloom.sinks import tables as T
@@ -366,6 +366,12 @@ def book_state_batches(spark, sf_dir):
 
     The bids are cleared whole, the asks up to the snapshot's highest.
     """
+    books = _emitted(spark, *_batches_of_messages(spark, sf_dir), expiry_ms=_EXPIRY)
+    return books.select("emission", "symbol", "side", "price", "qty", "last_id", "change_count", "qty_var")
+
+
+def _batches_of_messages(spark, sf_dir):
+    """Updates in four triggers, in the third of which every symbol has a snapshot."""
     from tickloom.streaming import book_state as S
 
     folder = _folder(spark)
@@ -381,8 +387,22 @@ def book_state_batches(spark, sf_dir):
     asks = S.snapshot_messages(snapshots, False).filter("side = 'ask'")
     parts = [S.update_messages(updates.filter(F.col("b") == k)) for k in range(_BATCHES)]
     parts[2] = parts[2].unionByName(bids).unionByName(asks)
-    books = _emitted(spark, *_fed(spark, folder, parts), expiry_ms=_EXPIRY)
-    return books.select("emission", "symbol", "side", "price", "qty", "last_id", "change_count", "qty_var")
+    return _fed(spark, folder, parts)
+
+
+@query("book_state_keyed", ORACLES["book_state_batches"], "")
+def book_state_keyed(spark, sf_dir):
+    """The same books from keyed state: changes of each trigger, timers for what expires."""
+    from tickloom.streaming import keyed_books as K
+
+    folder = _folder(spark)
+    messages, feed = _batches_of_messages(spark, sf_dir)
+    changes = K.book_changes(messages, expiry_ms=_EXPIRY)
+    for step, write in enumerate(feed):  # a trigger and, where levels expire, the one without messages that follows it
+        keep = lambda batch, i, step=step: batch.withColumn("step", F.lit(step)).write.mode("overwrite").parquet(f"{folder}/changes/{step}-{i}")
+        _run(changes, [write], keep, f"{folder}/state", "update")
+    books = K.books_after(spark.read.schema(f"{K.CHANGES}, step int").parquet(f"{folder}/changes/*"), len(feed) - 1)
+    return books.select(F.col("step").cast("int").alias("emission"), "symbol", "side", "price", "qty", "last_id", "change_count", "qty_var")
 
 
 _TICK = 60 * DAY_MS
