@@ -44,3 +44,16 @@ def test_after_messages():
     assert K.after_messages(old, [m("update", 0.0, 6), m("update", 3.0, 7)], None, True) == ((9.0, 3.0, 7, 7), [3.0])
     assert K.after_messages(old, [], 5, True) == (None, [])
     assert K.after_messages(old, [m("level", 3.0, 8), m("update", 0.0, 6)], 8, True) == ((9.0, 3.0, 8, 8), [3.0])
+
+
+def test_clock_of_an_empty_book_goes_on(spark):
+    """After everything has expired a late message does not set the clock back: it expires at once."""
+    from tickloom.streaming.book_state import book_keeper
+
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    shown = []
+    keeper = book_keeper(folder, lambda books, i: shown.append({r.price: r.qty for r in books.collect()}), expiry_ms=1000)
+    rows = [[update("a", 1.0, 5.0, 1, 1000)], [update("a", 1.0, 0.0, 2, 9000)], [update("a", 2.0, 3.0, 3, 1500)], [update("a", 3.0, 4.0, 4, 8500)]]
+    for i, batch in enumerate(rows):
+        keeper(spark.createDataFrame(batch, SCHEMA), i)
+    assert shown == [{1.0: 5.0}, {}, {}, {3.0: 4.0}]
