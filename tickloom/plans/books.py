@@ -238,7 +238,8 @@ def book_to_wide(spark, sf_dir):
 
 
 def _flat(books, column: str = "levels"):
-    return books.select("book", F.posexplode(column).alias("level", "x")).select("book", "level", "x.price", "x.size")
+    """One row a level. The outer form, since Spark puts a copy of the whole array expression, with all that it is made of, into a filter below the plain one."""
+    return books.select("book", F.posexplode_outer(column).alias("level", "x")).where("level IS NOT NULL").select("book", "level", "x.price", "x.size")
 
 
 @query("wide_to_book", f"WITH {BOOK_SQL}, l AS (SELECT book, 'bid' AS side, bids AS x FROM ob UNION ALL SELECT book, 'ask', asks FROM ob)"
