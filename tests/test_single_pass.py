@@ -22,3 +22,14 @@ def test_levels_of_wide_books_are_not_made_again_to_filter(spark):
     assert _plan(rows).count("transform(") == 1
     assert sorted(map(tuple, rows.collect())) == [(b, i, b + i + 1.0, i + 1.0) for b in (1, 2, 3) for i in range(b)]
     assert [tuple(r) for r in _flat(wide, "asks").collect()] == [(3, 0, 6.0, 3.0)]
+
+
+def test_array_books_are_read_once(spark):
+    levels = [[100.0 + i, 3.0, 1.5] for i in range(50)]
+    messages = [json.dumps([7, levels[:2], 1, 5]), json.dumps([7, levels, 2, 5]), json.dumps([8, levels[:2], 3, 5]), json.dumps([7, levels[:3], 4, 5]), "no message", None]
+    raw = spark.createDataFrame([(m,) for m in messages], "value string")
+    books = R.read_book_array(raw, spark.createDataFrame([(7, "t7"), (8, " ")], "channel long, symbol string"))
+    assert _plan(books).count("from_json(") == 2
+    got = {r.seq: r for r in books.collect()}
+    assert sorted(got) == [1, 2] and [len(got[k].levels) for k in (1, 2)] == [2, 50]
+    assert tuple(got[1].levels[1]) == (101.0, 3, 1.5) and got[1].symbol == "t7" and got[1].time_ms == 5
