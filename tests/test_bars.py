@@ -1,5 +1,6 @@
 import math
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
@@ -105,6 +106,29 @@ def test_ranges_follow_the_rows(spark):
         assert all(a.hi < b.lo for a, b in zip(found, found[1:]))
 
 
+def test_small_ranges_share_a_task(spark, monkeypatch):
+    """Ranges of five trades: their number grows with the trades, that of the tasks doesn't."""
+    n, tasks, cut = 2_000, [], B.in_ranges
+
+    def noted(rows, order, number, *rest):
+        tasks.append(number)
+        return cut(rows, order, number, *rest)
+
+    monkeypatch.setattr(B, "in_ranges", noted)
+    trades = spark.range(n).select(
+        "id", ((F.col("id") * 7919) % 1000).alias("time_ms"), F.lit("m").alias("market"),
+        (100 + F.col("id") % 13).cast("double").alias("price"), (1 + F.col("id") % 7).cast("double").alias("volume"), F.lit(1).cast("smallint").alias("flag"),
+    )
+    small = B.trade_bars(trades, [100], rows_per_chunk=5).toPandas().sort_values("time_ms", ignore_index=True)
+    assert len(small) == 10 and max(tasks) <= 2
+    pd.testing.assert_frame_equal(small, B.trade_bars(trades, [100]).toPandas().sort_values("time_ms", ignore_index=True), rtol=1e-9)
+    ranges = cut(trades, ["time_ms", "id"], 2, 5)
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("n"), F.min(F.struct("time_ms", "id")).alias("lo"), F.max(F.struct("time_ms", "id")).alias("hi"))
+    found = sorted(sizes.collect(), key=lambda r: r["_range"])
+    assert max(r.n for r in found) == 5 and sum(r.n for r in found) == n and len(found) <= n / 5 + 2
+    assert all(a.hi < b.lo for a, b in zip(found, found[1:]))
+
+
 def test_steps_in_blocks(spark):
     spans = spark.createDataFrame([("a", 0, 95), ("b", 7, 7), ("c", 5, 4)], "k string, lo bigint, hi bigint")
     for spread in (False, True):

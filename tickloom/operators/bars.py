@@ -56,6 +56,8 @@ trade_id
 """.split()
 
 ROWS_PER_CHUNK = 1_000_000
+#: Rows that a task cuts into ranges at least, where ranges are smaller.
+ROWS_PER_TASK = 100_000
 
 
 # --- preparing trades ---------------------------------------------------------
@@ -205,14 +207,21 @@ def with_ema_span(summary: DataFrame) -> DataFrame:
     return summary.withColumn("_alpha", F.lit(2.0) / (span + 1))
 
 
-def in_ranges(rows: DataFrame, order: Sequence[str], tasks: int) -> DataFrame:
-    """Rows cut into ``tasks`` ranges of about the same size along ``order``, numbered by ``_range``.
+def in_ranges(rows: DataFrame, order: Sequence[str], tasks: int, rows_per_range: int | None = None) -> DataFrame:
+    """Rows cut into ranges along ``order``, numbered by ``_range``: ``tasks`` of about the same size.
 
     The borders come from a sample of the rows, so a burst or a long tail gets as many ranges
     as it has rows for; end ``order`` with a unique column.  The numbers belong to a written
-    table: they stay the same when a task is repeated.
+    table: they stay the same when a task is repeated.  With ``rows_per_range`` a task cuts its
+    rows into ranges of so many, so that small ranges don't need a task each.
     """
-    return scratch_table(rows.repartitionByRange(tasks, *order).withColumn("_range", F.spark_partition_id()))
+    dealt = rows.repartitionByRange(tasks, *order)
+    if rows_per_range is None:
+        return scratch_table(dealt.withColumn("_range", F.spark_partition_id().cast("bigint")))
+    # the number of a row within its task is in the lower 33 bits
+    number, task = F.monotonically_increasing_id(), F.shiftleft(F.spark_partition_id().cast("bigint"), 33)
+    cut = task + F.floor((number - task) / rows_per_range).cast("bigint")
+    return scratch_table(dealt.sortWithinPartitions(*order).withColumn("_range", cut))
 
 
 # --- second pass -----------------------------------------------------------------
@@ -434,16 +443,16 @@ def _blend(name: str) -> Column:
 
 
 def weighted_quantiles(
-    values: DataFrame, keys: Sequence[str], quantiles: dict[str, tuple[str, float]], tasks: int
+    values: DataFrame, keys: Sequence[str], quantiles: dict[str, tuple[str, float]], tasks: int, rows_per_range: int | None = None
 ) -> DataFrame:
     """Exact interpolated quantiles of ``value`` repeated ``freq`` times, per key.
 
     ``values`` has ``keys``, ``kind``, ``value`` and ``freq``; ``quantiles`` maps an output
     column to ``(kind, fraction)``.  Equal values are combined before the shuffle, and
-    the distinct values are ranked in ``tasks`` ranges.
+    the distinct values are ranked in ``tasks`` ranges, or in ranges of ``rows_per_range``.
     """
     part = [*keys, "kind"]
-    distinct = in_ranges(values.groupBy(*part, "value").agg(F.sum("freq").alias("freq")), [*part, "value"], tasks)
+    distinct = in_ranges(values.groupBy(*part, "value").agg(F.sum("freq").alias("freq")), [*part, "value"], tasks, rows_per_range)
     ranked = running(distinct, part, ["value"], F.col("_range"), sums={"_below": F.col("freq")}, totals=True)
     kinds = {kind for kind, _ in quantiles.values()}
     every = lambda c: {k: F.col(c) for k in kinds}
@@ -469,9 +478,9 @@ def bar_values(joined: DataFrame, weight: Column | None = None) -> DataFrame:
     return joined.select(*GROUP, F.inline(kinds))
 
 
-def bar_quantiles(joined: DataFrame, tasks: int) -> DataFrame:
+def bar_quantiles(joined: DataFrame, tasks: int, rows_per_range: int | None = None) -> DataFrame:
     """Quantile columns of buckets of any size."""
-    return weighted_quantiles(bar_values(joined), GROUP, BAR_QUANTILES, 2 * tasks)
+    return weighted_quantiles(bar_values(joined), GROUP, BAR_QUANTILES, 2 * tasks, rows_per_range)
 
 
 def bar_digests(rows: DataFrame, compression: int = COMPRESSION) -> DataFrame:
@@ -528,11 +537,13 @@ def _small_buckets(joined: DataFrame, periods_ms: Sequence[int], standard: bool)
     return finish(sums.withColumns({n: _blend(n) for n in BAR_QUANTILES}), standard, list(BAR_QUANTILES))
 
 
-def _large_buckets(joined: DataFrame, periods_ms: Sequence[int], standard: bool, tasks: int) -> DataFrame:
+def _large_buckets(joined: DataFrame, periods_ms: Sequence[int], standard: bool, n_rows: int, rows_per_chunk: int) -> DataFrame:
     """Second pass for buckets too large for a task: everything in ranges of the trades and of the values."""
-    placed = trade_positions(in_ranges(joined, [*GROUP, "time_ms", "id"], tasks), one_chunk=False)
+    small = rows_per_chunk if rows_per_chunk < ROWS_PER_TASK else None
+    tasks = 1 + n_rows // max(rows_per_chunk, ROWS_PER_TASK)
+    placed = trade_positions(in_ranges(joined, [*GROUP, "time_ms", "id"], tasks, small), one_chunk=False)
     sums = placed.groupBy(*GROUP).agg(*(c.alias(n) for n, c in ordered_sums(periods_ms, standard).items()))
-    return finish(sums, standard).join(bar_quantiles(joined, tasks), GROUP)
+    return finish(sums, standard).join(bar_quantiles(joined, tasks, small), GROUP)
 
 
 def trade_bars(
@@ -568,7 +579,7 @@ def bars_of_rows(
     second = _small_buckets(with_summary(rows, summary.filter(~is_large)), periods_ms, standard_log_regression)
     if in_large:
         large = scratch_table(summary.filter(is_large))
-        second = second.unionByName(_large_buckets(with_summary(rows, large), periods_ms, standard_log_regression, 1 + in_large // rows_per_chunk))
+        second = second.unionByName(_large_buckets(with_summary(rows, large), periods_ms, standard_log_regression, in_large, rows_per_chunk))
     bars = summary.withColumns({c: nan_to_num(c) for c in ("mean_price", "mean_volume", "max_volume")})
     out = bars.join(second, GROUP).withColumn("time_ms", F.col("bucket_ms"))
     return out.select("market", "period_ms", "offset_ms", *BAR_COLUMNS)
