@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from test_texts import UPPER
 
 import corpus_pipeline
@@ -78,3 +79,34 @@ def test_pipeline_keeps_one_of_each_group(spark):
     assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, SF_DIR).collect()} == want
     # the groups of op1 are others
     assert want != {r.component_id for r in simhash.near_duplicates(docs).collect()}
+
+
+def test_pipeline_checks_the_groups_of_op1(spark, monkeypatch):
+    """The fingerprint join is a step of the stage, and what it links is checked by whole sets."""
+    near = " ".join(f"w{i}" for i in range(60))
+    texts = [near, near + " more", "w0 w1", "w1 w0 other words altogether", None, ""]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    joined, linked = [], simhash.near_duplicates
+
+    def one_group(*args):
+        groups = linked(*args)
+        joined.append({r.row.doc_id for r in groups.collect()})
+        return groups.withColumn("component_id", F.lit(0))
+
+    monkeypatch.setattr(simhash, "near_duplicates", one_group)
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
+    assert joined == [set(range(6))]
+    assert kept == {0, 2, 3, 4}
+
+
+def test_given_groups_lead(docs_of, sample, spark):
+    """Pairs of given groups are compared even where nothing else makes a pair; the groups stay those of the similarity."""
+    text = lambda *w: " ".join(w)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(1, text(*base)), (2, text(*base[:95])), (3, text("other", "words", "here"))]
+    sketches = overlap._sketches(docs_of(rows).select(F.col("doc_id").alias("id"), "text"), overlap.SHINGLE)
+    pairs = overlap._named(sketches, spark.createDataFrame([(1, 7), (2, 7), (3, 7), (9, 7)], "id long, g long"))
+    key = {r.id: r.key for r in sketches.collect()}
+    assert {tuple(r) for r in pairs.collect()} <= {tuple(sorted((key[a], key[b]))) for a, b in ((1, 2), (1, 3), (2, 3))}
+    given = spark.createDataFrame([(i, 0) for i, _ in sample if i is not None], "id long, g long")
+    assert Counter(tuple(r) for r in overlap.near_copies(docs_of(sample), groups=given).collect()) == plain_groups(sample)
