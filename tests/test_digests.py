@@ -1,6 +1,7 @@
 """Quantile digests against numpy's exact ranks."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,14 @@ def test_refresh_reads_no_old_trades(spark):
     (row,) = B.digest_columns(refreshed).collect()
     whole = {r.bucket_ms: r for r in B.digest_columns(digest(old.unionByName(late))).collect()}
     assert abs(row.price_q50 - whole[0].price_q50) < 1 and row.price_q90 == whole[0].price_q90 == 99.0
+
+
+def test_blocks_are_bounded_by_centroids():
+    """Digests are held by their centroids, and no key is cut."""
+    cells = pa.array([[{"mean": float(i), "weight": 1.0} for i in range(100)]] * 20_000, D._DIGEST)
+    keys = pa.array(np.repeat(np.arange(4_000), 5))
+    batches = pa.Table.from_arrays([keys, cells], names=["k", "digest"]).to_batches(max_chunksize=10_000)
+    tables = list(D._tables(iter(batches), 1, True))
+    assert sum(t.num_rows for t in tables) == 20_000 and max(t.num_rows for t in tables) * 100 <= D.BLOCK_ROWS + D.SLICE_ROWS * 100
+    ends = [(t["k"][0].as_py(), t["k"][-1].as_py()) for t in tables]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))

@@ -11,13 +11,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Centroids of a digest, at about.
 COMPRESSION = 200
-#: Values that a task reduces together, and partial digests of a key that are merged at first in so many slots.
-BLOCK_ROWS, SLOTS = 1 << 18, 32
+#: Values or centroids that a task reduces together, rows that it takes up at once, and partial digests of a key that are merged at first in so many slots.
+BLOCK_ROWS, SLICE_ROWS, SLOTS = 1 << 18, 1 << 10, 32
 
 DIGEST = "array<struct<mean: double, weight: double>>"
 _DIGEST = pa.list_(pa.struct([("mean", pa.float64()), ("weight", pa.float64())]))
@@ -49,13 +50,18 @@ def _arrow(schema, names: Sequence[str]) -> list[pa.DataType]:
     return [to_arrow_type(schema[n].dataType) for n in names]
 
 
+def _size(table: pa.Table | pa.RecordBatch) -> int:
+    """Values of a table: its rows, or the centroids of its digests."""
+    return pc.sum(pc.list_value_length(table.column("digest"))).as_py() or 0 if "digest" in table.schema.names else table.num_rows
+
+
 def _tables(batches, keys: int, whole: bool) -> Iterator[pa.Table]:
-    """Rows in blocks; with ``whole`` the rows are in order of the first ``keys`` columns, and no key is cut."""
-    held, rows = [], 0
-    for batch in batches:
+    """Rows in blocks of ``BLOCK_ROWS`` values; with ``whole`` the rows are in order of the first ``keys`` columns, and no key is cut."""
+    held, size = [], 0
+    for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
         held.append(batch)
-        rows += batch.num_rows
-        if rows < BLOCK_ROWS:
+        size += _size(batch)
+        if size < BLOCK_ROWS:
             continue
         table = pa.Table.from_batches(held)
         cut = table.num_rows
@@ -66,8 +72,9 @@ def _tables(batches, keys: int, whole: bool) -> Iterator[pa.Table]:
             if not cut:
                 continue
         yield table.slice(0, cut)
-        held, rows = table.slice(cut).to_batches(), table.num_rows - cut
-    if rows:
+        held = table.slice(cut).to_batches()
+        size = sum(map(_size, held))
+    if sum(b.num_rows for b in held):
         yield pa.Table.from_batches(held)
 
 
