@@ -1,3 +1,4 @@
+import os
 import tempfile
 
 import numpy as np
@@ -144,6 +145,30 @@ def test_matrix_files(spark):
     assert [len(x.columns) for x in (M.OPTION_ROWS, M.SENTIMENT_ROWS, M.KLINE_ROWS)] == [25, 9, 11]
 
 
+def test_small_ranges_of_a_file_share_its_handles(spark, monkeypatch):
+    """Files are opened once by the task that reads their ranges, and rows are handed on together."""
+    folder = tempfile.mkdtemp(prefix="tickloom-")
+    n = 500
+    for k in range(3):
+        np.arange(n * 150, dtype="<f4").tofile(f"{folder}/{k}.mm")
+        (np.arange(n, dtype="<i8") + k).tofile(f"{folder}/{k}.mm.time")
+    notes = tempfile.mkdtemp(prefix="tickloom-")
+    plain = M.open_store
+
+    def noted(path):
+        import uuid
+
+        open(f"{notes}/{uuid.uuid4().hex}", "w").close()
+        return plain(path)
+
+    monkeypatch.setattr(M, "open_store", noted)
+    rows = M.read_matrix_files(spark, folder, M.SIMPLE_BOOK, range_bytes=M.SIMPLE_BOOK.entry_bytes).toPandas()
+    assert len(rows) == 3 * n * 50 and (rows.groupby("stem").entry.nunique() == n).all()
+    assert (rows.price == (rows.entry * 50 + rows.position) * 3).all()
+    assert (rows.time_ms - rows.entry == rows.stem.str[-1].astype(int)).all()
+    assert len(os.listdir(notes)) <= 6
+
+
 def test_bucketed_tables_are_joined_where_they_lie(spark):
     from tickloom.plans import streams as P
 

@@ -62,7 +62,8 @@ def _write(spark, sf_dir) -> str:
 
 
 def _keys():
-    return F.regexp_extract("stem", r"([^/]+)/[^/]+$", 1).alias("market"), F.regexp_extract("stem", r"([^/]+)$", 1).cast("bigint").alias("day")
+    part = lambda k: F.substring_index(F.substring_index("stem", "/", -k), "/", 1)
+    return part(2).alias("market"), part(1).cast("bigint").alias("day")
 
 
 @query(

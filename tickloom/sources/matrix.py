@@ -66,6 +66,8 @@ KLINE_ROWS = MatrixLayout("kline", tuple(KLINE_FIELDS), item="float64", timed=Fa
 
 #: Bytes of a matrix file that are read and decoded together.
 RANGE_BYTES = 8 << 20
+#: Rows that a task hands on together at least, where ranges are smaller.
+TABLE_ROWS = 1 << 16
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -95,28 +97,53 @@ def read_matrix_files(spark: SparkSession, path: str, layout: MatrixLayout, rang
         sizes = sizes.join(times, "stem").withColumn("entries", F.least("entries", "stamps"))
     step = max(1, range_bytes // layout.entry_bytes)
     ranges = sizes.where("entries > 0").withColumn("first", F.explode(F.sequence(F.lit(0), F.col("entries") - 1, F.lit(step))))
-    ranges = ranges.select("stem", "path", "first", F.least(F.lit(step), F.col("entries") - F.col("first")).alias("n")).repartition("stem", "first")
+    ranges = ranges.select("stem", "path", "first", F.least(F.lit(step), F.col("entries") - F.col("first")).alias("n"))
+    # small ranges of one stretch of a file are one task's, which opens the file once for them
+    stretch = F.floor(F.col("first") / max(step, RANGE_BYTES // layout.entry_bytes))
+    # with a number, as few bytes stand for much work
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges.repartition(tasks, "stem", stretch).sortWithinPartitions("stem", "first")
     schema = "stem string, entry bigint, time_ms bigint, position int, " + ", ".join(f"`{c}` double" for c in layout.columns)
     rows, size, names, timed = layout.rows, layout.entry_bytes, list(layout.columns), layout.timed
     item = np.dtype(layout.item).newbyteorder("<")
 
+    def table(held: list[tuple[str, int, np.ndarray, np.ndarray | None]]) -> pd.DataFrame:
+        counts = [len(values) // rows for _, _, values, _ in held]
+        out = pd.DataFrame(np.concatenate([values for _, _, values, _ in held]).astype("float64"), columns=names)
+        entry = np.repeat(np.concatenate([np.arange(first, first + n) for n, (_, first, _, _) in zip(counts, held)]), rows)
+        stamps = np.repeat(np.concatenate([stamps for *_, stamps in held]), rows) if timed else out[names[0]].astype("int64")
+        out.insert(0, "position", np.tile(np.arange(rows, dtype="int32"), sum(counts)))
+        out.insert(0, "time_ms", stamps)
+        out.insert(0, "entry", entry)
+        out.insert(0, "stem", np.repeat(np.array([stem for stem, *_ in held], object), np.array(counts) * rows))
+        return out
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def part(name: str, width: int, first: int, n: int) -> bytes:
+        at, files, held, n_held = None, [], [], 0
+
+        def opened(name: str) -> list:
             store, inner = open_store(name)
-            with store.open_input_file(inner) as file:
-                return file.read_at(n * width, first * width)
-
-        for batch in batches:
-            for stem, name, first, n in batch.itertuples(index=False):
-                values = np.frombuffer(part(name, size, first, n), dtype=item).reshape(-1, len(names))
-                out = pd.DataFrame(values.astype("float64"), columns=names)
-                entry = np.repeat(np.arange(n), rows)
-                stamps = np.frombuffer(part(f"{name}.time", TIME_BYTES, first, n), dtype="<i8")[entry] if timed else out[names[0]].astype("int64")
-                out.insert(0, "position", np.tile(np.arange(rows, dtype="int32"), n))
-                out.insert(0, "time_ms", stamps)
-                out.insert(0, "entry", entry + first)
-                out.insert(0, "stem", stem)
-                yield out
+            return [store.open_input_file(inner), *([store.open_input_file(f"{inner}.time")] if timed else [])]
+
+        try:
+            for batch in batches:
+                for stem, name, first, n in batch.itertuples(index=False):
+                    if name != at:
+                        for file in files:
+                            file.close()
+                        at, files = name, opened(name)
+                    values = np.frombuffer(files[0].read_at(n * size, first * size), dtype=item).reshape(-1, len(names))
+                    stamps = np.frombuffer(files[1].read_at(n * TIME_BYTES, first * TIME_BYTES), dtype="<i8") if timed else None
+                    held.append((stem, first, values, stamps))
+                    n_held += len(values)
+                    if n_held >= TABLE_ROWS:
+                        yield table(held)
+                        held, n_held = [], 0
+        finally:
+            for file in files:
+                file.close()
+        if held:
+            yield table(held)
 
     return ranges.mapInPandas(decode, schema)
 
