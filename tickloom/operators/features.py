@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import is_normal, parse_option_id
 from tickloom.operators.latest import _latest, content_hash, latest_by, latest_funding, top_k_per_group
-from tickloom.operators.prefix import each_step, running, time_chunk
+from tickloom.operators.prefix import ROWS_PER_KEY, dealt, each_step, large_keys, running, time_chunk
 
 DAY_MS = 86_400_000
 
@@ -152,38 +152,80 @@ def clock_ticks(feeds: Sequence[DataFrame], step_ms: int, end_ms: int | None = N
 
 def context_asof(
     clock: DataFrame, feeds: dict[str, DataFrame], chunk_ms: int = DAY_MS * 30, keys: Sequence[str] = ("inst_id",),
-    step_ms: int | None = None,
+    step_ms: int | None = None, rows_per_key: int = ROWS_PER_KEY,
 ) -> DataFrame:
     """At every tick the newest record of each feed at or before it, where all feeds have one.
 
-    Ticks and records are put on one time line and the newest value carried forward, in
-    time chunks; no range join is needed.  Where all ticks are multiples of ``step_ms``, give
-    it: then each feed is reduced to the newest record before each tick before it is sorted.
+    Ticks and records are put on one time line and the newest value carried forward; no range join is needed.
+    Time lines of up to ``rows_per_key`` rows are moved once and are one window each; longer ones go in time chunks.
+    Where all ticks are multiples of ``step_ms``, give it: then each feed of a long line is
+    reduced to the newest record before each tick before it is sorted.
     """
-    at = F.col("ts") if step_ms is None else F.ceil(F.col("ts") / step_ms).cast("bigint") * step_ms
-    types = {name: packed(f, name, keys).schema[name].dataType for name, f in feeds.items()}
+    lines = clock.select(*keys)
+    for f in feeds.values():
+        lines = lines.unionByName(f.select(*keys))
+    long, tasks = large_keys(lines, keys, rows_per_key)
+    if long is None:
+        return _asof_whole(clock, feeds, chunk_ms, keys, step_ms, tasks)
+    some = lambda how: (clock.join(long, list(keys), how), {n: f.join(long, list(keys), how) for n, f in feeds.items()})
+    short = _asof_whole(*some("left_anti"), chunk_ms, keys, step_ms, tasks)
+    return short.unionByName(_asof_chunked(*some("left_semi"), chunk_ms, keys, step_ms))
+
+
+def _line_of(clock: DataFrame, feeds: dict[str, DataFrame], at: Column, keys: Sequence[str], types: dict) -> DataFrame:
+    """Ticks and records, ``ts`` and ``_tick`` telling which; ``at`` is the time of a record on the line."""
     line = clock.select(
         *keys, F.col("tick_ms").alias("ts"), F.lit(1).alias("_tick"), *(F.lit(None).cast(types[n]).alias(n) for n in types)
     )
     for name, f in feeds.items():
-        order = [F.col("ts"), *([F.col("arrival")] if "arrival" in f.columns else [])]
-        newest = _latest(f.withColumn("_at", at), [*keys, "_at"], order)
-        record = F.struct(*(c for c in f.columns if c not in keys))
+        record = F.struct(*types[name].names)
         line = line.unionByName(
-            newest.select(
-                *keys, F.col("_at").alias("ts"), F.lit(0).alias("_tick"),
+            f.select(
+                *keys, at.alias("ts"), F.lit(0).alias("_tick"),
                 *((record if n == name else F.lit(None).cast(types[n])).alias(n) for n in types),
             )
         )
-    carried = running(
-        line, keys, ["ts", "_tick"], time_chunk("ts", chunk_ms), lasts={f"_l_{n}": F.col(n) for n in types}
-    )
+    return line
+
+
+def _on_step(step_ms: int | None) -> Column:
+    return F.col("ts") if step_ms is None else F.ceil(F.col("ts") / step_ms).cast("bigint") * step_ms
+
+
+def _complete(carried: DataFrame, keys: Sequence[str], names) -> DataFrame:
     complete = F.col("_tick") == 1
-    for n in types:
+    for n in names:
         complete = complete & F.col(f"_l_{n}").isNotNull()
-    return carried.filter(complete).select(
-        *keys, F.col("ts").alias("tick_ms"), *(F.col(f"_l_{n}").alias(n) for n in types)
+    return carried.filter(complete).select(*keys, F.col("ts").alias("tick_ms"), *(F.col(f"_l_{n}").alias(n) for n in names))
+
+
+def _asof_whole(
+    clock: DataFrame, feeds: dict[str, DataFrame], chunk_ms: int, keys: Sequence[str], step_ms: int | None, tasks: int
+) -> DataFrame:
+    """A window for each key. Records of one time go by arrival, then by all columns; what has no key or no time is carried within its time chunk only."""
+    types = {name: packed(f, name, keys).schema[name].dataType for name, f in feeds.items()}
+    unknown = F.col("ts").isNull()
+    for k in keys:
+        unknown = unknown | F.col(k).isNull()
+    apart = F.when(unknown, F.coalesce(time_chunk("ts", chunk_ms), F.lit(-1 << 63)))
+    line = _line_of(clock, feeds, _on_step(step_ms), keys, types).withColumn("_apart", apart)
+    ties = [x for n, t in types.items() for x in (F.col(n)["ts"], *([F.col(n)["arrival"]] if "arrival" in t.names else []), F.col(n))]
+    line = dealt(line, tasks, *keys, "_apart")
+    carried = running(line, [*keys, "_apart"], ["ts", "_tick", *ties], F.lit(0), lasts={f"_l_{n}": F.col(n) for n in types}, one_chunk=True)
+    return _complete(carried, keys, types)
+
+
+def _asof_chunked(clock: DataFrame, feeds: dict[str, DataFrame], chunk_ms: int, keys: Sequence[str], step_ms: int | None) -> DataFrame:
+    types = {name: packed(f, name, keys).schema[name].dataType for name, f in feeds.items()}
+    newest = {}
+    for name, f in feeds.items():
+        order = [F.col("ts"), *([F.col("arrival")] if "arrival" in f.columns else [])]
+        newest[name] = _latest(f.withColumn("_at", _on_step(step_ms)), [*keys, "_at"], order)
+    carried = running(
+        _line_of(clock, newest, F.col("_at"), keys, types), keys, ["ts", "_tick"], time_chunk("ts", chunk_ms),
+        lasts={f"_l_{n}": F.col(n) for n in types},
     )
+    return _complete(carried, keys, types)
 
 
 def swap_context_asof(

@@ -11,12 +11,31 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickloom.session import scratch_table
+
 CHUNK = "_chunk"
 
+#: Rows of a key that one task takes in order.
+ROWS_PER_KEY = 1_000_000
+
+
+def large_keys(df: DataFrame, keys: Sequence[str], rows: int = ROWS_PER_KEY) -> tuple[DataFrame | None, int]:
+    """Keys of more than ``rows`` rows, as a written table (None where there are none), and the tasks that all rows make of about so many. Null keys are never large."""
+    seen = Observation()
+    counts = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).observe(seen, F.sum("_n").alias("n"))
+    many = scratch_table(counts.filter(F.col("_n") > rows).select(*keys).dropna())
+    return None if many.isEmpty() else many, -(-(seen.get["n"] or 0) // rows)
+
+
+def dealt(df: DataFrame, tasks: int, *columns: str) -> DataFrame:
+    """Rows by hash of ``columns``, to ``tasks`` tasks where these are more than the session's own number, so that what a task sorts stays in memory."""
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *columns) if tasks > own else df.repartition(*columns)
+
 
 def running(
     df: DataFrame,
