@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tickloom.operators import books as K
 from tickloom.operators import features as D
 
 
@@ -31,6 +32,18 @@ def test_context_asof_whole_and_chunked(spark):
         assert shuffles(run(10**6)) == 1
 
 
+def test_regroup_whole_and_sliced(spark):
+    rows = spark.range(900).select(
+        (F.col("id") % 3).alias("book"), F.when(F.col("id") % 2 == 0, "bid").otherwise("ask").alias("side"),
+        F.when(F.col("id") % 2 == 0, 1000.0 - F.col("id")).otherwise(1000.0 + F.col("id") * (F.col("id") % 3 + 1)).alias("price"),
+        (F.col("id") * 7 % 5).cast("double").alias("size"),
+    ).filter("book < 2 OR id < 90")
+    rows = rows.unionByName(rows.limit(1).withColumn("book", F.lit(None).cast("bigint")))
+    whole, sliced, mixed = (sorted(map(str, K.regroup_sides(rows, 10, ["book"], n).collect())) for n in (10**6, 1, 100))
+    assert whole == sliced == mixed and len(whole) == 60
+    assert shuffles(K.regroup_sides(rows, 10, ["book"])) == 1
+
+
 def test_tasks_by_measured_rows(spark):
     from tickloom.operators.prefix import dealt, large_keys
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from tickloom.functions.scalars import fix_index, geometric_index, let, price_key
 from tickloom.operators.latest import top_k_per_group
-from tickloom.operators.prefix import each_step, running
+from tickloom.operators.prefix import ROWS_PER_KEY, dealt, each_step, large_keys, running
 
 # Levels kept per side.
 DETAILED_LEVELS = 128
@@ -402,32 +402,70 @@ def regroup_positions(length: Column, cut: Column, n: int, side: str) -> Column:
     return F.when(length <= n, F.struct(F.lit(0).cast("int").alias("start"), every.alias("kept"))).otherwise(chosen)
 
 
-def regroup_sides(levels: DataFrame, n: int = REGROUPED_LEVELS, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+def regroup_sides(
+    levels: DataFrame, n: int = REGROUPED_LEVELS, keys: Sequence[str] = ("symbol",), rows_per_key: int = ROWS_PER_KEY
+) -> DataFrame:
     """At most ``n`` levels per side at logarithmically spaced positions, sizes of the levels between folded in.
 
     Input ``keys, side, price, size``, one row per price.  Levels without size at the ends
     are cut first.  A kept level takes the levels between it and the next one farther from
     the best price.  A bid side spanning more than a factor e loses its outermost group; on the
     ask side that group folds into the outermost kept level.  Positions are worked out in
-    double precision and sides may be of any length.
+    double precision and sides may be of any length: books of up to ``rows_per_key`` levels are moved once
+    and are windows of one task, deeper ones go in slices of price.  ``levels`` is read twice: pass a written table rather than a long plan.
     """
-    book = [*keys, "side"]
+    deep, tasks = large_keys(levels, keys, rows_per_key)
+    if deep is None:
+        return _regrouped(_placed_whole(levels, n, keys, tasks), keys)
+    flat = _placed_whole(levels.join(deep, list(keys), "left_anti"), n, keys, tasks)
+    return _regrouped(flat, keys).unionByName(_regrouped(_placed_sliced(levels.join(deep, list(keys), "left_semi"), n, keys), keys))
+
+
+def _side_bounds() -> dict[str, Column]:
+    """Lowest and highest price of a side with size, aggregates over its levels."""
     real = F.col("size") > 0
-    bounds = levels.groupBy(*book).agg(
-        F.min(F.when(real & (F.col("price") > 0), F.col("price"))).alias("_lo"),
-        F.max(F.when(real, F.col("price"))).alias("_hi"),
+    return {"_lo": F.min(F.when(real & (F.col("price") > 0), F.col("price"))), "_hi": F.max(F.when(real, F.col("price")))}
+
+
+def _places(n: int) -> Column:
+    """Positions kept of a side of ``_length`` levels between ``_lo`` and ``_hi``."""
+    cut = (F.col("_length") > n) & (F.abs(F.log("_lo") - F.log("_hi")) > MAX_LOG_RANGE)
+    return F.when(F.col("side") == "bid", regroup_positions(F.col("_length"), cut, n, "bid")).otherwise(
+        regroup_positions(F.col("_length"), cut, n, "ask")
     )
+
+
+def _placed_whole(levels: DataFrame, n: int, keys: Sequence[str], tasks: int) -> DataFrame:
+    """Levels with their position ``_pos`` and the ``_places`` of their side, in one shuffle by ``keys``."""
+    book = [*keys, "side"]
+    side = Window.partitionBy(*book)
+    inside = (
+        dealt(levels.select(*book, "price", "size").dropna(subset=book), tasks, *keys)
+        .withColumns({name: bound.over(side) for name, bound in _side_bounds().items()})
+        .filter(F.col("price").between(F.col("_lo"), F.col("_hi")))
+    )
+    placed = inside.withColumns(
+        {"_pos": (F.row_number().over(side.orderBy("price")) - 1).cast("bigint"), "_length": F.count(F.lit(1)).over(side).cast("int")}
+    )
+    # worked out once a side
+    first = placed.withColumn("_at_first", F.when(F.col("_pos") == 0, _places(n)))
+    return first.withColumn("_places", F.first("_at_first", ignorenulls=True).over(side)).drop("_lo", "_hi", "_length", "_at_first")
+
+
+def _placed_sliced(levels: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+    """The same for sides of any length, in slices of price."""
+    book = [*keys, "side"]
+    bounds = levels.groupBy(*book).agg(*(bound.alias(name) for name, bound in _side_bounds().items()))
     inside = levels.join(bounds, book).filter(F.col("price").between(F.col("_lo"), F.col("_hi")))
     shape = inside.groupBy(*book).agg(
         F.count(F.lit(1)).cast("int").alias("_length"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")
     )
-    cut = (F.col("_length") > n) & (F.abs(F.log("_lo") - F.log("_hi")) > MAX_LOG_RANGE)
-    places = F.when(F.col("side") == "bid", regroup_positions(F.col("_length"), cut, n, "bid")).otherwise(
-        regroup_positions(F.col("_length"), cut, n, "ask")
-    )
-    shape = shape.select(*book, places.alias("_places"))
     chunk = F.floor(F.log2("price") * SLICES_PER_OCTAVE)
-    placed = running(inside.drop("_lo", "_hi"), book, ["price"], chunk, sums={"_pos": F.lit(1)}).join(shape, book)
+    placed = running(inside.drop("_lo", "_hi"), book, ["price"], chunk, sums={"_pos": F.lit(1)})
+    return placed.join(shape.select(*book, _places(n).alias("_places")), book)
+
+
+def _regrouped(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
     kept, pos = F.col("_places")["kept"], F.col("_pos")
     below = F.size(F.filter(kept, lambda x: x < pos))
     upto = F.size(F.filter(kept, lambda x: x <= pos)) - 1
@@ -441,7 +479,7 @@ def regroup_sides(levels: DataFrame, n: int = REGROUPED_LEVELS, keys: Sequence[s
             }
         )
         .filter(F.col("level") < F.size(kept))
-        .groupBy(*book, "level")
+        .groupBy(*keys, "side", "level")
         .agg(F.max(F.when(F.col("_own"), F.col("price"))).alias("price"), F.sum("_counts").alias("size"))
     )
 

@@ -311,8 +311,10 @@ def regroup_book(spark, sf_dir):
     books = _books(spark, sf_dir)
     side = lambda name: books.select("book", F.lit(name).alias("side"), F.inline(f"{name}s"))
     out = K.regroup_book(scratch_table(side("bid").unionByName(side("ask"))), 10, ["book"])
-    flat = lambda name: _flat(out.select("book", f"{name}s"), f"{name}s").withColumn("side", F.lit(name))
-    return flat("bid").unionByName(flat("ask"))
+    # both sides at once: as a union the books would be made twice
+    sides = out.select("book", F.inline_outer(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}s").alias("levels")) for s in ("bid", "ask")))))
+    flat = sides.select("book", "side", F.posexplode_outer("levels").alias("level", "x")).where("level IS NOT NULL")
+    return flat.select("book", "level", "x.price", "x.size", "side")
 
 
 @query(
