@@ -33,3 +33,27 @@ def test_array_books_are_read_once(spark):
     got = {r.seq: r for r in books.collect()}
     assert sorted(got) == [1, 2] and [len(got[k].levels) for k in (1, 2)] == [2, 50]
     assert tuple(got[1].levels[1]) == (101.0, 3, 1.5) and got[1].symbol == "t7" and got[1].time_ms == 5
+
+
+def test_candles_are_read_once(spark):
+    candle = json.dumps([str(i) for i in range(12)])
+    messages = [candle, f" [ {candle} , {candle} ] ", "[]", "no message", None]
+    read = R.read_klines(spark.createDataFrame([(i, m) for i, m in enumerate(messages)], "symbol int, value string"))
+    # one for the message, one inside the page
+    assert _plan(read).count("from_json(") == 2
+    assert sorted((r.symbol, r.open_time, r.close, r.close_time) for r in read.collect()) == [(0, 0, 4.0, 6), (1, 0, 4.0, 6), (1, 0, 4.0, 6)]
+
+
+def test_candle_messages_are_not_read_again_by_later_steps(spark, tmp_path):
+    from datetime import datetime
+
+    from tickloom.plans import load_all
+    from tickloom.plans.registry import QUERIES
+
+    load_all()
+    line = [(i, i % 3, i % 2, 1 + i % 7, 10.0 * (i % 5), 5.0, 0.1, 0.1, datetime(2001, 1, 1 + i)) for i in range(9)]
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp"
+    spark.createDataFrame(line, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("kline_increment", "close_candles"):
+        found = QUERIES[name](spark, str(tmp_path))
+        assert "from_json(" not in _plan(found) and found.count() > 0

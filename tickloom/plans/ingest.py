@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.latest import close_candles
 from tickloom.plans.registry import query
 from tickloom.plans.views import view, with_views
-from tickloom.session import prepare
+from tickloom.session import prepare, scratch_table
 from tickloom.sources import raw as R
 
 
@@ -121,6 +121,11 @@ def _candles(spark, sf_dir):
     return R.read_klines(_candle_messages(spark, sf_dir))
 
 
+def _candle_times(spark, sf_dir):
+    """Symbol, open and close time of all candles, read from their messages once for steps that go through them several times."""
+    return scratch_table(_candles(spark, sf_dir).select("symbol", "open_time", "close_time"))
+
+
 _CANDLES = """k AS (SELECT l_partkey AS symbol, epoch_us(l_shipdate) // 1000 + l_orderkey * 8 + l_linenumber AS open_time, l_extendedprice AS open, l_extendedprice + 1 AS high,
    l_quantity AS volume, l_linenumber AS trades, l_discount AS taker_quote_volume, CASE WHEN l_quantity > 25 THEN 59999 ELSE 30000 END AS span FROM lineitem)"""
 
@@ -145,7 +150,7 @@ def read_kline_pages(spark, sf_dir):
        first(span) OVER (PARTITION BY symbol ORDER BY open_time, span) AS fs, min(open_time) OVER (PARTITION BY symbol) AS fo FROM k)
        SELECT symbol, open_time, open_time + span AS close_time FROM n WHERE NOT (r = 1 AND CASE WHEN c = 1 THEN span < 59999 ELSE open_time = fo OR fs > span END)""")
 def closed_candles(spark, sf_dir):
-    return close_candles(_candles(spark, sf_dir)).select("symbol", "open_time", "close_time")
+    return close_candles(_candle_times(spark, sf_dir)).select("symbol", "open_time", "close_time")
 
 
 def _envelopes(df, fields: dict):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import bars as B
 from tickloom.plans.bars import DOUBLES, bars_ctes
 from tickloom.plans.books import BOOK_SQL, _books
-from tickloom.plans.ingest import _CANDLES, _candles
+from tickloom.plans.ingest import _CANDLES, _candle_times
 from tickloom.plans.registry import ORACLES, query
 from tickloom.plans.views import _MS, VIEWS, view, with_views
 from tickloom.session import prepare, shared_dir
@@ -165,7 +165,7 @@ def resume_point(spark, sf_dir):
        first(span) OVER (PARTITION BY symbol ORDER BY open_time, span) AS fs, min(open_time) OVER (PARTITION BY symbol) AS fo FROM k)
        SELECT symbol, open_time FROM n WHERE NOT (r = 1 AND CASE WHEN c = 1 THEN span < 59999 ELSE open_time = fo OR fs > span END) AND open_time + span > 880000000000""")
 def kline_increment(spark, sf_dir):
-    candles = _candles(spark, sf_dir)
+    candles = _candle_times(spark, sf_dir)
     resume = candles.select("symbol").distinct().withColumn("resume_ms", F.lit(880_000_000_000))
     return Z.kline_increment(candles, resume).select("symbol", "open_time")
 

@@ -163,10 +163,12 @@ def read_klines(raw: DataFrame) -> DataFrame:
 
     The first element tells a page from a candle, wherever the message has blanks; an empty page has no candles.
     """
-    parts = F.from_json("value", "array<string>")
+    # behind a generator the optimizer does not put the parser in the place of each use of what it gives
+    read = raw.select(*_rest(raw), F.explode_outer(F.array(F.from_json("value", "array<string>"))).alias("_parts"))
+    parts = F.col("_parts")
     candles = F.transform(parts, lambda x: F.from_json(x, "array<string>"))
     page = F.when(F.size(parts) == 0, F.array().cast("array<array<string>>")).when(F.get(parts, F.lit(0)).startswith("["), candles).otherwise(F.array(parts))
-    rows = _exploded(raw, page, "k", _rest(raw))
+    rows = _exploded(read, page, "k", _rest(raw))
     return rows.select(*_rest(raw), *(F.get("k", F.lit(i)).try_cast(t).alias(n) for i, (n, t) in enumerate(KLINE_FIELDS.items())))
 
 
