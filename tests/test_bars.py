@@ -134,3 +134,25 @@ def test_steps_in_blocks(spark):
     for spread in (False, True):
         out = each_step(spans, F.col("lo"), F.col("hi"), 5, "t", spread=spread, per_row=3)
         assert sorted((r.k, r.t) for r in out.collect()) == [("a", t) for t in range(0, 96, 5)] + [("b", 7)]
+
+
+def test_windows_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """Tasks go by measured rows, whatever the session would join; the bars are the same, also beside large buckets."""
+    from pyspark.sql import functions as F
+
+    from tickloom.operators import bars as B
+
+    trades = spark.range(4000).select(
+        "id", (F.col("id") * 37 % 86_400_000).alias("time_ms"), F.concat(F.lit("m"), (F.col("id") % 40).cast("string")).alias("market"),
+        (1.0 + F.col("id") % 17).alias("price"), (1.0 + F.col("id") % 5).alias("volume"), (F.col("id") % 4).cast("smallint").alias("flag"),
+    ).unionByName(spark.range(4000, 4900).selectExpr("id", "id AS time_ms", "'busy' AS market", "2.0D + id % 3 AS price", "1.0D AS volume", "1S AS flag"))
+    seen = []
+    windows = B._small_buckets
+    monkeypatch.setattr(B, "_small_buckets", lambda joined, *a: seen.append(joined) or windows(joined, *a))
+    run = lambda n=B.ROWS_PER_CHUNK: sorted(str(r) for r in B.trade_bars(trades, [86_400_000], rows_per_chunk=n).collect())
+    plain = run()
+    monkeypatch.setattr(B, "ROWS_PER_WINDOW", 100)
+    assert run() == plain and len(plain) == 41
+    assert [str(x).split()[0] for x in run(500)] == [x.split()[0] for x in plain]
+    dealt = [x.rdd.getNumPartitions() for x in seen[1:]]
+    assert dealt == [49, 40]

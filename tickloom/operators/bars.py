@@ -58,6 +58,8 @@ trade_id
 ROWS_PER_CHUNK = 1_000_000
 #: Rows that a task cuts into ranges at least, where ranges are smaller.
 ROWS_PER_TASK = 100_000
+#: Rows that the windows of a task hold, about 1.5 KB each, where buckets are smaller.
+ROWS_PER_WINDOW = 200_000
 
 
 # --- preparing trades ---------------------------------------------------------
@@ -509,6 +511,16 @@ def digest_columns(digests: DataFrame) -> DataFrame:
 # --- the operator ---------------------------------------------------------------
 
 
+def by_bucket(rows: DataFrame, n_rows: int) -> DataFrame:
+    """Rows dealt by bucket to as many tasks as ``n_rows`` ask for, at least the session's own number; the windows take them as they lie.
+
+    The number is fixed: left to the session, tasks would be joined by the bytes of what is moved, and their windows hold many times as much.
+    """
+    tasks = -(-n_rows // ROWS_PER_WINDOW)
+    own = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(tasks, own), *GROUP) if tasks > 1 else rows
+
+
 def _small_buckets(joined: DataFrame, periods_ms: Sequence[int], standard: bool) -> DataFrame:
     """Second pass where every bucket fits a task: one shuffle, then windows and one aggregate."""
     placed = trade_positions(joined.withColumn("_weight", price_weight()), one_chunk=True)
@@ -575,8 +587,13 @@ def bars_of_rows(
     """Bars of trades that are already unique, valid and bucketed."""
     summary = scratch_table(with_ema_span(bucket_summary(rows)))
     is_large = F.col("num_trades") > rows_per_chunk
-    in_large = summary.agg(F.sum(F.when(is_large, F.col("num_trades")))).first()[0] or 0
-    second = _small_buckets(with_summary(rows, summary.filter(~is_large)), periods_ms, standard_log_regression)
+    in_large, n_rows = (x or 0 for x in summary.agg(F.sum(F.when(is_large, F.col("num_trades"))), F.sum("num_trades")).first())
+    small = summary.filter(~is_large)
+    if in_large:  # their rows are not moved with the others
+        joined = by_bucket(with_summary(rows, small), n_rows - in_large)
+    else:
+        joined = with_summary(by_bucket(rows, n_rows), small)
+    second = _small_buckets(joined, periods_ms, standard_log_regression)
     if in_large:
         large = scratch_table(summary.filter(is_large))
         second = second.unionByName(_large_buckets(with_summary(rows, large), periods_ms, standard_log_regression, in_large, rows_per_chunk))
