@@ -88,3 +88,38 @@ def test_scores_beyond_64_bits(spark):
     table = spark.createDataFrame([(0, rows[0][1], "en")], "doc_id long, text string, lang string")
     got = {tuple(r) for r in phrases.collocations(table, least=100).collect()}
     assert got == plain_collocations(rows, 100) and len(got) > 2
+
+
+def test_counts_of_a_task_are_joined(monkeypatch):
+    """Equal phrases of several blocks leave the task as one row; what is held is bounded, and nothing is lost."""
+    import numpy as np
+    import pyarrow as pa
+
+    blocks = [phrases._counts(lang, pa.array([b"a b", b"c", f"own {i}".encode()], pa.binary()), np.array([2, 3, 1])) for i in range(50) for lang in ("en", "de")]
+    rows = lambda found: [tuple(r.values()) for b in found for r in b.to_pylist()]
+    whole = rows(phrases.joined_counts(iter(blocks)))
+    assert len(whole) == 2 * 52 and ("en", "a b", 100) in whole and ("de", "c", 150) in whole
+    monkeypatch.setattr(phrases, "HELD_COUNTS", 20)
+    total = Counter()
+    for lang, phrase, n in rows(phrases.joined_counts(iter(blocks))):
+        total[lang, phrase] += n
+    assert sorted((*k, n) for k, n in total.items()) == sorted(whole)
+    assert list(phrases.joined_counts([])) == []
+
+
+def test_a_frequent_phrase_leaves_a_task_once(spark, monkeypatch, texts):
+    """However many blocks a task has."""
+    monkeypatch.setattr(phrases, "BLOCK_WORDS", 2000)
+    table = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts)], "id long, text string, lang string").where("lang = 'en' AND text IS NOT NULL").repartition(1)
+    added = phrases.joined_counts
+    counted = spark.sparkContext.accumulator(0)
+
+    def noted(counts):
+        for batch in added(counts):
+            counted.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(phrases, "joined_counts", noted)
+    found = sketch.filter_of(phrases.hashed_counts(table, 1, None, 30))
+    made = phrases.exact_counts(table, 1, found, found, 1)
+    assert counted.value == made.count() > 30

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,8 @@ SLACK = 0.5
 TOP = 2000
 #: Words a task counts together.
 BLOCK_WORDS = 1_500_000
+#: Counts that a task holds, and their bytes, to join those of equal phrases of its blocks.
+HELD_COUNTS, HELD_BYTES = 1 << 20, 64 << 20
 #: Bytes of a text that are split into words together.
 SPLIT_BYTES = 1 << 20
 
@@ -162,7 +164,7 @@ def exact_counts(rows: DataFrame, longest: int, wanted: Filter, found: Filter, l
     """``(lang, length, phrase, f)`` of all phrases that occur ``least`` times, counted by their words; the phrase of no words counts all words."""
     shared = rows.sparkSession.sparkContext.broadcast((wanted, found))
 
-    def run(batches):
+    def counts_of(batches):
         for lang, total, tokens, words in _blocks(batches):
             text = pa.array(words, pa.binary())
             yield _counts(lang, pa.array([b""], pa.binary()), np.array([total]))
@@ -172,6 +174,7 @@ def exact_counts(rows: DataFrame, longest: int, wanted: Filter, found: Filter, l
                     parts = [text.take(pa.array(tokens[own + k])) for k in range(length)]
                     yield _counts(lang, parts[0] if length == 1 else pc.binary_join_element_wise(*parts, b" "), n[lo : lo + (1 << 18)])
 
+    run = lambda batches: joined_counts(counts_of(batches))
     counts = rows.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
     length = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1)
     return scratch_table(counts.where(F.col("f") >= least).select("lang", length.alias("length"), "phrase", "f"))
@@ -182,6 +185,29 @@ def _counts(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
 
 
+def joined_counts(counts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts with those of equal phrases added up, as far as what is held allows: a frequent phrase leaves a task once, not once a block."""
+    held: list[pa.RecordBatch] = []
+    for batch in counts:
+        held.append(batch)
+        if _full(held, 1):
+            held = _added(held)
+            if _full(held, 2):  # mostly different phrases: holding on would add up the same ones again and again
+                yield from held
+                held = []
+    if held:
+        yield from _added(held)
+
+
+def _full(held: list[pa.RecordBatch], share: int) -> bool:
+    return share * sum(b.num_rows for b in held) >= HELD_COUNTS or share * sum(b.nbytes for b in held) >= HELD_BYTES
+
+
+def _added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    found = pa.Table.from_batches(held).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+    return found.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"]).to_batches(max_chunksize=1 << 18)
+
+
 def frequent(rows: DataFrame, longest: int, least: int, every: int, slack: float) -> DataFrame:
     """``(lang, length, phrase, f)`` of all phrases that occur ``least`` times.
 
