@@ -57,3 +57,42 @@ def test_clock_of_an_empty_book_goes_on(spark):
     for i, batch in enumerate(rows):
         keeper(spark.createDataFrame(batch, SCHEMA), i)
     assert shown == [{1.0: 5.0}, {}, {}, {3.0: 4.0}]
+
+
+def test_messages_of_a_trigger_are_arrays():
+    """Frames of any size, in any order, give each level's messages in order, without a record a message."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    n = 5000
+    rows = pd.DataFrame({
+        "kind": rng.choice(["update", "level"], n), "level_key": rng.integers(0, 40, n) / 8, "price": rng.integers(1, 9, n) * 1.0, "qty": rng.integers(0, 4, n) * 1.0,
+        "id": rng.integers(0, 300, n), "event_ms": rng.integers(0, 90, n), "low_key": np.nan, "high_key": np.nan,
+    })
+    clears = pd.DataFrame({"kind": "clear", "level_key": np.nan, "price": np.nan, "qty": np.nan, "id": [150, 9], "event_ms": [7, -3], "low_key": [-np.inf, 2.0], "high_key": [2.5, np.inf]})
+    batch = K.Batch([rows[:10], rows[10:10], pd.concat([rows[10:], clears])])
+    rank = {"level": 1, "update": 2}
+    assert batch.first_ms == -3 and [batch.cleared(x) for x in (0.0, 2.5, 3.0)] == [150, 150, 9]
+    records = rows.to_dict("records")
+    seen = 0
+    for level, run in batch.levels():
+        own = sorted((m for m in records if m["level_key"] == level), key=lambda m: (m["id"], rank[m["kind"]], m["event_ms"], m["qty"]))
+        assert run.id.tolist() == [m["id"] for m in own] and run.qty.tolist() == [m["qty"] for m in own]
+        old, cleared = (1.0, 2.0, 120, 5), batch.cleared(level)
+        new, taken = K.after_run(old, run, cleared, True)
+        assert (new, taken.tolist()) == K.after_messages(old, own, cleared, True)
+        seen += len(run)
+    assert seen == n and len(batch.keys) == 40
+    assert list(K.Batch([]).levels()) == [] and K.Batch([]).first_ms is None
+
+
+def test_messages_without_level_or_quantity_are_taken_as_they_came():
+    import numpy as np
+    import pandas as pd
+
+    nan = np.nan
+    rows = [(nan, 9, 1.0), (1.0, 5, nan), (1.0, 5, 2.0), (1.0, 4, 7.0), (nan, 3, 2.0)]
+    frame = pd.DataFrame([("update", k, 1.0, q, i, 0, nan, nan) for k, i, q in rows], columns=["kind", "level_key", "price", "qty", "id", "event_ms", "low_key", "high_key"])
+    got = [(str(k), list(zip(run.id.tolist(), map(str, run.qty)))) for k, run in K.Batch([frame]).levels()]
+    assert got == [("1.0", [(4, "7.0"), (5, "nan"), (5, "2.0")]), ("nan", [(9, "1.0")]), ("nan", [(3, "2.0")])]

@@ -7,8 +7,10 @@ messages. The output are changes: a level as it is now, or that it is gone. :fun
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,29 +26,95 @@ PARTS = 8
 KEY = ["symbol", "side", "part"]
 LEVEL_SCHEMA = "price double, qty double, last_id bigint, last_ms bigint"
 CHANGES = "symbol string, side string, level_key double, price double, qty double, last_id bigint, last_ms bigint, change_count bigint, qty_mean double, qty_var double, gone boolean"
-_RANK = {"level": 1, "update": 2}
 
 Level = tuple[float, float, int, int]  # price, quantity, id, time
 
 
-def after_messages(old: Level | None, messages: Sequence[dict], cleared: int | None, allow_removal: bool) -> tuple[Level | None, list[float] | None]:
-    """A level after one trigger's messages, in their order, and the quantities that it took; no list if nothing happened to it.
+class Run:
+    """Messages in their order, as one array a field; ``update`` tells updates from levels of snapshots."""
+
+    FIELDS = {"update": bool, "price": np.float64, "qty": np.float64, "id": np.int64, "event_ms": np.int64}
+
+    def __init__(self, update: np.ndarray, price: np.ndarray, qty: np.ndarray, id: np.ndarray, event_ms: np.ndarray):  # noqa: A002
+        self.update, self.price, self.qty, self.id, self.event_ms = update, price, qty, id, event_ms
+
+    def __len__(self) -> int:
+        return len(self.id)
+
+    def __getitem__(self, at) -> Run:
+        return Run(*(getattr(self, f)[at] for f in self.FIELDS))
+
+
+def after_run(old: Level | None, run: Run, cleared: int | None, allow_removal: bool) -> tuple[Level | None, np.ndarray | None]:
+    """A level after one trigger's messages, and the quantities that it took; None if nothing happened to it.
 
     ``cleared`` is the id of the newest snapshot that covers the level.
     """
     had = old
     if old is not None and cleared is not None and old[2] <= cleared:
         old = None
-    live = [m for m in messages if (cleared is None or m["id"] >= cleared) and (old is None or m["id"] >= old[2])]
-    if live and allow_removal and old is not None:
-        first = live[0]
-        if first["kind"] == "update" and first["qty"] <= 0 and first["id"] != old[2]:
-            old, live = None, live[1:]
-    if not live:
-        return old, None if old is had else []
-    last = live[-1]
-    price = live[0]["price"] if old is None else old[0]
-    return (price, last["qty"], last["id"], last["event_ms"]), [m["qty"] for m in live]
+    bounds = [x for x in (cleared, None if old is None else old[2]) if x is not None]
+    live = run[run.id >= max(bounds)] if bounds else run
+    if len(live) and allow_removal and old is not None and live.update[0] and live.qty[0] <= 0 and live.id[0] != old[2]:
+        old, live = None, live[1:]
+    if not len(live):
+        return old, None if old is had else live.qty
+    price = live.price[0] if old is None else old[0]
+    return (float(price), float(live.qty[-1]), int(live.id[-1]), int(live.event_ms[-1])), live.qty
+
+
+def after_messages(old: Level | None, messages: Sequence[dict], cleared: int | None, allow_removal: bool) -> tuple[Level | None, list[float] | None]:
+    """:func:`after_run` of messages that are records."""
+    records = [{**m, "update": m["kind"] == "update"} for m in messages]
+    run = Run(*(np.array([m[f] for m in records], t) for f, t in Run.FIELDS.items()))
+    new, taken = after_run(old, run, cleared, allow_removal)
+    return new, None if taken is None else taken.tolist()
+
+
+class Batch:
+    """One trigger's messages of a key: snapshots' ranges, and the messages of each level in the order of id, kind, time and quantity.
+
+    Messages are kept as numbers, frame by frame, and sorted together; so a busy level costs no Python objects.
+    """
+
+    def __init__(self, frames: Iterable[pd.DataFrame]):
+        self.clears: list[tuple[float, float, int]] = []
+        self.first_ms: int | None = None
+        held: list[list[np.ndarray]] = []
+        for frame in frames:
+            if frame[["id", "event_ms"]].isna().to_numpy().any():
+                raise ValueError("a message has no id or no time")
+            if len(frame):
+                first = int(frame["event_ms"].min())
+                self.first_ms = first if self.first_ms is None else min(first, self.first_ms)
+            clear = (frame["kind"] == "clear").to_numpy(bool)
+            self.clears += [(m.low_key, m.high_key, int(m.id)) for m in frame[clear].itertuples()]
+            rest = frame[~clear]
+            rest = rest.assign(update=rest["kind"] == "update")
+            held.append([rest["level_key"].to_numpy(np.float64), *(rest[f].to_numpy(t) for f, t in Run.FIELDS.items())])
+        level, *fields = (np.concatenate(x) for x in zip(*held)) if held else (np.empty(0, t) for t in (np.float64, *Run.FIELDS.values()))
+        self.run = run = Run(*fields)
+        # messages without a level, and those of a level that has a message without a quantity, are taken as they came
+        known, lost = np.flatnonzero(~np.isnan(level)), np.flatnonzero(np.isnan(level))
+        by = np.lexsort([x[known] for x in (run.qty, run.event_ms, run.update, run.id, level)])
+        self.order = np.concatenate((known[by], lost))
+        level = level[self.order]
+        self.starts = np.flatnonzero(np.concatenate(([True], level[1:] != level[:-1]))) if len(level) else np.empty(0, np.int64)
+        self.keys = level[self.starts].tolist()
+
+    def levels(self) -> Iterator[tuple[float, Run]]:
+        ends = [*self.starts[1:].tolist(), len(self.order)]
+        for key, a, b in zip(self.keys, self.starts.tolist(), ends):
+            own = self.order[a:b]
+            run = self.run[own]
+            if np.isnan(run.qty).any():
+                place = lambda i: (self.run.id[i], self.run.update[i], self.run.event_ms[i], self.run.qty[i])
+                run = self.run[np.array(sorted(np.sort(own).tolist(), key=place))]
+            yield key, run
+
+    def cleared(self, level: float) -> int | None:
+        """The id of the newest snapshot that covers a level."""
+        return max((i for low, high, i in self.clears if low <= level <= high), default=None)
 
 
 class BookProcessor(StatefulProcessor):
@@ -60,31 +128,25 @@ class BookProcessor(StatefulProcessor):
         self.levels = handle.getMapState("levels", "level_key double", LEVEL_SCHEMA)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        batch = [x for frame in rows for x in frame.to_dict("records")]
-        clears = [m for m in batch if m["kind"] == "clear"]
-        touched: dict[float, list[dict]] = {}
-        for m in batch:
-            if m["kind"] != "clear":
-                touched.setdefault(m["level_key"], []).append(m)
+        batch = Batch(rows)
         held: dict[float, Level] = {}
-        if clears:
+        if batch.clears:
             held = {k[0]: tuple(v) for k, v in self.levels.iterator()}
+        touched = set(batch.keys)
         out = []
-        for level in [*touched, *(k for k in held if k not in touched)]:
-            old = held.get(level) if clears else self._stored(level)
-            cleared = max((int(c["id"]) for c in clears if c["low_key"] <= level <= c["high_key"]), default=None)
-            messages = sorted(touched.get(level, ()), key=lambda m: (m["id"], _RANK[m["kind"]], m["event_ms"], m["qty"]))
-            new, taken = after_messages(old, messages, cleared, self.allow_removal)
+        for level, run in chain(batch.levels(), ((k, batch.run[:0]) for k in held if k not in touched)):
+            old = held.get(level) if batch.clears else self._stored(level)
+            new, taken = after_run(old, run, batch.cleared(level), self.allow_removal)
             if taken is None:
                 continue
             if new is None:
                 self.levels.removeKey((level,))
-                out.append(_change(key, level, old, [], True))
+                out.append(_change(key, level, old, taken, True))
             else:
-                self.levels.updateValue((level,), (float(new[0]), float(new[1]), int(new[2]), int(new[3])))
+                self.levels.updateValue((level,), new)
                 out.append(_change(key, level, new, taken, False))
-        if self.expiry_ms > 0:
-            first = min(int(m["event_ms"]) for m in batch) + self.expiry_ms + 1
+        if self.expiry_ms > 0 and batch.first_ms is not None:
+            first = batch.first_ms + self.expiry_ms + 1
             if first < min(map(_time_of, self.handle.listTimers()), default=first + 1):
                 self.handle.registerTimer(first)
         if out:
@@ -117,10 +179,10 @@ def _time_of(timer) -> int:
     return int(timer[0] if isinstance(timer, tuple) else timer)
 
 
-def _change(key, level: float, value: Level, taken: list[float], gone: bool) -> tuple:
+def _change(key, level: float, value: Level, taken: Sequence[float], gone: bool) -> tuple:
     n = len(taken)
-    mean = sum(taken) / n if n else None
-    var = sum((x - mean) ** 2 for x in taken) / n if n else None
+    mean = float(np.mean(taken)) if n else None
+    var = float(np.var(taken)) if n else None
     return (key[0], key[1], level, *value, n, mean, var, gone)
 
 
