@@ -522,31 +522,19 @@ def by_bucket(rows: DataFrame, n_rows: int) -> DataFrame:
 
 
 def _small_buckets(joined: DataFrame, periods_ms: Sequence[int], standard: bool) -> DataFrame:
-    """Second pass where every bucket fits a task: one shuffle, then windows and one aggregate."""
+    """Second pass where every bucket fits a task: one shuffle, one sort for the order of trades, and one aggregate.
+
+    The aggregate holds the distinct prices and volumes of a bucket, with their weights, for its quantiles.
+    """
     placed = trade_positions(joined.withColumn("_weight", price_weight()), one_chunk=True)
-    bucket = Window.partitionBy(*GROUP)
-    before = (Window.unboundedPreceding, -1)
-    by_price = bucket.orderBy("price", "time_ms", "id").rowsBetween(*before)
-    by_volume = bucket.orderBy("volume", "time_ms", "id")
-    ranked = placed.withColumns(
-        {
-            "_weights": F.sum("_weight").over(bucket),
-            "_p_below": F.coalesce(F.sum("_weight").over(by_price), F.lit(0)),
-            "_v_below": F.row_number().over(by_volume) - 1,
-        }
-    )
-    always = {"p": F.lit(True), "v": F.lit(True)}
-    quantiles = _quantile_columns(
-        BAR_QUANTILES,
-        {"p": F.col("_p_below"), "v": F.col("_v_below")},
-        {"p": F.col("_weight"), "v": F.lit(1)},
-        {"p": F.col("_weights"), "v": F.col("num_trades")},
-        {"p": F.col("price"), "v": F.col("volume")},
-        always,
-    )
-    columns = {**ordered_sums(periods_ms, standard), **quantiles}
-    sums = ranked.groupBy(*GROUP).agg(*(c.alias(n) for n, c in columns.items()))
-    return finish(sums.withColumns({n: _blend(n) for n in BAR_QUANTILES}), standard, list(BAR_QUANTILES))
+    columns = {
+        **ordered_sums(periods_ms, standard),
+        "_p": F.percentile("price", list(PRICE_QUANTILES.values()), F.col("_weight")),
+        "_v": F.percentile("volume", list(VOLUME_QUANTILES.values())),
+    }
+    sums = placed.groupBy(*GROUP).agg(*(c.alias(n) for n, c in columns.items()))
+    found = {n: F.col(c)[i] for c, names in (("_p", PRICE_QUANTILES), ("_v", VOLUME_QUANTILES)) for i, n in enumerate(names)}
+    return finish(sums.withColumns(found), standard, list(BAR_QUANTILES))
 
 
 def _large_buckets(joined: DataFrame, periods_ms: Sequence[int], standard: bool, n_rows: int, rows_per_chunk: int) -> DataFrame:
@@ -621,10 +609,23 @@ def stale_from(
     that of its newest trade.  Buckets without trades are skipped.
     """
     rows = bucketed(trades, periods_ms, offsets_ms).withColumn("_ord", trade_order())
-    newest = rows.groupBy(*GROUP).agg(F.max_by("id", "_ord").alias("_newest"))
-    stored = bars.select("market", "period_ms", "offset_ms", F.col("time_ms").alias("bucket_ms"), F.col("trade_id").alias("_stored"))
-    checked = newest.join(stored, GROUP, "left")
-    stale = ~F.col("_newest").eqNullSafe(F.col("_stored"))
+    newest = rows.groupBy(*GROUP).agg(F.max_by("id", "_ord").alias("_found"))
+    return _first_unlike(newest, bars, "trade_id")
+
+
+def changed_from(bars: DataFrame, rows: DataFrame) -> DataFrame:
+    """First bucket per market, period and offset whose bar does not count its trades: ``stale_ms``.
+
+    ``rows`` are all valid, bucketed trades of the buckets to be checked, from a table that only grows: then a bar of as many trades is one of
+    the same trades, wherever in the bucket a late one falls.
+    """
+    return _first_unlike(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_found")), bars, "num_trades")
+
+
+def _first_unlike(found: DataFrame, bars: DataFrame, column: str) -> DataFrame:
+    stored = bars.select("market", "period_ms", "offset_ms", F.col("time_ms").alias("bucket_ms"), F.col(column).alias("_stored"))
+    checked = found.join(stored, GROUP, "left")
+    stale = ~F.col("_found").eqNullSafe(F.col("_stored"))
     return checked.filter(stale).groupBy("market", "period_ms", "offset_ms").agg(F.min("bucket_ms").alias("stale_ms"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -61,32 +62,50 @@ def bar_refresher(
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: store a batch's new trades, then recompute every bar they made stale.
 
-    All bars from a batch's first trade of a market on are recomputed, also where that trade came late; trades are read from the last good bar
-    before that, and only the dates from there on. A repeated batch changes nothing: its trades are known and its
-    bars come out the same.
+    Buckets from a batch's first trade of a market on are checked: all bars are recomputed from the first one on whose trades are not those of its bar, also
+    where a trade came late into its middle; copies of known trades make nothing stale. Trades are read from the last good bar
+    before that, and only the dates from there on. What is stale is noted beside the bars until they are written, so a batch that failed
+    between two dates is made good when it is repeated; a repeated batch that was done changes nothing.
     """
-    from tickloom.operators.bars import refresh_stale_bars
+    from tickloom.operators.bars import bucketed, changed_from, refresh_stale_bars
     from tickloom.sinks.tables import append_trades, day_of, read_bars, write_bars
 
     offsets = list(offsets_ms or [0] * len(periods_ms))
+    keys = ["market", "period_ms", "offset_ms"]
+    notes = f"{bar_path}-stale"
 
     def on_batch(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         append_trades(batch, trade_path, lookback_ms)
         bars = read_bars(spark, bar_path)
+
+        def stored_trades(buckets: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+            """Stored trades and bars of each market from its first of these buckets on."""
+            low = scratch_table(buckets.groupBy("market").agg(F.min("_bucket").alias("_low")))
+            since = low.agg(F.min(day_of("_low"))).first()[0]
+            if since is None:
+                return None
+            recent = lambda df: df.join(low, "market").filter(F.col("time_ms") >= F.col("_low")).drop("_low")
+            return recent(spark.read.parquet(trade_path).filter(F.col("date") >= F.lit(since)).drop("date")), recent(bars)
+
         first = batch.groupBy("market").agg(F.min("time_ms").alias("_first"))
         series = F.explode(F.array(*(F.struct(F.lit(p).cast("bigint").alias("period_ms"), F.lit(o).cast("bigint").alias("offset_ms"), bucket_start("_first", p, o).alias("_bucket")) for p, o in zip(periods_ms, offsets))))
-        first = first.select("market", series.alias("_s")).select("market", "_s.*")
-        before = bars.join(first, ["market", "period_ms", "offset_ms"]).filter(F.col("time_ms") < F.col("_bucket"))
-        before = before.select("market", F.col("time_ms").alias("_bucket"), "period_ms", "offset_ms").groupBy("market", "period_ms", "offset_ms").agg(F.max("_bucket").alias("_bucket"))
-        stale = first.withColumnRenamed("_bucket", "stale_ms")
-        low = scratch_table(first.unionByName(before).groupBy("market").agg(F.min("_bucket").alias("_low")))
-        since = low.agg(F.min(day_of("_low"))).first()[0]
-        if since is None:
+        first = scratch_table(first.select("market", series.alias("_s")).select("market", "_s.*"))
+        touched = stored_trades(first)
+        if touched is None:
             return
-        recent = lambda df: df.join(low, "market").filter(F.col("time_ms") >= F.col("_low")).drop("_low")
-        touched = recent(spark.read.parquet(trade_path).filter(F.col("date") >= F.lit(since)).drop("date"))
-        write_bars(refresh_stale_bars(recent(bars), touched, periods_ms, offsets_ms, dedupe=False, stale=stale), bar_path)
+        rows = bucketed(valid_trades(touched[0]), periods_ms, offsets).join(first, keys).filter("bucket_ms >= _bucket")
+        changed_from(touched[1], rows).write.parquet(f"{notes}/{uuid.uuid4().hex}")
+        files = _Files(spark)
+        noted = [f"{notes}/{x}" for x in files.names(notes)]
+        noted_rows = spark.read.schema("market string, period_ms bigint, offset_ms bigint, stale_ms bigint").parquet(*noted)
+        stale = noted_rows.groupBy(*keys).agg(F.min("stale_ms").alias("stale_ms"))
+        before = bars.join(stale, keys).filter(F.col("time_ms") < F.col("stale_ms")).groupBy(*keys).agg(F.max("time_ms").alias("_bucket"))
+        touched = stored_trades(stale.withColumnRenamed("stale_ms", "_bucket").unionByName(before))
+        if touched is not None:
+            write_bars(refresh_stale_bars(touched[1], touched[0], periods_ms, offsets_ms, dedupe=False, stale=stale), bar_path)
+        for note in noted:
+            files.remove(note)
 
     return on_batch
 
