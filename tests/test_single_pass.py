@@ -35,6 +35,26 @@ def test_array_books_are_read_once(spark):
     assert tuple(got[1].levels[1]) == (101.0, 3, 1.5) and got[1].symbol == "t7" and got[1].time_ms == 5
 
 
+def test_plain_array_books_need_no_parser(spark):
+    """Plain messages are cut by Arrow, with the values that JSON gives; others, even by one space, are parsed."""
+    from pyspark.sql.types import StructType
+
+    numbers = ["1", "-0.0", "0.1", "173665.47", "1.0E7", "2.5e-3", "-12.75", "999999999999999999", "0.30000000000000004", "1E22"]
+    level = lambda k: f"[{numbers[k % 10]},{k}.0,{numbers[k % 7]}]"
+    plain = [f"[{c},[{','.join(level(k + c) for k in range(n))}],{c * 10**14},-{c + 1}]" for c in range(3) for n in (1, 2, 50, 200, 500)]
+    odd = ["[1,[[1,2,3],[1,2]],7,5]", "[1,[[1,2,3],[1,2,3,4]],8,5]", '[1,[[1,"2",3],["a",null,3]],9,5]', "[1,[[1,2.9,3],[01,2,3]],10,5]", "[1,[[1,2,3],[1,2,3]],11]", "[1,[],12,5]", "[1,[[1,-2.9,3],[1,2,3]],13,5]\n"]
+    odd += ["[1,[[1,2,3],[NaN,2,3]],14,5]", "[x,[[1,2,3],[1,2,3]],15,5]", "[1,[[1,2,3],[1,2,3]],99999999999999999999,5]", "", None, "[1,[[-0,2,3],[1,2,-0]],16,5]"]
+    rows = [(k, m) for k, m in enumerate(plain + odd)]
+    channels = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "channel long, symbol string")
+    raw = spark.createDataFrame(rows, "place int, value string")
+    # a space in front makes any message one for the parser
+    read = lambda r: sorted(map(repr, R.read_book_array(r.repartition(2), channels).collect()))
+    assert read(raw) == read(raw.withColumn("value", F.concat(F.lit(" "), "value"))) and len(read(raw)) > 15
+    cut = raw.coalesce(1).mapInArrow(R._plain_books(), StructType.fromDDL(f"place int, value string, {R._PLAIN_FIELDS}")).collect()
+    assert [r.place for r in cut if r._levels is not None and r.value is None] == [*range(15)]
+    assert R.read_book_array(raw.where("value IS NULL"), channels).count() == 0
+
+
 def test_candles_are_read_once(spark):
     candle = json.dumps([str(i) for i in range(12)])
     messages = [candle, f" [ {candle} , {candle} ] ", "[]", "no message", None]
