@@ -51,3 +51,31 @@ def test_tasks_by_measured_rows(spark):
     many, tasks = large_keys(rows, ["k"], 50)
     assert many.count() == 10 and tasks == 20 and large_keys(rows, ["k"], 100) == (None, 10)
     assert dealt(rows, tasks, "k").rdd.getNumPartitions() == 20
+
+
+def test_keys_are_counted_by_their_hashes_first(spark, monkeypatch):
+    from tickloom.operators import prefix
+
+    # nearly as many keys as rows: no task gives a row for each of its keys; one key is long, as is the null key, which never counts
+    rows = spark.range(20_000).select(F.when(F.col("id") < 300, 1).when(F.col("id") >= 600, F.col("id")).alias("k"), F.col("id").alias("x"))
+    written = []
+    write = prefix.scratch_table
+    monkeypatch.setattr(prefix, "scratch_table", lambda df: written.append(df) or write(df))
+    assert prefix.large_keys(rows, ["k"], 400) == (None, 50) and not written
+    for cells in (1, 7, 1 << 14):
+        monkeypatch.setattr(prefix, "KEY_CELLS", cells)
+        many, tasks = prefix.large_keys(rows, ["k"], 200)
+        assert [r.k for r in many.collect()] == [1] and tasks == 100
+        assert prefix.large_keys(rows.limit(0), ["k"], 200) == (None, 0)
+    monkeypatch.setattr(prefix, "KEY_CELLS", 2)
+    assert prefix.large_keys(rows, ["k"], 400) == (None, 50)
+
+
+def test_clock_is_worked_out_once(spark):
+    a = feed(spark, [("x", 1.0, 7, 0), ("x", 1.0, -25, 0), ("y", 1.0, 20, 0), ("z", 1.0, None, 0), (None, 1.0, 95, 0)], "oi")
+    b = feed(spark, [("x", 1.0, 61, 0), ("y", 1.0, 20, 0), ("w", 1.0, 101, 0)], "px")
+    for end, want in ((100, {("x", -20, 100, 7), ("y", 20, 100, 5), (None, 100, 100, 1)}), (None, {("x", -20, 60, 5), ("y", 20, 20, 1)})):
+        clock = D.clock_ticks([a, b], 20, end)
+        assert "Aggregate" not in clock._jdf.queryExecution().optimizedPlan().toString()
+        ticks = clock.groupBy("inst_id").agg(F.min("tick_ms"), F.max("tick_ms"), F.count("*"))
+        assert {tuple(r) for r in ticks.collect()} == want

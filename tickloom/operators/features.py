@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.scalars import is_normal, parse_option_id
 from tickloom.operators.latest import _latest, content_hash, latest_by, latest_funding, top_k_per_group
 from tickloom.operators.prefix import ROWS_PER_KEY, dealt, each_step, large_keys, running, time_chunk
+from tickloom.session import scratch_table
 
 DAY_MS = 86_400_000
 
@@ -139,15 +140,17 @@ def clock_ticks(feeds: Sequence[DataFrame], step_ms: int, end_ms: int | None = N
     """Ticks ``(inst_id, tick_ms)`` of each instrument from its first record on.
 
     They end at ``end_ms``, or with the instrument's last record; each instrument generates
-    its own, so nothing is cross joined.
+    its own, so nothing is cross joined. First and last ticks are written once, for all that reads the clock.
     """
+    step = lambda x: F.col("ts") / step_ms if x is None else F.lit(x / step_ms)
     bounds = feeds[0].select("inst_id", "ts")
     for f in feeds[1:]:
         bounds = bounds.unionByName(f.select("inst_id", "ts"))
-    bounds = bounds.groupBy("inst_id").agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
-    first = F.ceil(F.col("_lo") / step_ms).cast("bigint") * step_ms
-    last = F.floor((F.lit(end_ms) if end_ms is not None else F.col("_hi")) / step_ms).cast("bigint") * step_ms
-    return each_step(bounds, first, last, step_ms, "tick_ms", spread=True).select("inst_id", "tick_ms")
+    # the last one only where it is asked for: tasks give these for nearly all their rows
+    ends = {"_lo": F.min(F.ceil(step(None)).cast("bigint")), **({} if end_ms is not None else {"_hi": F.max(F.floor(step(None)).cast("bigint"))})}
+    bounds = scratch_table(bounds.groupBy("inst_id").agg(*(c.alias(n) for n, c in ends.items())))
+    last = F.floor(step(end_ms)).cast("bigint") if end_ms is not None else F.col("_hi")
+    return each_step(bounds, F.col("_lo") * step_ms, last * step_ms, step_ms, "tick_ms", spread=True).select("inst_id", "tick_ms")
 
 
 def context_asof(

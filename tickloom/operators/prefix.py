@@ -21,14 +21,25 @@ CHUNK = "_chunk"
 
 #: Rows of a key that one task takes in order.
 ROWS_PER_KEY = 1_000_000
+#: Hashes of keys by which rows are counted first.
+KEY_CELLS = 1 << 14
 
 
 def large_keys(df: DataFrame, keys: Sequence[str], rows: int = ROWS_PER_KEY) -> tuple[DataFrame | None, int]:
-    """Keys of more than ``rows`` rows, as a written table (None where there are none), and the tasks that all rows make of about so many. Null keys are never large."""
+    """Keys of more than ``rows`` rows, as a written table (None where there are none), and the tasks that all rows make of about so many. Null keys are never large.
+
+    Rows are counted by hashes of their keys, which tasks add up to ``KEY_CELLS`` numbers each; keys themselves are counted only where a hash has more than ``rows`` rows.
+    """
     seen = Observation()
-    counts = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).observe(seen, F.sum("_n").alias("n"))
+    cell = F.pmod(F.xxhash64(*keys), F.lit(KEY_CELLS))
+    cells = df.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n")).observe(seen, F.sum("_n").alias("n"))
+    full = [r[0] for r in cells.filter(F.col("_n") > rows).select("_cell").collect()]
+    tasks = -(-(seen.get["n"] or 0) // rows)
+    if not full:
+        return None, tasks
+    counts = df.select(*keys).filter(cell.isin(full)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     many = scratch_table(counts.filter(F.col("_n") > rows).select(*keys).dropna())
-    return None if many.isEmpty() else many, -(-(seen.get["n"] or 0) // rows)
+    return None if many.isEmpty() else many, tasks
 
 
 def dealt(df: DataFrame, tasks: int, *columns: str) -> DataFrame:
