@@ -99,6 +99,29 @@ def test_pipeline_checks_the_groups_of_op1(spark, monkeypatch):
     assert kept == {0, 2, 3, 4}
 
 
+def test_pipeline_keeps_rows_that_differ_by_what_is_null(spark):
+    """Rows of one id and of different texts stay, also where one has in a column what the other has as its text."""
+    plain = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "one", None, "s", 3), (1, None, "one", "s", 3), (None, "some other text", None, "s", 3), (None, None, "some other text", "s", 3), (2, "two", None, None, 3), (2, "two", None, None, 3)]
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, plain), "").collect())
+    # a row without an id gives way to the other one without words
+    assert kept == Counter([(1, "one"), (1, None), (None, "some other text"), (2, "two")])
+
+
+def test_members_of_op1_groups_are_joined_without_their_leader(docs_of, spark):
+    """Of a given group, members that are similar to each other, and not to the one they are compared with first, are joined too."""
+    rng = random.Random(3)
+    words = [f"v{i}" for i in range(500)]
+    rows = []
+    for _ in range(12):
+        text = [rng.choice(words) for _ in range(rng.randrange(20, 90))]
+        for k in range(4):
+            rows.append((len(rows), " ".join(text[: len(text) - k])))
+    given = spark.createDataFrame([(i, 0) for i, _ in rows], "id long, g long")
+    got = Counter(tuple(r) for r in overlap.near_copies(docs_of(rows), groups=given).collect())
+    assert got == plain_groups(rows) and len({g for _, g in got}) == 12
+
+
 def test_given_groups_lead(docs_of, sample, spark):
     """Pairs of given groups are compared even where nothing else makes a pair; the groups stay those of the similarity."""
     text = lambda *w: " ".join(w)
